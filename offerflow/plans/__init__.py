@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("rows", "tables", "ranks", "samples")
+MODULES = ("rows", "tables", "ranks", "samples", "scores")
 
 
 def load_all() -> None:
