@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("rows", "tables", "ranks", "samples", "scores")
+MODULES = ("rows", "tables", "ranks", "samples", "scores", "bands")
 
 
 def load_all() -> None:
