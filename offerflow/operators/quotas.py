@@ -1,0 +1,353 @@
+"""One item per user under traffic quotas.
+
+Every item gets a price per traffic bucket and every user takes the item with the best
+score minus price. Prices start at 0 and only rise: an item that is wanted too often goes
+up by the margin at which the surplus would rather take something else. Rising this way
+they stay below the market-clearing prices, so they close in on them from below. One pass
+is one aggregate over the staged users, whatever the number of users; only prices and
+counts (buckets x items) reach the driver. The few users still over quota then move, least
+regret first, and the dual bound of the prices tells how good the result is.
+"""
+
+from __future__ import annotations
+
+import math
+from collections import deque
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from offerflow.functions.expr import apply_rule_weight, rule_none, salted_bucket
+from offerflow.operators import binning, profile, ranking
+from offerflow.operators.ordered import running
+from offerflow.session import stage
+
+NO_ALTERNATIVE = 1e18
+MAX_PRICES = 400_000
+GRID = [0.0, 1e-4, 2e-4, 5e-4, 1e-3, 2e-3, 5e-3, *[i / 100 for i in range(1, 101)]]
+
+
+@dataclass(frozen=True)
+class Allocation:
+    """``frame``: key, bucket, item_idx. ``bound`` is an upper bound on any allocation's
+    value and ``gap`` the relative distance to it."""
+
+    frame: DataFrame
+    value: float
+    bound: float
+
+    @property
+    def gap(self) -> float:
+        return (self.bound - self.value) / max(abs(self.bound), 1e-12)
+
+
+class _Market:
+    """Staged rows (key, bucket, w, s0 .. sm-1; null = may not have the item) and the
+    caps of every bucket. The driver holds buckets x items numbers."""
+
+    def __init__(self, rows: DataFrame, key: str, m: int, weighted: bool):
+        self.rows, self.key, self.m, self.weighted = rows, key, m, weighted
+        self.spark = rows.sparkSession
+        self.sizes = {r["bucket"]: r["w"] for r in
+                      rows.groupBy("bucket").agg(F.sum("w").alias("w")).collect()}
+        if len(self.sizes) * m > MAX_PRICES:
+            raise ValueError("too many buckets x items: use fewer buckets")
+        self.caps: dict[int, list[float]] = {}
+        self.prices = {b: [0.0] * m for b in self.sizes}
+
+    def with_arrays(self, df: DataFrame, **arrays: dict[int, list]) -> DataFrame:
+        """Per-bucket arrays next to the rows; the table has one row per bucket, a number
+        checked above, hence the broadcast."""
+        kinds = {name: "array<array<boolean>>" if name == "allowed" else "array<double>"
+                 for name in arrays}
+        buckets = sorted(set().union(*[set(a) for a in arrays.values()]))
+        data = [(b, *[arrays[n].get(b) for n in arrays]) for b in buckets]
+        schema = "bucket long, " + ", ".join(f"{n} {k}" for n, k in kinds.items())
+        return df.join(F.broadcast(self.spark.createDataFrame(data, schema)), "bucket", "left")
+
+    def priced(self) -> DataFrame:
+        """Rows with their best item, its net score, and the margin to the second best."""
+        nets = F.array(*[F.struct((F.col(f"s{i}") - F.get("price", F.lit(i))).alias("net"),
+                                  F.lit(-i).alias("neg")) for i in range(self.m)])
+        best = F.sort_array(nets, asc=False)
+        df = self.with_arrays(self.rows, price=self.prices).withColumn("_n", best)
+        net = F.get("_n", F.lit(0))["net"]
+        second = F.get("_n", F.lit(1))["net"]
+        return df.select(self.key, "bucket", "w", *[f"s{i}" for i in range(self.m)],
+                         F.when(net.isNotNull(), -F.get("_n", F.lit(0))["neg"]).alias("choice"),
+                         net.alias("net"),
+                         F.coalesce(net - second, F.lit(NO_ALTERNATIVE)).alias("margin"))
+
+    def totals(self) -> list:
+        if self.weighted:
+            grid = F.percentile("margin", GRID, F.col("w"))
+        else:
+            grid = F.percentile_approx("margin", GRID, F.lit(10_000))
+        locked = F.sum(F.when(F.col("margin") >= NO_ALTERNATIVE, F.col("w")).otherwise(0))
+        return self.priced().groupBy("bucket", "choice").agg(
+            F.sum("w").alias("n"), locked.alias("locked"), grid.alias("grid"),
+            F.sum(F.col("net") * self.unit()).alias("net")).collect()
+
+    def unit(self) -> Column:
+        """Worth of a row's score in the objective."""
+        return F.lit(1.0)
+
+    def raise_prices(self, passes: int, tolerance: float) -> None:
+        for _ in range(passes):
+            surplus = 0.0
+            for r in self.totals():
+                b, j = r["bucket"], r["choice"]
+                if j is None:
+                    raise ValueError(f"bucket {b}: {r['n']} users may not have any open item")
+                over = r["n"] - self.caps[b][j]
+                if over <= 0:
+                    continue
+                if r["locked"] > self.caps[b][j]:
+                    raise ValueError(f"bucket {b}: item {j} has more captive users than its quota")
+                surplus += over
+                # the last grid point whose rank is within the surplus
+                at = max(i for i, p in enumerate(GRID) if i == 0 or math.ceil(p * r["n"]) <= over)
+                step = r["grid"][at]
+                if step < NO_ALTERNATIVE / 2:
+                    self.prices[b][j] += step + 1e-12
+            if surplus <= tolerance * sum(self.sizes.values()):
+                break
+
+    def bound(self) -> float:
+        dual = sum(r["net"] or 0.0 for r in self.totals())
+        return dual + sum(p * c for b in self.sizes for p, c in zip(self.prices[b], self.caps[b]))
+
+
+def _counts(market: _Market, cur: DataFrame) -> dict[int, list[float]]:
+    held = {b: [0.0] * market.m for b in market.sizes}
+    for r in cur.groupBy("bucket", "choice").agg(F.sum("w").alias("n")).collect():
+        held[r["bucket"]][r["choice"]] = r["n"]
+    return held
+
+
+def _move(market: _Market, cur: DataFrame, allowed: dict[int, list], amount: dict[int, list]) -> DataFrame:
+    """From every (bucket, item) with an amount, move the rows of least regret to their
+    best allowed item until the amount is reached. The rows to move are told apart by a
+    threshold (regret, key) per group, so the update is a projection, not a join."""
+    m, key = market.m, market.key
+    df = market.with_arrays(cur, price=market.prices, allowed=allowed, amount=amount)
+    may = F.get("allowed", F.col("choice"))
+    nets = F.array(*[F.struct(
+        F.when(F.get(may, F.lit(i)), F.col(f"s{i}") - F.get("price", F.lit(i))).alias("net"),
+        F.lit(-i).alias("neg")) for i in range(m)])
+    own = F.get(F.array(*[F.col(f"s{i}") for i in range(m)]), F.col("choice")) - F.get("price", F.col("choice"))
+    df = df.withColumn("_alt", F.sort_array(nets, asc=False)[0]).withColumn(
+        "regret", F.when(F.get("amount", F.col("choice")) > 0, own - F.col("_alt.net")))
+    movable = df.where(F.col("regret").isNotNull()).select(
+        "bucket", "choice", "regret", F.col(key).alias("_key"), "w", F.get("amount", F.col("choice")).alias("need"))
+    ranked = running(movable, ["regret", "_key"], ["bucket", "choice"], sums=["w"])
+    last = ranked.where(F.col("cum_w") - F.col("w") < F.col("need")).groupBy("bucket", "choice").agg(
+        F.max(F.struct("regret", "_key")).alias("t")).collect()
+    if not last:
+        return cur
+    limit = df.sparkSession.createDataFrame(
+        [(r["bucket"], r["choice"], r["t"]["regret"], r["t"]["_key"]) for r in last],
+        f"bucket long, choice int, _r double, _k {dict(cur.dtypes)[key]}")
+    # one row per (bucket, item): bounded by MAX_PRICES
+    moved = df.join(F.broadcast(limit), ["bucket", "choice"], "left")
+    goes = F.col("regret").isNotNull() & (F.struct("regret", F.col(key)) <= F.struct("_r", "_k"))
+    new = F.when(F.coalesce(goes, F.lit(False)), -F.col("_alt.neg")).otherwise(F.col("choice"))
+    return stage(moved.select(key, "bucket", "w", *[f"s{i}" for i in range(m)],
+                              new.cast("int").alias("choice")), "quota")
+
+
+def _path(start: int, reach: list[list[float]], spare: list[float]) -> list[int] | None:
+    """Shortest chain of items from an overfull one to one with room."""
+    came, todo = {start: None}, deque([start])
+    while todo:
+        j = todo.popleft()
+        if spare[j] > 0 and j != start:
+            chain = [j]
+            while came[chain[-1]] is not None:
+                chain.append(came[chain[-1]])
+            return chain[::-1]
+        for k, n in enumerate(reach[j]):
+            if n > 0 and k not in came:
+                came[k] = j
+                todo.append(k)
+    return None
+
+
+def _repair(market: _Market, cur: DataFrame) -> DataFrame:
+    """Bring every item within its quota. First straight to items with room; where a full
+    item's users have none, along a chain of items. No chain means no solution."""
+    m = market.m
+    closed: dict[int, set[int]] = {b: set() for b in market.sizes}
+    for _ in range(20 * m):
+        held = _counts(market, cur)
+        over = {b: [max(h - c, 0.0) for h, c in zip(held[b], market.caps[b])] for b in held}
+        bad = [b for b in over if any(over[b])]
+        if not bad:
+            return cur
+        spare = {b: [c - h for h, c in zip(held[b], market.caps[b])] for b in bad}
+        for b in bad:
+            closed[b] |= {j for j in range(m) if spare[b][j] < 0}
+        reach = _reach(market, cur)
+        allowed, amount = {}, {}
+        for b in bad:
+            room = [spare[b][k] > 0 and (not market.weighted or k not in closed[b]) for k in range(m)]
+            allowed[b] = [[False] * m for _ in range(m)]
+            amount[b] = [0.0] * m
+            direct = [j for j in range(m) if over[b][j] > 0
+                      and any(room[k] and reach[b][j][k] > 0 for k in range(m))]
+            for j in direct:
+                allowed[b][j], amount[b][j] = room, over[b][j]
+            if direct:
+                continue
+            start = next(j for j in range(m) if over[b][j] > 0)
+            chain = None if market.weighted else _path(start, reach[b], spare[b])
+            if chain is None:
+                raise ValueError(f"bucket {b}: the quotas cannot be met under the rules")
+            n = min([over[b][start], spare[b][chain[-1]],
+                     *[reach[b][j][k] for j, k in zip(chain, chain[1:])]])
+            for j, k in zip(chain, chain[1:]):
+                allowed[b][j][k], amount[b][j] = True, n
+        cur = _move(market, cur, allowed, amount)
+    raise ValueError("the quotas could not be met")
+
+
+def _reach(market: _Market, cur: DataFrame) -> dict[int, list[list[float]]]:
+    """How much of what item j holds could also have item k."""
+    m = market.m
+    out = {b: [[0.0] * m for _ in range(m)] for b in market.sizes}
+    rows = cur.groupBy("bucket", "choice").agg(*[
+        F.sum(F.when(F.col(f"s{k}").isNotNull(), F.col("w")).otherwise(0)).alias(f"r{k}")
+        for k in range(m)]).collect()
+    for r in rows:
+        out[r["bucket"]][r["choice"]] = [0.0 if k == r["choice"] else r[f"r{k}"] for k in range(m)]
+    return out
+
+
+def _solve(market: _Market, passes: int, tolerance: float) -> Allocation:
+    market.raise_prices(passes, tolerance)
+    bound = market.bound()
+    cols = [market.key, "bucket", "w", *[f"s{i}" for i in range(market.m)], "choice"]
+    cur = _repair(market, stage(market.priced().select(*cols), "quota"))
+    own = F.get(F.array(*[F.col(f"s{i}") for i in range(market.m)]), F.col("choice"))
+    value = cur.agg(F.sum(own)).first()[0] or 0.0
+    return Allocation(cur.select(market.key, "bucket", F.col("choice").alias("item_idx")), value, bound)
+
+
+def _jitter(key: str, i: int, size: float) -> Column:
+    """Deterministic tiny offset that settles equal scores."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(1 << 20)) / float(1 << 20) * size
+
+
+def allocate_with_quotas(df: DataFrame, key: str, scores: Sequence[str], ratios: Sequence[float],
+                         slack: float, salt: str, n_buckets: int, rules: Sequence[str] | None = None,
+                         passes: int = 50, tolerance: float = 2e-4) -> Allocation:
+    """Best total score with one item per user, at most ceil(rows * ratio * slack) users per
+    item and bucket, and no item whose rule is 0 (a null rule allows it). Raises where the
+    quotas cannot be met."""
+    cols = []
+    for i, s in enumerate(scores):
+        value = F.col(s).cast("double") + _jitter(key, i, 1e-9)
+        if ratios[i] <= 0:
+            value = F.lit(None).cast("double")
+        elif rules:
+            value = F.when(~F.col(rules[i]).eqNullSafe(F.lit(0)), value)
+        cols.append(value.alias(f"s{i}"))
+    rows = stage(df.select(key, salted_bucket(key, salt, n_buckets).alias("bucket"),
+                           F.lit(1).cast("long").alias("w"), *cols), "quota")
+    market = _Market(rows, key, len(scores), weighted=False)
+    market.caps = {b: [math.ceil(n * r * slack) if r > 0 else 0 for r in ratios]
+                   for b, n in market.sizes.items()}
+    return _solve(market, passes, tolerance)
+
+
+def allocate_groups(df: DataFrame, key: str, scores: Sequence[str], ratios: Sequence[float], slack: float,
+                    quantiles: Sequence[int], rules: Sequence[str] | None = None, eps: float = 1e-10,
+                    count_weighted: bool = True, passes: int = 50) -> tuple[DataFrame, Allocation]:
+    """The grouped form: users fall into groups by the quantiles of their (rule-weighted)
+    scores, each group gets one item, and the users of an item number at most
+    ceil(N * ratio) * slack. Returns (users with their ``item_idx``, group allocation).
+
+    ``count_weighted=False`` adds up group means without regard to the group sizes."""
+    eff = df
+    for i, s in enumerate(scores):
+        value = F.col(s).cast("double")
+        if rules:
+            # no rule row: the score stands
+            value = F.coalesce(apply_rule_weight(value, rules[i], eps), value)
+        eff = eff.withColumn(f"_s{i}", value)
+    eff = stage(eff.select(key, *[f"_s{i}" for i in range(len(scores))]), "groups")
+    quants = eff
+    for i, n in enumerate(quantiles):
+        quants = binning.quantile_cut(quants, f"_s{i}", n, f"_q{i}")
+    coded = quants.withColumn("group_code", binning.group_code(
+        [f"_q{i}" for i in range(len(quantiles))], quantiles))
+    summary = profile.group_summary(coded, ["group_code"], [f"_s{i}" for i in range(len(scores))])
+    size = F.col("n_users").cast("double") if count_weighted else F.lit(1.0)
+    rows = stage(summary.select(
+        "group_code", F.lit(0).cast("long").alias("bucket"), F.col("n_users").alias("w"),
+        *[(F.when(F.lit(ratios[i] > 0), F.col(f"_s{i}_mean") * size + _jitter("group_code", i, 1e-9)))
+          .alias(f"s{i}") for i in range(len(scores))]), "groups")
+    market = _Market(rows, "group_code", len(scores), weighted=True)
+    total = market.sizes.get(0, 0)
+    market.caps = {0: [math.ceil(total * r) * slack if r > 0 else 0.0 for r in ratios]}
+    result = _solve(market, passes, 0.0)
+    users = coded.select(key, "group_code").join(
+        result.frame.select("group_code", "item_idx"), "group_code")
+    return users, result
+
+
+def quota_report(users: DataFrame, assigned: DataFrame, key: str, items: Sequence[str],
+                 codes: Sequence[int], scores: Sequence[str], ratios: Sequence[float],
+                 none: tuple[str, int] = ("none", 666)) -> tuple[DataFrame, DataFrame]:
+    """(rows, traffic): every user with item, code and rank within the item; users without
+    an assignment form the ineligible group, ranked -1. ``assigned`` holds key and item_idx."""
+    joined = users.join(assigned.select(key, "item_idx"), key, "left")
+    names = F.array(*[F.lit(i) for i in items])
+    numbers = F.array(*[F.lit(int(c)) for c in codes])
+    rows = joined.withColumns({
+        "item": F.coalesce(F.get(names, F.col("item_idx")), F.lit(none[0])),
+        "item_code": F.coalesce(F.get(numbers, F.col("item_idx")), F.lit(none[1]))})
+    ranked = ranking.rank_in_item(rows, "item", dict(zip(items, scores)), key)
+    traffic = profile.traffic_report(rows.select("item"), "item", [*items, none[0]],
+                                     [*codes, none[1]], [*ratios, 0.0])
+    return ranked.select(key, "item_score_rank", "item", "item_code"), traffic
+
+
+def ordered_lists(users: DataFrame, key: str, items: Sequence[str], scores: Sequence[str]) -> DataFrame:
+    """Items and printed scores (10 decimals) of each user, best first."""
+    names = F.array(*[F.lit(i) for i in items])
+    ranked = users.select(key, names.alias("_n"), ranking.rank_items(scores).alias("_r"))
+    return ranked.select(
+        key, F.transform("_r", lambda x: F.get(F.col("_n"), x["idx"])).alias("item_list"),
+        F.transform("_r", lambda x: F.format_string("%.10f", x["score"])).alias("score_list"))
+
+
+def sequence_rows(users: DataFrame, assigned: DataFrame, key: str, items: Sequence[str],
+                  scores: Sequence[str]) -> DataFrame:
+    """Ordered lists with the assigned item (column ``item``) first; users without an
+    assignment keep the pure score order."""
+    lists = ordered_lists(users, key, items, scores).join(assigned.select(key, "item"), key, "left")
+    moved = ranking.promote_assigned(lists, "item_list", "score_list", "item")
+    return moved.select(key, F.array_join("item_list", "-").alias("item_order"),
+                        F.array_join("score_list", "-").alias("score_order"))
+
+
+def allocate_sequence(users: DataFrame, key: str, items: Sequence[str], scores: Sequence[str],
+                      listed: Sequence[str], ratios: Sequence[float], slack: float, salt: str,
+                      n_buckets: int, rules: Sequence[str] | None = None,
+                      listed_rules: Sequence[str] | None = None) -> DataFrame:
+    """Quota allocation, then the full ordered list per user over the ``listed`` score
+    columns. Quotas of items that are not listed must be 0."""
+    outside = [i for i, s, r in zip(items, scores, ratios) if s not in listed and r > 0]
+    if outside:
+        raise ValueError(f"items with a quota are not in the ranked list: {outside}")
+    eligible = users
+    if listed_rules:
+        eligible = users.where(~rule_none(listed_rules).eqNullSafe(F.lit(0)))
+    result = allocate_with_quotas(eligible, key, scores, ratios, slack, salt, n_buckets, rules)
+    names = F.array(*[F.lit(i) for i in items])
+    assigned = result.frame.select(key, F.get(names, F.col("item_idx")).alias("item"))
+    listed_items = [i for i, s in zip(items, scores) if s in listed]
+    return sequence_rows(users, assigned, key, listed_items, list(listed))
