@@ -255,11 +255,25 @@ def range_label(miss_val: float, dec: int) -> Column:
         F.concat(opening, text("low"), F.lit(", "), text("high"), F.lit("]")))
 
 
-def quantile_cut(df: DataFrame, col: str, n: int, out: str | None = None) -> DataFrame:
-    """At most n quantile buckets, fewer where values repeat, a single 0 where all are equal."""
-    bands = equal_freq_bands(df, col, n)
-    at = bands.index(F.col(col).cast("double")) if len(bands.edges) > 1 else F.lit(0)
-    return df.withColumn(out or f"{col}_quant", at)
+def quantile_cuts(df: DataFrame, ns: dict[str, int]) -> dict[str, Bands]:
+    """Equal-frequency bands of several columns, each with its own number, in one plan."""
+    probs = sorted({i / n for n in ns.values() for i in range(n + 1)})
+    rows = {r["feature"]: r for r in exact_quantiles(df, list(ns), probs).collect()}
+    out = {}
+    for col, n in ns.items():
+        row = rows.get(col)
+        cuts = {row[f"q{probs.index(i / n)}"] for i in range(n + 1)} if row else set()
+        out[col] = Bands(tuple(sorted(cuts)), closed_start=True)
+    return out
+
+
+def quantile_cut(df: DataFrame, ns: dict[str, int], suffix: str = "_quant") -> DataFrame:
+    """At most n quantile buckets per column, fewer where values repeat, a single 0 where
+    all are equal."""
+    bands = quantile_cuts(df, ns)
+    return df.withColumns({
+        c + suffix: b.index(F.col(c).cast("double")) if len(b.edges) > 1
+        else F.when(F.col(c).isNotNull(), F.lit(0)) for c, b in bands.items()})
 
 
 def group_code(quants: Sequence[str], ns: Sequence[int]) -> Column:

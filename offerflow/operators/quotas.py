@@ -95,6 +95,7 @@ class _Market:
         return F.lit(1.0)
 
     def raise_prices(self, passes: int, tolerance: float) -> None:
+        history: list[float] = []
         for _ in range(passes):
             surplus = 0.0
             for r in self.totals():
@@ -112,7 +113,10 @@ class _Market:
                 step = r["grid"][at]
                 if step < NO_ALTERNATIVE / 2:
                     self.prices[b][j] += step + 1e-12
-            if surplus <= tolerance * sum(self.sizes.values()):
+            history.append(surplus)
+            # among equal scores prices creep without end: what is left is moved exactly
+            stalled = len(history) > 4 and surplus > 0.8 * history[-4]
+            if stalled or surplus <= tolerance * sum(self.sizes.values()):
                 break
 
     def bound(self) -> float:
@@ -198,7 +202,7 @@ def _repair(market: _Market, cur: DataFrame) -> DataFrame:
             direct = [j for j in range(m) if over[b][j] > 0
                       and any(room[k] and reach[b][j][k] > 0 for k in range(m))]
             for j in direct:
-                allowed[b][j], amount[b][j] = room, over[b][j]
+                allowed[b][j], amount[b][j] = room, float(over[b][j])
             if direct:
                 continue
             start = next(j for j in range(m) if over[b][j] > 0)
@@ -208,7 +212,7 @@ def _repair(market: _Market, cur: DataFrame) -> DataFrame:
             n = min([over[b][start], spare[b][chain[-1]],
                      *[reach[b][j][k] for j, k in zip(chain, chain[1:])]])
             for j, k in zip(chain, chain[1:]):
-                allowed[b][j][k], amount[b][j] = True, n
+                allowed[b][j][k], amount[b][j] = True, float(n)
         cur = _move(market, cur, allowed, amount)
     raise ValueError("the quotas could not be met")
 
@@ -278,11 +282,9 @@ def allocate_groups(df: DataFrame, key: str, scores: Sequence[str], ratios: Sequ
             value = F.coalesce(apply_rule_weight(value, rules[i], eps), value)
         eff = eff.withColumn(f"_s{i}", value)
     eff = stage(eff.select(key, *[f"_s{i}" for i in range(len(scores))]), "groups")
-    quants = eff
-    for i, n in enumerate(quantiles):
-        quants = binning.quantile_cut(quants, f"_s{i}", n, f"_q{i}")
+    quants = binning.quantile_cut(eff, {f"_s{i}": n for i, n in enumerate(quantiles)}, "_q")
     coded = quants.withColumn("group_code", binning.group_code(
-        [f"_q{i}" for i in range(len(quantiles))], quantiles))
+        [f"_s{i}_q" for i in range(len(quantiles))], quantiles))
     summary = profile.group_summary(coded, ["group_code"], [f"_s{i}" for i in range(len(scores))])
     size = F.col("n_users").cast("double") if count_weighted else F.lit(1.0)
     rows = stage(summary.select(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("rows", "tables", "ranks", "samples", "scores", "bands", "budgets", "quotas")
+MODULES = ("rows", "tables", "ranks", "samples", "scores", "bands", "budgets", "quotas", "models")
 
 
 def load_all() -> None:

@@ -96,9 +96,7 @@ QUANT_AT = ", ".join(
 
 @query(f"""WITH q AS (SELECT {QUANT_SQL}) SELECT uid, {QUANT_AT} FROM fx_score, q""", ["fx_score"])
 def quantile_cut(t):
-    df = t.fx_score
-    for s, n in QUANT.items():
-        df = binning.quantile_cut(df, s, n)
+    df = binning.quantile_cut(t.fx_score, QUANT)
     return df.select("uid", *[f"{s}_quant" for s in QUANT])
 
 
