@@ -4,9 +4,11 @@ A plain ``Window.partitionBy(group).orderBy(...)`` puts a whole group into one t
 a window without a group puts the whole table there. Here rows are range-partitioned by
 (group, order) instead, so a hot group is spread over many chunks:
 
-1. range-partition on (group, order), remember the chunk number, stage the rows;
-2. rank and sum inside each (chunk, group);
-3. add the totals of the earlier chunks of the same group (one row per chunk and group).
+1. range-partition on (group, order) and remember the chunk number;
+2. rank and sum inside each (chunk, group), and stage the result;
+3. add what the group had in earlier chunks. Chunks follow the order, so only the first
+   group of a chunk can have begun earlier: at most one row per chunk to add, which is
+   broadcast. The result is a scan of the staged table and can be read many times.
 
 The order must be total, so that equal scores are also spread: end it with an id.
 """
@@ -35,49 +37,56 @@ def running(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     row) or ``prev_max_c`` (running maximum excluding the row)."""
     by = list(by)
     n = partitions or shuffle_width(df)
-    placed = stage(
-        df.repartitionByRange(n, *[F.col(b) for b in by], *order_columns(order))
-        .withColumn(CHUNK, F.spark_partition_id()),
-        "ordered",
-    )
+    placed = (df.repartitionByRange(n, *[F.col(b) for b in by], *order_columns(order))
+              .withColumn(CHUNK, F.spark_partition_id()))
     ordered = Window.partitionBy(CHUNK, *by).orderBy(*order_columns(order))
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    local = placed.select(
+    local = stage(placed.select(
         "*",
         F.row_number().over(ordered).cast("long").alias("_r"),
         *[F.sum(c).over(upto).alias(f"_s_{c}") for c in sums],
         *[F.max(c).over(before).alias(f"_m_{c}") for c in maxes],
-    )
-    totals = placed.groupBy(CHUNK, *by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(c).alias(f"_t_{c}") for c in sums],
-        *[F.max(c).alias(f"_x_{c}") for c in maxes],
-    )
-    earlier = (Window.partitionBy(*by).orderBy(CHUNK)
-               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(
-        F.col(CHUNK).alias("_c"), *[F.col(b).alias(f"_b_{b}") for b in by],
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"),
-        *[F.sum(f"_t_{c}").over(earlier).alias(f"_os_{c}") for c in sums],
-        *[F.max(f"_x_{c}").over(earlier).alias(f"_om_{c}") for c in maxes],
-    )
+    ), "ordered")
+    offsets = _offsets(local, by, sums, maxes)
     on = F.col(CHUNK) == F.col("_c")
-    for b in by:
-        on = on & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_b{i}"))
 
     def plus(a: str, b: str) -> Column:
         return F.when(F.col(b).isNull(), F.col(a)).otherwise(
             F.coalesce(F.col(a), F.lit(0)) + F.col(b))
 
-    return local.join(offsets, on, "left").select(
+    return local.join(F.broadcast(offsets), on, "left").select(
         *df.columns,
-        (F.col("_r") + F.col("_o")).alias(rank),
+        (F.col("_r") + F.coalesce("_o", F.lit(0))).alias(rank),
         *[plus(f"_s_{c}", f"_os_{c}").alias(f"cum_{c}") for c in sums],
         *[F.greatest(f"_m_{c}", f"_om_{c}").alias(f"prev_max_{c}") for c in maxes],
     )
 
 
+def _offsets(local: DataFrame, by: Sequence[str], sums: Sequence[str],
+             maxes: Sequence[str]) -> DataFrame:
+    """What the first group of each chunk had before it: at most one row per chunk.
+
+    The last group of a chunk is the only one that can go on, so its totals, added up over
+    the chunks it fills, are the offset in the chunk that follows."""
+    group = [F.col(b).alias(f"_b{i}") for i, b in enumerate(by)]
+    totals = [F.col("_r").alias("_n"), *[F.col(f"_s_{c}").alias(f"_t_{c}") for c in sums],
+              *[F.greatest(f"_m_{c}", c).alias(f"_x_{c}") for c in maxes]]
+    last = local.groupBy(CHUNK).agg(F.max_by(
+        F.struct(*group, *totals), F.struct(*by, "_r")).alias("_l")).select(CHUNK, "_l.*")
+    chunks = Window.orderBy(CHUNK)
+    filled = Window.partitionBy(*[f"_b{i}" for i in range(len(by))]).orderBy(CHUNK).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return last.select(
+        F.lead(CHUNK).over(chunks).alias("_c"), *[f"_b{i}" for i in range(len(by))],
+        F.sum("_n").over(filled).alias("_o"),
+        *[F.sum(f"_t_{c}").over(filled).alias(f"_os_{c}") for c in sums],
+        *[F.max(f"_x_{c}").over(filled).alias(f"_om_{c}") for c in maxes],
+    ).where(F.col("_c").isNotNull())
+
+
 def unpivot(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (),
             name: str = "feature", value: str = "value") -> DataFrame:
     """Numeric columns as (name, value) rows; the array is built and exploded in one
@@ -95,17 +104,13 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[
     """
     by = list(by)
     cum = running(counts, [value], by, sums=[n])
-    totals = counts.groupBy(*by).agg(F.sum(n).alias("total")) if by else None
+    totals = cum.groupBy(*by).agg(F.max(f"cum_{n}").alias("total"))
     if by:
         right = totals.select(*[F.col(b).alias(f"_t_{b}") for b in by], "total")
-        on = None
-        for b in by:
-            c = F.col(b).eqNullSafe(F.col(f"_t_{b}"))
-            on = c if on is None else on & c
+        on = [F.col(b).eqNullSafe(F.col(f"_t_{b}")) for b in by]
         cum = cum.join(right, on).drop(*[f"_t_{b}" for b in by])
     else:
-        total = counts.agg(F.sum(n)).first()[0] or 0
-        cum = cum.withColumn("total", F.lit(total).cast("long"))
+        cum = cum.withColumn("total", F.lit(totals.first()[0] or 0).cast("long"))
     first = F.col(f"cum_{n}") - F.col(n)
     picks = []
     for i, p in enumerate(probs):

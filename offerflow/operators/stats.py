@@ -37,6 +37,10 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson",
         return _pairs_frame(df.agg(*aggs), [(a, b, F.col(names[a, b])) for a, b in pairs])
     if method == "pearson":
         return weighted_pearson(df, pairs, weight)
+    if method == "spearman":
+        holes = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).first()
+        if not any(holes):
+            return _rank_correlations(df, cols, pairs, weight)
     one = {"spearman": weighted_spearman if weight else spearman, "kendall": kendall}.get(method)
     if one is None:
         raise ValueError(f"unknown method {method!r}")
@@ -83,6 +87,28 @@ def _ranked_cells(cells: DataFrame) -> DataFrame:
     return out
 
 
+def _rank_correlations(df: DataFrame, cols: Sequence[str], pairs, weight: str | None) -> DataFrame:
+    """Spearman of complete columns: every column is ranked once, whatever the number of
+    pairs, and all pairs come out of one aggregate."""
+    data = stage(df.select(*[F.col(c).cast("double").alias(c) for c in cols],
+                           *([F.col(weight).cast("double").alias("_w")] if weight else [])), "ranks")
+    ranked = data
+    for c in cols:
+        counts = data.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+        ranks = average_ranks(counts, c).select(c, F.col("avg_rank").alias(f"_r_{c}"))
+        ranked = ranked.join(ranks, c)
+    if weight:
+        total = F.sum("_w")
+        gap = lambda a, b: F.col(f"_r_{a}") - F.col(f"_r_{b}")
+        values = {p: F.lit(1.0) - F.try_divide(6 * F.sum(F.col("_w") * gap(*p) * gap(*p)),
+                                               total * (total * total - 1)) for p in pairs}
+    else:
+        values = {p: F.corr(f"_r_{p[0]}", f"_r_{p[1]}") for p in pairs}
+    names = {p: f"_{i}" for i, p in enumerate(pairs)}
+    return _pairs_frame(ranked.agg(*[v.alias(names[p]) for p, v in values.items()]),
+                        [(a, b, F.col(names[a, b])) for a, b in pairs])
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson correlation of the average ranks."""
     ranked = _ranked_cells(stage(_cells(df, a, b), "cells"))
