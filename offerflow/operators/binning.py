@@ -306,15 +306,15 @@ def woe_iv(df: DataFrame, bin_col: str, label: str, weight: str | None = None,
     per = per.withColumns({
         "total": zero("good") + zero("bad"),
         "_good": F.sum("good").over(whole), "_bad": F.sum("bad").over(whole)})
-    pos, neg = F.col("good") / F.col("_good"), F.col("bad") / F.col("_bad")
+    pos, neg = F.try_divide("good", "_good"), F.try_divide("bad", "_bad")
     woe = (F.when(pos.isNull() | neg.isNull(), F.lit(None).cast("double"))
            .when((pos == 0) | (neg == 0), F.lit(0.0)).otherwise(F.ln(pos / neg)))
     per = per.withColumn("woe", woe).withColumn("iv", F.abs((pos - neg) * F.col("woe")))
-    rate = F.col("bad") / F.col("total")
-    overall = F.col("_bad") / (F.col("_good") + F.col("_bad"))
+    rate = F.try_divide("bad", "total")
+    overall = F.try_divide(F.col("_bad"), F.col("_good") + F.col("_bad"))
     cols = ["bin_index", "good", "bad", "total", "bad_rate", "woe", "iv", "lift"]
     rows = per.withColumns({"bad_rate": F.round(rate * 100, 1),
-                            "lift": F.round(rate / overall, 2)}).select(*cols)
+                            "lift": F.round(F.try_divide(rate, overall), 2)}).select(*cols)
     total = per.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"),
                     F.sum("total").alias("total"), F.sum("iv").alias("iv"))
     total = total.select(

@@ -136,4 +136,4 @@ def match_rate(base: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFr
     return base.select(*keys).join(found, list(keys), "left").agg(
         F.count(F.lit(1)).alias("base_rows"),
         F.count("_found").alias("matched"),
-        (F.count("_found") / F.count(F.lit(1))).alias("match_rate"))
+        F.try_divide(F.count("_found"), F.count(F.lit(1))).alias("match_rate"))

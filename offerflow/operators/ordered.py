@@ -32,13 +32,20 @@ def order_columns(order: Sequence[str]) -> list[Column]:
 
 def running(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
             sums: Sequence[str] = (), maxes: Sequence[str] = (), rank: str = "rn",
-            partitions: int | None = None) -> DataFrame:
+            partitions: int | None = None, uniform: str | None = None) -> DataFrame:
     """Adds the 1-based ``rank`` and, per column c, ``cum_c`` (running sum including the
-    row) or ``prev_max_c`` (running maximum excluding the row)."""
+    row) or ``prev_max_c`` (running maximum excluding the row).
+
+    ``uniform`` names the first order column when it is a hash in 0 .. 2^32-1 (see
+    :func:`offerflow.functions.expr.hash_order`): its range is then cut evenly, which needs
+    neither a sample of the data nor a range shuffle."""
     by = list(by)
     n = partitions or shuffle_width(df)
-    placed = (df.repartitionByRange(n, *[F.col(b) for b in by], *order_columns(order))
-              .withColumn(CHUNK, F.spark_partition_id()))
+    if uniform:
+        placed = df.withColumn(CHUNK, F.floor(F.col(uniform) * n / 2 ** 32).cast("int"))
+    else:
+        placed = (df.repartitionByRange(n, *[F.col(b) for b in by], *order_columns(order))
+                  .withColumn(CHUNK, F.spark_partition_id()))
     ordered = Window.partitionBy(CHUNK, *by).orderBy(*order_columns(order))
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -48,7 +55,10 @@ def running(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
         *[F.sum(c).over(upto).alias(f"_s_{c}") for c in sums],
         *[F.max(c).over(before).alias(f"_m_{c}") for c in maxes],
     ), "ordered")
-    offsets = _offsets(local, by, sums, maxes)
+    if uniform:
+        offsets = _offsets_of_all(local, by, sums, maxes)
+    else:
+        offsets = F.broadcast(_offsets(local, by, sums, maxes))
     on = F.col(CHUNK) == F.col("_c")
     for i, b in enumerate(by):
         on = on & F.col(b).eqNullSafe(F.col(f"_b{i}"))
@@ -57,7 +67,7 @@ def running(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
         return F.when(F.col(b).isNull(), F.col(a)).otherwise(
             F.coalesce(F.col(a), F.lit(0)) + F.col(b))
 
-    return local.join(F.broadcast(offsets), on, "left").select(
+    return local.join(offsets, on, "left").select(
         *df.columns,
         (F.col("_r") + F.coalesce("_o", F.lit(0))).alias(rank),
         *[plus(f"_s_{c}", f"_os_{c}").alias(f"cum_{c}") for c in sums],
@@ -65,6 +75,25 @@ def running(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     )
 
 
+def _totals(sums: Sequence[str], maxes: Sequence[str]) -> list[Column]:
+    return [F.col("_r").alias("_n"), *[F.col(f"_s_{c}").alias(f"_t_{c}") for c in sums],
+            *[F.greatest(f"_m_{c}", c).alias(f"_x_{c}") for c in maxes]]
+
+
+def _offsets_of_all(local: DataFrame, by: Sequence[str], sums: Sequence[str],
+                    maxes: Sequence[str]) -> DataFrame:
+    """Offsets where every group is spread over all chunks: one row per chunk and group,
+    joined without a hint, as their number grows with the groups."""
+    keys = [f"_b{i}" for i in range(len(by))]
+    last = local.groupBy(CHUNK, *[F.col(b).alias(k) for b, k in zip(by, keys)]).agg(
+        F.max_by(F.struct(*_totals(sums, maxes)), "_r").alias("_l")).select(CHUNK, *keys, "_l.*")
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    return last.select(
+        F.col(CHUNK).alias("_c"), *keys, F.sum("_n").over(earlier).alias("_o"),
+        *[F.sum(f"_t_{c}").over(earlier).alias(f"_os_{c}") for c in sums],
+        *[F.max(f"_x_{c}").over(earlier).alias(f"_om_{c}") for c in maxes])
+
+
 def _offsets(local: DataFrame, by: Sequence[str], sums: Sequence[str],
              maxes: Sequence[str]) -> DataFrame:
     """What the first group of each chunk had before it: at most one row per chunk.
@@ -72,10 +101,8 @@ def _offsets(local: DataFrame, by: Sequence[str], sums: Sequence[str],
     The last group of a chunk is the only one that can go on, so its totals, added up over
     the chunks it fills, are the offset in the chunk that follows."""
     group = [F.col(b).alias(f"_b{i}") for i, b in enumerate(by)]
-    totals = [F.col("_r").alias("_n"), *[F.col(f"_s_{c}").alias(f"_t_{c}") for c in sums],
-              *[F.greatest(f"_m_{c}", c).alias(f"_x_{c}") for c in maxes]]
     last = local.groupBy(CHUNK).agg(F.max_by(
-        F.struct(*group, *totals), F.struct(*by, "_r")).alias("_l")).select(CHUNK, "_l.*")
+        F.struct(*group, *_totals(sums, maxes)), F.struct(*by, "_r")).alias("_l")).select(CHUNK, "_l.*")
     chunks = Window.orderBy(CHUNK)
     filled = Window.partitionBy(*[f"_b{i}" for i in range(len(by))]).orderBy(CHUNK).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)

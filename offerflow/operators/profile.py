@@ -101,7 +101,7 @@ def traffic_report(df: DataFrame, item: str, items: Sequence[str], codes: Sequen
                      for i, (name, code, r) in enumerate(zip(items, codes, ratios))])
     return counts.select("total", F.inline(rows)).select(
         "item", "item_code", "expected_ratio", "n_users",
-        F.round(F.col("n_users") / F.col("total"), 3).alias("share"))
+        F.round(F.try_divide("n_users", "total"), 3).alias("share"))
 
 
 def tier_map(df: DataFrame, keys: Sequence[str], tier: str, amount: str,
@@ -119,7 +119,7 @@ def weighted_mean_over_arms(df: DataFrame, metric: str, weight: str,
                             by: Sequence[str] = ()) -> DataFrame:
     has = F.col(metric).isNotNull()
     w = F.when(has, F.col(weight))
-    return df.groupBy(*by).agg((F.sum(F.col(metric) * w) / F.sum(w)).alias(f"{metric}_mean"))
+    return df.groupBy(*by).agg(F.try_divide(F.sum(F.col(metric) * w), F.sum(w)).alias(f"{metric}_mean"))
 
 
 def item_log_freq(df: DataFrame, item: str) -> DataFrame:

@@ -20,10 +20,11 @@ def shuffle_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str], see
                     suffix: str = "_shuffled") -> DataFrame:
     """Adds a random permutation of ``cols`` (one and the same for all of them): the rows
     are numbered in two hash orders and joined on the number."""
-    left = running(df.withColumn("_h", hash_order(list(keys), f"{seed}a")), ["_h", *keys], rank="_pos").drop("_h")
+    left = running(df.withColumn("_h", hash_order(list(keys), f"{seed}a")), ["_h", *keys], rank="_pos", uniform="_h").drop("_h")
     right = df.select(hash_order(list(keys), f"{seed}b").alias("_h"), *[F.col(k).alias(f"_k_{k}") for k in keys],
                       *[F.col(c).alias(c + suffix) for c in cols])
-    right = running(right, ["_h", *[f"_k_{k}" for k in keys]], rank="_pos").drop("_h", *[f"_k_{k}" for k in keys])
+    right = running(right, ["_h", *[f"_k_{k}" for k in keys]], rank="_pos", uniform="_h").drop(
+        "_h", *[f"_k_{k}" for k in keys])
     return left.join(right, "_pos").drop("_pos")
 
 

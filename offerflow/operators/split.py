@@ -24,7 +24,7 @@ def stratified_split(df: DataFrame, keys: Sequence[str], stratum: str, frac: flo
                      seed: int) -> DataFrame:
     """Exactly round(frac * n) training rows in every stratum."""
     hashed = df.withColumn("_h", hash_order(list(keys), seed))
-    ranked = running(hashed, ["_h", *keys], [stratum])
+    ranked = running(hashed, ["_h", *keys], [stratum], uniform="_h")
     n = df.groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     return (ranked.join(n, F.col(stratum).eqNullSafe(F.col("_s")))
             .withColumn("is_train", (F.col("rn") <= F.round(F.col("_n") * frac)).cast("int"))
@@ -34,5 +34,5 @@ def stratified_split(df: DataFrame, keys: Sequence[str], stratum: str, frac: flo
 def stratified_kfold(df: DataFrame, keys: Sequence[str], label: str, k: int, seed: int) -> DataFrame:
     """Adds ``fold`` 0..k-1 with the same label mix in every fold."""
     hashed = df.withColumn("_h", hash_order(list(keys), seed))
-    ranked = running(hashed, ["_h", *keys], [label])
+    ranked = running(hashed, ["_h", *keys], [label], uniform="_h")
     return ranked.withColumn("fold", F.pmod(F.col("rn") - 1, F.lit(k)).cast("int")).drop("_h", "rn")

@@ -24,6 +24,13 @@ def _pairs_frame(df: DataFrame, rows: Sequence[tuple[str, str, Column]]) -> Data
         for a, b, c in rows])))
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation aggregate over rows that hold both; null where one side is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x).cast("double"), F.when(both, y).cast("double")
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson",
                 weight: str | None = None) -> DataFrame:
     """Correlation of every column pair (x before y) over rows that hold both; undefined
@@ -31,9 +38,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson",
     pairs = list(combinations(cols, 2))
     if method == "pearson" and weight is None:
         names = {p: f"_{i}" for i, p in enumerate(pairs)}
-        aggs = [F.corr(F.when(F.col(b).isNotNull(), F.col(a)).cast("double"),
-                       F.when(F.col(a).isNotNull(), F.col(b)).cast("double")).alias(names[a, b])
-                for a, b in pairs]
+        aggs = [pearson(F.col(a), F.col(b)).alias(names[a, b]) for a, b in pairs]
         return _pairs_frame(df.agg(*aggs), [(a, b, F.col(names[a, b])) for a, b in pairs])
     if method == "pearson":
         return weighted_pearson(df, pairs, weight)
@@ -64,7 +69,7 @@ def weighted_pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], weight: st
         for name, v in (("w", w), ("x", w * x), ("y", w * y), ("xx", w * x * x),
                         ("yy", w * y * y), ("xy", w * x * y)):
             aggs.append(F.sum(F.when(both, v)).alias(f"{name}_{i}"))
-        s = lambda n, i=i: F.col(f"{n}_{i}") / F.col(f"w_{i}")
+        s = lambda n, i=i: F.try_divide(F.col(f"{n}_{i}"), F.col(f"w_{i}"))
         var = (s("xx") - s("x") * s("x")) * (s("yy") - s("y") * s("y"))
         rows.append((a, b, F.try_divide(s("xy") - s("x") * s("y"), F.sqrt(var))))
     return _pairs_frame(df.agg(*aggs), rows)
@@ -103,7 +108,7 @@ def _rank_correlations(df: DataFrame, cols: Sequence[str], pairs, weight: str |
         values = {p: F.lit(1.0) - F.try_divide(6 * F.sum(F.col("_w") * gap(*p) * gap(*p)),
                                                total * (total * total - 1)) for p in pairs}
     else:
-        values = {p: F.corr(f"_r_{p[0]}", f"_r_{p[1]}") for p in pairs}
+        values = {p: pearson(F.col(f"_r_{p[0]}"), F.col(f"_r_{p[1]}")) for p in pairs}
     names = {p: f"_{i}" for i, p in enumerate(pairs)}
     return _pairs_frame(ranked.agg(*[v.alias(names[p]) for p, v in values.items()]),
                         [(a, b, F.col(names[a, b])) for a, b in pairs])
@@ -189,7 +194,7 @@ def anova_scores(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
         F.sum(F.col("n") * F.col("gap") * F.col("gap")).alias("ssb"),
         F.sum(F.col("n") * F.col("var")).alias("ssw"))
     return sums.select("feature", F.try_divide(
-        F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("n") - F.col("k"))).alias("score"),
+        F.try_divide("ssb", F.col("k") - 1), F.try_divide("ssw", F.col("n") - F.col("k"))).alias("score"),
         (F.col("k") - 1).alias("d1"), (F.col("n") - F.col("k")).alias("d2"))
 
 
@@ -204,7 +209,7 @@ def regression_scores(df: DataFrame, cols: Sequence[str], target: str) -> DataFr
     """F of a simple regression on each feature, from its correlation with the target."""
     y = F.col(target).cast("double")
     per = long_summary(df, cols, {
-        "r": lambda c: F.corr(c.cast("double"), y),
+        "r": lambda c: pearson(c, y),
         "n": lambda c: F.count(F.when(c.isNotNull() & y.isNotNull(), 1))})
     r2 = F.col("r") * F.col("r")
     return per.select("feature", F.try_divide(r2 * (F.col("n") - 2), 1 - r2).alias("score"),

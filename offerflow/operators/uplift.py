@@ -17,12 +17,12 @@ from offerflow.operators.ordered import running
 
 
 def _curve(df: DataFrame, order: Sequence[str], by: Sequence[str], y: str, treated: str,
-           keep: Sequence[str] = ()) -> DataFrame:
+           uniform: str | None = None) -> DataFrame:
     """Running counts and outcomes of both arms in the given order."""
     t = F.col(treated).cast("double")
-    base = df.select(*by, *[o.lstrip("-") for o in order], *keep, t.alias("tr"),
+    base = df.select(*by, *[o.lstrip("-") for o in order], t.alias("tr"),
                      (F.col(y) * t).alias("ytr"), (F.col(y) * (1 - t)).alias("yct"))
-    cum = running(base, order, by, sums=["tr", "ytr", "yct"], rank="idx")
+    cum = running(base, order, by, sums=["tr", "ytr", "yct"], rank="idx", uniform=uniform)
     return cum.withColumn("ct", F.col("idx") - F.col("cum_tr"))
 
 
@@ -96,7 +96,7 @@ def random_baseline(df: DataFrame, key: str, kind: str = "qini", k: int = 10, se
                     by: Sequence[str] = (), y: str = "y", treated: str = "treated") -> DataFrame:
     """The mean of the same curve under k random orders, by position."""
     keys = [*by, "order_no"]
-    curve = _curve(random_orders(df, key, k, seed), ["_h", key], keys, y, treated)
+    curve = _curve(random_orders(df, key, k, seed), ["_h", key], keys, y, treated, "_h")
     value = lift_value() if kind == "lift" else qini_value()
     filled = _fill_start(curve.withColumn(kind, value), kind, keys)
     return filled.groupBy(*by, "idx").agg(F.avg(kind).alias(f"random_{kind}"))
@@ -115,7 +115,7 @@ def qini_score(df: DataFrame, key: str, by: Sequence[str] = (), k: int = 10, see
     keys = [*by, "order_no"]
     model = qini_curve(df, key, by, True, y, treated, effect).groupBy(*by).agg(
         F.sum("qini").alias("_m"), F.count(F.lit(1)).alias("_n"))
-    curve = _curve(random_orders(df, key, k, seed), ["_h", key], keys, y, treated)
+    curve = _curve(random_orders(df, key, k, seed), ["_h", key], keys, y, treated, "_h")
     rand = _normalize(_fill_start(curve.withColumn("qini", qini_value()), "qini", keys), "qini", keys)
     rand = rand.groupBy(*by).agg((F.sum("qini") / k).alias("_r"))
     if by:
@@ -140,7 +140,7 @@ def uplift_deciles(df: DataFrame, key: str, bins: int = 10, by: Sequence[str] =
     size = df.groupBy(*side).agg(F.floor(F.count(F.lit(1)) / bins).alias("_size"))
     size = size.select(*[F.col(c).alias(f"_b_{c}") for c in side], "_size")
     binned = (ranked.join(size, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in side])
-              .withColumn("bin", F.floor((F.col("rn") - 1) / F.col("_size")).cast("int"))
+              .withColumn("bin", F.floor(F.try_divide(F.col("rn") - 1, F.col("_size"))).cast("int"))
               .where(F.col("bin") < bins))
     is_t = F.col(treated) == 1
     if predicted and actual:
@@ -149,7 +149,7 @@ def uplift_deciles(df: DataFrame, key: str, bins: int = 10, by: Sequence[str] =
             cell = [*by, "bin", predicted]
             quota = binned.where(is_t).groupBy(*cell).agg(F.count(F.lit(1)).alias("_q"))
             control = binned.where(~is_t).drop("rn").withColumn("_h", hash_order([key], seed))
-            control = (running(control, ["_h", key], cell).join(quota, cell)
+            control = (running(control, ["_h", key], cell, uniform="_h").join(quota, cell)
                        .where(F.col("rn") <= F.col("_q")))
             cols = [*by, treated, "bin", y, effect, cost]
             binned = binned.where(is_t).select(*cols).unionByName(control.select(*cols))
@@ -223,10 +223,10 @@ def pmg(df: DataFrame, actual: str, predicted: str, label: str) -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_s"), F.count(label).alias("_k"))
     matched = F.col("_m").isNotNull()
     return per.agg(
-        (F.sum(F.when(matched, F.col("_m") * F.col("_n"))) / F.sum(F.when(matched, F.col("_n"))))
+        F.try_divide(F.sum(F.when(matched, F.col("_m") * F.col("_n"))), F.sum(F.when(matched, F.col("_n"))))
         .alias("policy_mean"),
-        (F.sum("_s") / F.sum("_k")).alias("overall_mean"),
-    ).withColumn("pmg", (F.col("policy_mean") - F.col("overall_mean")) / F.col("overall_mean"))
+        F.try_divide(F.sum("_s"), F.sum("_k")).alias("overall_mean"),
+    ).withColumn("pmg", F.try_divide(F.col("policy_mean") - F.col("overall_mean"), F.col("overall_mean")))
 
 
 def best_arm(effects: Sequence[str]) -> Column:
