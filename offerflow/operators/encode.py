@@ -112,13 +112,20 @@ def one_hot(df: DataFrame, col: str, limit: int = 2000) -> DataFrame:
 
 
 def split_low_card(df: DataFrame, cols: Sequence[str], k: int = 25) -> tuple[list[str], list[str]]:
-    """(sparse, dense): columns with at most k distinct values, and the others."""
+    """(sparse, dense): columns with at most k distinct values, and the others.
+
+    A sketch first sets aside columns with a hundred times more values than that; only the
+    others are counted exactly."""
+    sketch = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    near = [c for c in cols if sketch[c] <= 100 * k]
+    if not near:
+        return [], list(cols)
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
-                      for c in cols])
+                      for c in near])
     counts = (df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
               .groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect())
     n = {r["feature"]: r["n"] for r in counts}
-    sparse = [c for c in cols if n.get(c, 0) <= k]
+    sparse = [c for c in near if n.get(c, 0) <= k]
     return sparse, [c for c in cols if c not in sparse]
 
 

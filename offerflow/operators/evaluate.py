@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from offerflow.functions.expr import funnel_probability
 from offerflow.operators.ordered import running
+from offerflow.session import few_rows
 
 
 def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -39,7 +40,7 @@ def recall_at(df: DataFrame, label: str, score: str, p: float, keys: Sequence[st
     if by:
         n = df.groupBy(*[F.col(b).alias(f"_b_{b}") for b in by]).agg(F.count(F.lit(1)).alias("_n"))
         on = [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by]
-        ranked = ranked.join(n, on)
+        ranked = ranked.join(few_rows(n), on)
     else:
         ranked = ranked.withColumn("_n", F.lit(df.count()))
     # the first row has position 0, so the slice 0 .. int(n * p) holds one row more
@@ -71,11 +72,11 @@ def threshold_table(df: DataFrame, label: str, score: str, cuts: Sequence[float]
     counts = df.where(F.col(score).isNotNull()).groupBy(at.alias("_at")).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("_p"))
-    grid = df.sparkSession.range(len(cuts)).select(
-        F.col("id").cast("int").alias("_at"), F.get(table, F.col("id").cast("int")).alias("threshold"))
-    full = grid.unionByName(counts.where("_at < 0").select(
-        "_at", F.lit(None).cast("double").alias("threshold"))).join(counts, "_at", "left").fillna(
-        0, ["_n", "_p"])
+    # position -1 holds the rows below every threshold; they count as positives missed
+    spot = F.col("id").cast("int")
+    grid = df.sparkSession.range(-1, len(cuts)).select(
+        spot.alias("_at"), F.when(spot >= 0, F.get(table, spot)).alias("threshold"))
+    full = grid.join(counts, "_at", "left").fillna(0, ["_n", "_p"])
     above = Window.orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(F.lit(0))
     cum = full.select("threshold", F.sum("_n").over(above).alias("count"),

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerflow.session import shuffle_width, stage
+from offerflow.session import few_rows, shuffle_width, stage
 
 CHUNK = "_chunk"
 
@@ -56,7 +56,7 @@ def running(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
         *[F.max(c).over(before).alias(f"_m_{c}") for c in maxes],
     ), "ordered")
     if uniform:
-        offsets = _offsets_of_all(local, by, sums, maxes)
+        offsets = few_rows(_offsets_of_all(local, by, sums, maxes))
     else:
         offsets = F.broadcast(_offsets(local, by, sums, maxes))
     on = F.col(CHUNK) == F.col("_c")
@@ -82,8 +82,7 @@ def _totals(sums: Sequence[str], maxes: Sequence[str]) -> list[Column]:
 
 def _offsets_of_all(local: DataFrame, by: Sequence[str], sums: Sequence[str],
                     maxes: Sequence[str]) -> DataFrame:
-    """Offsets where every group is spread over all chunks: one row per chunk and group,
-    joined without a hint, as their number grows with the groups."""
+    """Offsets where every group is spread over all chunks: one row per chunk and group."""
     keys = [f"_b{i}" for i in range(len(by))]
     last = local.groupBy(CHUNK, *[F.col(b).alias(k) for b, k in zip(by, keys)]).agg(
         F.max_by(F.struct(*_totals(sums, maxes)), "_r").alias("_l")).select(CHUNK, *keys, "_l.*")
@@ -135,7 +134,7 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[
     if by:
         right = totals.select(*[F.col(b).alias(f"_t_{b}") for b in by], "total")
         on = [F.col(b).eqNullSafe(F.col(f"_t_{b}")) for b in by]
-        cum = cum.join(right, on).drop(*[f"_t_{b}" for b in by])
+        cum = cum.join(few_rows(right), on).drop(*[f"_t_{b}" for b in by])
     else:
         cum = cum.withColumn("total", F.lit(totals.first()[0] or 0).cast("long"))
     first = F.col(f"cum_{n}") - F.col(n)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from offerflow.functions.expr import hash_order
 from offerflow.operators.ordered import running
+from offerflow.session import few_rows
 
 
 def split_by_entity(df: DataFrame, keys: Sequence[str], frac: float, seed: int) -> DataFrame:
@@ -26,7 +27,7 @@ def stratified_split(df: DataFrame, keys: Sequence[str], stratum: str, frac: flo
     hashed = df.withColumn("_h", hash_order(list(keys), seed))
     ranked = running(hashed, ["_h", *keys], [stratum], uniform="_h")
     n = df.groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    return (ranked.join(n, F.col(stratum).eqNullSafe(F.col("_s")))
+    return (ranked.join(few_rows(n), F.col(stratum).eqNullSafe(F.col("_s")))
             .withColumn("is_train", (F.col("rn") <= F.round(F.col("_n") * frac)).cast("int"))
             .drop("_s", "_n", "_h", "rn"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from offerflow.functions.expr import hash_order
 from offerflow.operators.ordered import running
+from offerflow.session import few_rows
 
 
 def _curve(df: DataFrame, order: Sequence[str], by: Sequence[str], y: str, treated: str,
@@ -32,7 +33,7 @@ def _fill_start(curve: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
         F.min("idx").alias("_i"), F.min_by(value, "idx").alias("_v"))
     first = first.select(*[F.col(b).alias(f"_b_{b}") for b in by], "_i", "_v")
     if by:
-        joined = curve.join(first, [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by], "left")
+        joined = curve.join(few_rows(first), [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by], "left")
     else:
         row = first.first()
         joined = curve.withColumns({"_i": F.lit(row["_i"]), "_v": F.lit(row["_v"]).cast("double")})
@@ -67,7 +68,7 @@ def _normalize(curve: DataFrame, value: str, by: Sequence[str], absolute: bool =
     last = curve.groupBy(*by).agg(F.max_by(value, "idx").alias("_l"))
     last = last.select(*[F.col(b).alias(f"_b_{b}") for b in by], "_l")
     if by:
-        joined = curve.join(last, [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by])
+        joined = curve.join(few_rows(last), [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by])
     else:
         joined = curve.withColumn("_l", F.lit(last.first()[0]).cast("double"))
     scale = F.abs("_l") if absolute else F.col("_l")
@@ -139,7 +140,7 @@ def uplift_deciles(df: DataFrame, key: str, bins: int = 10, by: Sequence[str] =
     ranked = running(df.select(*side, key, y, effect, cost, *extra), [f"-{effect}", key], side)
     size = df.groupBy(*side).agg(F.floor(F.count(F.lit(1)) / bins).alias("_size"))
     size = size.select(*[F.col(c).alias(f"_b_{c}") for c in side], "_size")
-    binned = (ranked.join(size, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in side])
+    binned = (ranked.join(few_rows(size), [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in side])
               .withColumn("bin", F.floor(F.try_divide(F.col("rn") - 1, F.col("_size"))).cast("int"))
               .where(F.col("bin") < bins))
     is_t = F.col(treated) == 1

@@ -10,7 +10,7 @@ from offerflow.operators import effects, evaluate, profile, scoring, selection,
 from offerflow.plans.catalog import query
 from offerflow.plans.scores import ARMS, experiment, rounded
 from offerflow.plans.views import SCORES
-from offerflow.session import scratch_root
+from offerflow.session import scratch_folder
 from offerflow.sources.partitions import read_partition, write_partition
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -101,7 +101,7 @@ def calibrated(bias: str) -> str:
   LEFT JOIN fx_score ON uid = c_custkey AND group_index < 8)""", ["fx_score"])
 def scoring_job(t):
     """Dated people and feature tables in, calibrated dated scores out."""
-    root = f"{scratch_root(t.spark).rstrip('/')}/offerflow/job-{uuid.uuid4().hex}"
+    root = f"{scratch_folder(t.spark)}/job-{uuid.uuid4().hex}"
     write_partition(t.customer.select(F.col("c_custkey").alias("uid")), f"{root}/people", "2024-01-08")
     write_partition(t.fx_score.where("group_index < 8").select("uid", "score_01", "score_02"),
                     f"{root}/features", "2024-01-07")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from offerflow.operators import joins, profile
 from offerflow.plans.catalog import query
 from offerflow.plans.views import SCORES
-from offerflow.session import scratch_root
+from offerflow.session import scratch_folder
 from offerflow.sources import files, partitions
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -16,7 +16,7 @@ X = ["x1", "x2", "x3", "x4"]
 
 def dated_orders(t, folder: str) -> str:
     """All orders as a monthly dated table with an exp_mode level, in the scratch folder."""
-    path = f"{scratch_root(t.spark).rstrip('/')}/offerflow/{folder}"
+    path = f"{scratch_folder(t.spark)}/{folder}"
     df = t.orders.select(
         "o_orderkey", "o_custkey", "o_totalprice",
         F.date_format("o_orderdate", "yyyy").alias("year"),
@@ -41,7 +41,7 @@ def read_partition(t):
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def write_partition(t):
-    path = f"{scratch_root(t.spark).rstrip('/')}/offerflow/written_orders"
+    path = f"{scratch_folder(t.spark)}/written_orders"
     day = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
     for _ in range(2):  # the second write replaces the first
         partitions.write_partition(day, path, "1995-03-03", role="0", exp_mode="O")
@@ -57,7 +57,7 @@ def carry_forward(t):
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def tsv_round_trip(t):
-    path = f"{scratch_root(t.spark).rstrip('/')}/offerflow/nation_tsv"
+    path = f"{scratch_folder(t.spark)}/nation_tsv"
     df = t.nation.select("n_nationkey", "n_name", "n_regionkey")
     files.export_tsv(df, path, header=True, single_file=True)
     return files.read_tsv(t.spark, path, df.schema)
@@ -67,7 +67,7 @@ def tsv_round_trip(t):
   WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_totalprice FROM orders
   WHERE o_orderstatus = 'P'""")
 def read_samples(t):
-    root = f"{scratch_root(t.spark).rstrip('/')}/offerflow/samples"
+    root = f"{scratch_folder(t.spark)}/samples"
     paths = []
     for status in ("F", "P"):
         week = t.orders.where(F.col("o_orderstatus") == status)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -46,17 +47,39 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{scratch_root(spark).rstrip('/')}/offerflow/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Cuts the lineage, survives lost executors, and fixes values that a re-run could
-    change (partition ids). The folder belongs to the cluster, which expires it.
+    change (partition ids). :func:`drop_staged` removes the tables of an application.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/offerflow/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Remove all tables this application staged; results that read them must be written
+    by then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    folder.getFileSystem(conf).delete(folder, True)
+
+
+def few_rows(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """A group-level table for the small side of a join. It is broadcast if it has at most
+    ``limit`` rows, which is checked by fetching them; a longer one stays a plan."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
