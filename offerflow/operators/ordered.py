@@ -15,7 +15,10 @@ The order must be total, so that equal scores are also spread: end it with an id
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+import math
+import sys
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,10 +159,128 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     by: Sequence[str] = ()) -> DataFrame:
-    """Quantiles per (group, feature); equal values are counted before they are moved."""
-    counts = (unpivot(df, cols, by).where(F.col("value").isNotNull())
-              .groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("n")))
-    return quantiles_of_counts(counts, probs, [*by, "feature"])
+    """Exact quantiles per (group, feature): ``total`` and ``q0 .. qk``.
+
+    Without groups nothing is ordered or shuffled: the values at the wanted ranks are found
+    by :func:`values_at_ranks`. With groups, equal values are counted before they are moved.
+    """
+    if by:
+        counts = (unpivot(df, cols, by).where(F.col("value").isNotNull())
+                  .groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("n")))
+        return quantiles_of_counts(counts, probs, [*by, "feature"])
+    totals, ranked = values_at_ranks(df, cols, lambda n: {
+        r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+    rows = []
+    for c in cols:
+        if not totals[c]:
+            continue
+        at = [p * (totals[c] - 1) for p in probs]
+        lo = [ranked[c][math.floor(x)] for x in at]
+        hi = [ranked[c][math.ceil(x)] for x in at]
+        rows.append((c, totals[c], *[a + (b - a) * (x - math.floor(x)) for a, b, x in zip(lo, hi, at)]))
+    schema = "feature string, total long, " + ", ".join(f"q{i} double" for i in range(len(probs)))
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def values_at_ranks(df: DataFrame, cols: Sequence[str], ranks: Callable[[int], set[int]],
+                    cells: int = 200_000) -> tuple[dict[str, int], dict[str, dict[int, float]]]:
+    """Exact order statistics of several columns: counts, and value per wanted 0-based rank.
+
+    The interval that holds a rank is cut into equal buckets, counted in one aggregate for
+    all columns and ranks, and narrowed to the bucket's own smallest and largest value,
+    until they are the same. Buckets are even in value and in magnitude by turns, so that
+    neither narrow nor widely scattered columns need more than a few passes. A few scans of
+    the columns replace a sort; at most about ``cells`` counts reach the driver.
+    """
+    clean = {c: _finite(F.col(c).cast("double")) for c in cols}
+    whole = df.agg(*[f(v).alias(f"{name}{i}") for i, v in enumerate(clean.values())
+                     for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    totals = {c: whole[f"n{i}"] for i, c in enumerate(cols)}
+    found: dict[str, dict[int, float]] = {c: {} for c in cols}
+    # per column: (smallest value, largest value, rows before, wanted ranks)
+    todo = {i: [(whole[f"lo{i}"], whole[f"hi{i}"], 0, sorted(ranks(totals[c])))]
+            for i, c in enumerate(cols) if totals[c]}
+    names = list(cols)
+    for turn in itertools.count():
+        for i, spans in todo.items():
+            for lo, hi, _, wanted in spans:
+                if lo == hi:
+                    found[names[i]].update({r: lo for r in wanted})
+            todo[i] = [s for s in spans if s[0] != s[1]]
+        todo = {i: spans for i, spans in todo.items() if spans}
+        if not todo:
+            return totals, found
+        buckets = max(16, min(1024, cells // sum(len(s) for s in todo.values())))
+        counts = _span_counts(df, clean, names, todo, buckets, by_size=turn % 2 == 1)
+        todo = {i: _narrowed(spans, counts.get(i, {})) for i, spans in todo.items()}
+
+
+def _finite(v: Column) -> Column:
+    """NaN counts as missing, an infinity as the largest finite number."""
+    most = F.lit(sys.float_info.max)
+    return F.when(v.isNotNull() & ~F.isnan(v), F.greatest(-most, F.least(most, v)))
+
+
+def _size(x: float) -> float:
+    """Logarithm of the magnitude, above 0 for every double, with the sign of x."""
+    return math.copysign(math.log(abs(x)) + 746.0, x) if x else 0.0
+
+
+def _span_counts(df: DataFrame, clean: dict, names: list[str], todo: dict, buckets: int,
+                 by_size: bool) -> dict:
+    """column -> span -> sorted (bucket, rows, smallest, largest).
+
+    The spans are literal arrays looked up by column, so the expression stays the same size
+    for any number of columns and ranks."""
+    low, high, scale, start, width = [], [], [], [], []
+    for i in range(len(names)):
+        spans = todo.get(i, [])
+        low.append([s[0] for s in spans])
+        high.append([s[1] for s in spans])
+        # halves keep the width of a span finite over the whole range of doubles
+        scale.append([0.5 if math.isinf(s[1] - s[0]) and not by_size else 1.0 for s in spans])
+        ends = [(_size(s[0]), _size(s[1])) if by_size else (s[0] * f, s[1] * f)
+                for s, f in zip(spans, scale[-1])]
+        start.append([e[0] for e in ends])
+        width.append([(e[1] - e[0]) / buckets or e[1] - e[0] or 1.0 for e in ends])
+
+    def table(rows):
+        return F.array(*[F.array(*[F.lit(x) for x in r]).cast("array<double>") for r in rows])
+
+    def at(rows):
+        return F.get(F.get(table(rows), F.col("i")), F.col("k"))
+
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), clean[names[i]].alias("v")) for i in todo])
+    v = F.col("v")
+    rows = df.select(F.inline(pairs)).where(v.isNotNull())
+    rows = rows.withColumn("k", F.size(F.filter(F.get(table(low), F.col("i")), lambda x: x <= F.col("v"))) - 1)
+    rows = rows.where((F.col("k") >= 0) & (v <= at(high)))
+    if by_size:
+        place = F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * (F.ln(F.abs(v)) + 746.0))
+    else:
+        place = v * at(scale)
+    bucket = F.floor((place - at(start)) / at(width))
+    bucket = F.greatest(F.lit(0), F.least(bucket, F.lit(buckets - 1))).cast("int")
+    counts = rows.groupBy("i", "k", bucket.alias("b")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    out: dict = {}
+    for r in counts:
+        out.setdefault(r["i"], {}).setdefault(r["k"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
+    return {i: {k: sorted(c) for k, c in spans.items()} for i, spans in out.items()}
+
+
+def _narrowed(spans: list, counts: dict) -> list:
+    """The bucket of every wanted rank as its new span."""
+    out = []
+    for k, (_, _, before, wanted) in enumerate(spans):
+        left = list(wanted)
+        for _, n, lo, hi in counts.get(k, []):
+            here = [r for r in left if r < before + n]
+            if here:
+                out.append((lo, hi, before, here))
+                left = left[len(here):]
+            before += n
+    return out
 
 
 def average_ranks(counts: DataFrame, value: str, n: str = "n",

@@ -84,3 +84,19 @@ def test_average_ranks(spark):
     got = {r["s"]: r["avg_rank"] for r in average_ranks(counts, "s").collect()}
     want = dict(zip(pdf.s, pdf.s.rank()))
     assert got == want
+
+
+def test_order_statistics_of_odd_columns(spark):
+    """Huge and tiny values, one value only, holes, NaN; few cells per pass."""
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"a": rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500), "b": 3.0,
+                        "c": np.where(rng.random(500) < 0.3, np.nan, rng.integers(0, 4, 500))})
+    df = spark.createDataFrame(pdf)
+    probs = [0.0, 0.13, 0.5, 0.77, 1.0]
+    for r in exact_quantiles(df, ["a", "b", "c"], probs).collect():
+        x = pdf[r["feature"]].dropna()
+        assert r["total"] == len(x)
+        assert np.allclose([r[f"q{i}"] for i in range(5)], np.quantile(x, probs), rtol=1e-12)
+    totals, got = ordered.values_at_ranks(df, ["a"], lambda n: set(range(0, n, 7)), cells=100)
+    assert got["a"] == {r: sorted(pdf.a)[r] for r in range(0, totals["a"], 7)}
+    assert exact_quantiles(df.where("b > 5"), ["a"], [0.5]).collect() == []
