@@ -37,12 +37,13 @@ def recall_at(df: DataFrame, label: str, score: str, p: float, keys: Sequence[st
               by: Sequence[str] = ()) -> DataFrame:
     """Share of the positives among the best int(n * p) + 1 rows of each group."""
     ranked = running(df.select(*by, *keys, label, score), [f"-{score}", *keys], by)
+    # group sizes come from the staged ranks, not from the input again
+    n = ranked.groupBy(*[F.col(b).alias(f"_b_{b}") for b in by]).agg(F.max("rn").alias("_n"))
     if by:
-        n = df.groupBy(*[F.col(b).alias(f"_b_{b}") for b in by]).agg(F.count(F.lit(1)).alias("_n"))
         on = [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by]
         ranked = ranked.join(few_rows(n), on)
     else:
-        ranked = ranked.withColumn("_n", F.lit(df.count()))
+        ranked = ranked.withColumn("_n", F.lit(n.first()["_n"] or 0))
     # the first row has position 0, so the slice 0 .. int(n * p) holds one row more
     inside = F.col("rn") <= F.floor(F.col("_n") * F.lit(float(p))) + 1
     hit = F.sum(F.when(inside & (F.col(label) > 0), 1).otherwise(0))

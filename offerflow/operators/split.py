@@ -26,7 +26,7 @@ def stratified_split(df: DataFrame, keys: Sequence[str], stratum: str, frac: flo
     """Exactly round(frac * n) training rows in every stratum."""
     hashed = df.withColumn("_h", hash_order(list(keys), seed))
     ranked = running(hashed, ["_h", *keys], [stratum], uniform="_h")
-    n = df.groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    n = ranked.groupBy(F.col(stratum).alias("_s")).agg(F.max("rn").alias("_n"))
     return (ranked.join(few_rows(n), F.col(stratum).eqNullSafe(F.col("_s")))
             .withColumn("is_train", (F.col("rn") <= F.round(F.col("_n") * frac)).cast("int"))
             .drop("_s", "_n", "_h", "rn"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from offerflow.functions.expr import hash_order
 from offerflow.operators.ordered import running
-from offerflow.session import few_rows
+from offerflow.session import few_rows, stage
 
 
 def _curve(df: DataFrame, order: Sequence[str], by: Sequence[str], y: str, treated: str,
@@ -138,7 +138,7 @@ def uplift_deciles(df: DataFrame, key: str, bins: int = 10, by: Sequence[str] =
     side = [*by, treated]
     extra = [c for c in (predicted, actual) if c]
     ranked = running(df.select(*side, key, y, effect, cost, *extra), [f"-{effect}", key], side)
-    size = df.groupBy(*side).agg(F.floor(F.count(F.lit(1)) / bins).alias("_size"))
+    size = ranked.groupBy(*side).agg(F.floor(F.max("rn") / bins).alias("_size"))
     size = size.select(*[F.col(c).alias(f"_b_{c}") for c in side], "_size")
     binned = (ranked.join(few_rows(size), [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in side])
               .withColumn("bin", F.floor(F.try_divide(F.col("rn") - 1, F.col("_size"))).cast("int"))
@@ -207,8 +207,8 @@ def evaluate_arms(df: DataFrame, key: str, arm: str, control: str, arms: Sequenc
     ite = F.lit(None).cast("double")
     for a in arms:
         ite = F.when(F.col("versus") == a, F.col(effects[a])).otherwise(ite)
-    rows = rows.select("versus", key, "treated", F.col(y).alias("y"), F.col(cost).alias("cost"),
-                       ite.alias("ite"))
+    rows = stage(rows.select("versus", key, "treated", F.col(y).alias("y"), F.col(cost).alias("cost"),
+                             ite.alias("ite")), "arms")
     by = ["versus"]
     qini = qini_score(rows, key, by, k, seed)
     area = aucc_auuc(decile_curve(decile_lift(uplift_deciles(rows, key, bins, by), by), bins, by), by)
