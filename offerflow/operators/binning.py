@@ -24,6 +24,9 @@ class Bands:
     closed_start: bool = False
 
     def index(self, x: Column) -> Column:
+        if len(self.edges) < 2:
+            only = F.lit(0) if self.edges and self.closed_start else F.lit(None).cast("int")
+            return F.when(x == (self.edges[0] if self.edges else 0.0), only).cast("int")
         first = self.edges[0]
         below = (x < first) if self.closed_start else (x <= first)
         out = F.when(x.isNull() | F.isnan(x) | below, F.lit(None).cast("int"))
@@ -90,6 +93,8 @@ def equal_freq_bands_weighted(df: DataFrame, col: str, weight: str, n: int) -> B
 def equal_width_bands(df: DataFrame, col: str, n: int) -> Bands:
     """n equal bands over [min, max]; the first edge is lowered by 0.1 % of the range."""
     lo, hi = df.agg(F.min(F.col(col).cast("double")), F.max(F.col(col).cast("double"))).first()
+    if lo is None:
+        return Bands(())
     if lo == hi:
         pad = 0.001 * abs(lo) if lo else 0.001
         lo, hi = lo - pad, hi + pad
@@ -236,7 +241,7 @@ def bin_feature(df: DataFrame, col: str, method: str, miss_val: float = -1, dec:
     rows = df.withColumn("bin", F.when(x.isNull() | (x == miss_val), miss).otherwise(bands.index(x)))
     ranges = band_ranges(rows, col)
     if method in ("equal_freq", "equal_width") and not weight:
-        edge = F.array(*[F.lit(e) for e in bands.edges])
+        edge = F.array(*[F.lit(e) for e in bands.edges]).cast("array<double>")
         low, high = F.get(edge, F.col("bin")), F.get(edge, F.col("bin") + 1)
         ranges = ranges.withColumns({"low": F.when(F.col("bin") == 0, F.col("low")).otherwise(low),
                                      "high": high})

@@ -140,7 +140,8 @@ def arm_shares(df: DataFrame, arm: str, control: str) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """Equal-width counts with the normal fit (mean and population std) beside them."""
     s = df.agg(F.min(col), F.max(col), F.avg(col), F.stddev_pop(col)).first()
-    lo, hi, mu, sigma = (float(x) for x in s)
+    # a column without values gives no bins
+    lo, hi, mu, sigma = (float(x) if x is not None else 0.0 for x in s)
     width = (hi - lo) / bins or 1.0
     at = F.least(F.floor((F.col(col) - lo) / width), F.lit(bins - 1)).cast("int")
     counts = (df.where(F.col(col).isNotNull()).groupBy(at.alias("bin"))

@@ -118,3 +118,17 @@ def test_woe_of_a_band_without_positives(spark):
     assert got["0"]["woe"] == pytest.approx(math.log(0.5 / (1 / 3)))
     assert got["total"]["iv"] == pytest.approx(got["0"]["iv"]) and got["total"]["woe"] == -9999
     assert got["0"]["lift"] == pytest.approx(round(0.5 / 0.6, 2))
+
+
+@pytest.mark.parametrize("method", ["equal_freq", "equal_width", "fixed", "tree"])
+def test_column_without_values(spark, method):
+    df = spark.createDataFrame([(None, 1), (-1.0, 0)], "x double, y int")
+    rows, bands = binning.bin_feature(df, "x", method, cuts=[0, 1], label="y")
+    assert [r["bin"] for r in rows.collect()] == [-1, -1]
+    assert [(r["bin"], r["n"], r["bin_range"]) for r in bands.collect()] == [(-1, 2, "[-1, -1]")]
+
+
+def test_one_value_is_one_band(spark):
+    rows, bands = binning.bin_feature(column(spark, [4, 4, 4]), "x", "equal_freq", n=3)
+    assert [r["bin"] for r in rows.collect()] == [0, 0, 0]
+    assert [r["n"] for r in bands.collect()] == [3]
