@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerflow.llm import hash_tree, line_rules, mixing
+from offerflow.llm import decontaminate, hash_tree, jaccard, line_rules, mixing, secret_links, token_counts, token_files
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +29,47 @@ def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    hash_tree.even_tree(16), hash_tree.even_tree(17))
 
 
+def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_links.secret_spans(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
+                        count("hex").alias("n_hex"),
+                        F.sha2(secret_links.span_text("base"), 256).alias("base_sha256"),
+                        secret_links.span_text("spans").alias("spans"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_table(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2)
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.quality_report(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "words_removed")
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op4_hash_tree_shards, op7_line_quality)}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicate_groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
+def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_source_mix, op4_hash_tree_shards, op5_secret_links, op6_token_files, op7_line_quality,
+    op8_token_counts, op9_ngram_jaccard, op10_fm_decontamination)}
 
 ORACLES: dict[str, str] = {}
