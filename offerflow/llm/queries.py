@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerflow.llm import decontaminate, hash_tree, jaccard, line_rules, mixing, secret_links, token_counts, token_files
+from offerflow.llm import (
+    decontaminate,
+    hash_tree,
+    jaccard,
+    kneser_ney,
+    licenses,
+    line_rules,
+    mixing,
+    secret_links,
+    token_counts,
+    token_files,
+)
 
 
 def vocabulary(name: str) -> str:
@@ -19,11 +30,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_matches(table(spark, sf_dir, "documents"))
+    best = F.get("matches", F.lit(0))
+    return found.select(
+        "doc_id", F.size("matches").cast("long").alias("n_matches"), best["license"].alias("license"),
+        best["score"].alias("score"),
+        F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["unit"], m["start"], m["end"])), ",")
+        .alias("spans"))
+
+
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.assign_shards(table(spark, sf_dir, "documents"),
                                    hash_tree.even_tree(16), hash_tree.even_tree(17))
@@ -69,7 +94,7 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_source_mix, op4_hash_tree_shards, op5_secret_links, op6_token_files, op7_line_quality,
+    op1_kneser_ney, op2_source_mix, op3_license_scan, op4_hash_tree_shards, op5_secret_links, op6_token_files, op7_line_quality,
     op8_token_counts, op9_ngram_jaccard, op10_fm_decontamination)}
 
 ORACLES: dict[str, str] = {}
