@@ -282,13 +282,17 @@ def quantile_cut(df: DataFrame, ns: dict[str, int], suffix: str = "_quant") -> D
 
 
 def group_code(quants: Sequence[str], ns: Sequence[int]) -> Column:
-    """Leading one, then each bucket in as many decimal digits as its size needs."""
+    """Leading one, then each bucket in as many decimal digits as its size needs: a long, or
+    the same digits as text where the declared sizes need more than 18 of them."""
     carry = []
     for n in ns:
         step, left = 1, float(n)
         while left > 1:
             left, step = left / 10, step * 10
         carry.append(step)
+    if math.prod(carry) > 10 ** 17:
+        digits = [F.lpad(F.col(q).cast("string"), len(str(step)) - 1, "0") for q, step in zip(quants, carry) if step > 1]
+        return F.concat(F.lit("1"), *digits)
     code, place = F.lit(math.prod(carry)).cast("long"), 1
     for q, step in zip(reversed(list(quants)), reversed(carry)):
         code = code + F.col(q).cast("long") * F.lit(place)
@@ -297,9 +301,12 @@ def group_code(quants: Sequence[str], ns: Sequence[int]) -> Column:
 
 
 def woe_iv(df: DataFrame, bin_col: str, label: str, weight: str | None = None,
-           true_value=1, false_value=0) -> DataFrame:
+           true_value=1, false_value=0, ranges: Sequence[str] | None = None) -> DataFrame:
     """good, bad, total, bad rate, WOE, IV and lift per band, and a total row.
 
+    With ``ranges``, the text of every band by its number (see :func:`range_texts`), there is a
+    ``bin_range`` column too; the total row spans from the first band's start to the last one's end.
+
     A band that lacks one of the classes has a null WOE and IV and is skipped in the total
     IV; only a true zero share gives 0. Lift compares bad rates."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -326,4 +333,17 @@ def woe_iv(df: DataFrame, bin_col: str, label: str, weight: str | None = None,
         F.lit("total").alias("bin_index"), "good", "bad", "total",
         F.round(rate * 100, 1).alias("bad_rate"), F.lit(-9999.0).alias("woe"), "iv",
         F.lit(-9999.0).alias("lift"))
-    return rows.unionByName(total)
+    out = rows.unionByName(total)
+    if ranges is None:
+        return out
+    texts = list(ranges)
+    whole_range = f"{texts[0].split(',')[0]},{texts[-1].split(',')[1]}" if texts else None
+    text = F.when(F.col("bin_index") == "total", F.lit(whole_range)).otherwise(
+        F.get(F.array(*[F.lit(x) for x in texts]), F.expr("try_cast(bin_index AS int)")))
+    return out.withColumn("bin_range", text)
+
+
+def range_texts(bands: Bands) -> list[str]:
+    """``(a, b]`` for every band, ``[a, b]`` for a first one with its start."""
+    return [f"{'[' if i == 0 and bands.closed_start else '('}{a:g}, {b:g}]"
+            for i, (a, b) in enumerate(zip(bands.edges[:-1], bands.edges[1:]))]

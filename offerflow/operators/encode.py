@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerflow.functions.expr import map_values
@@ -16,6 +16,17 @@ from offerflow.session import stage
 LITERAL_VALUES = 64
 
 
+def _sort_keys(df: DataFrame, col: str) -> list[Column]:
+    """(whole, real): exact for integers, dates and times in ``whole``, else a double in ``real``;
+    both null for text."""
+    kind, c = dict(df.dtypes)[col], F.col(col)
+    whole = {"date": F.unix_date(c), "timestamp": F.unix_micros(c)} if kind in ("date", "timestamp") else {
+        k: c for k in ("tinyint", "smallint", "int", "bigint", "boolean")}
+    number = kind in ("float", "double") or kind.startswith("decimal")
+    return [(whole[kind].cast("long") if kind in whole else F.lit(None).cast("long")).alias("whole"),
+            (c.cast("double") if number else F.lit(None).cast("double")).alias("real")]
+
+
 @dataclass(frozen=True)
 class LabelEncoder:
     """Sorted distinct values of each column as 0 .. k-1.
@@ -31,14 +42,12 @@ class LabelEncoder:
     def fit(df: DataFrame, cols: Sequence[str]) -> LabelEncoder:
         pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
                           for c in cols])
-        # numbers must sort as numbers, so the sort key is kept beside the text
-        types = dict(df.dtypes)
-        keys = F.array(*[F.when(F.lit(types[c] != "string"), F.col(c).cast("double"))
-                         for c in cols])
+        # values must sort as what they are, so sort keys are kept beside the text
+        keys = F.array(*[F.struct(*_sort_keys(df, c)) for c in cols])
         distinct = (df.select(F.posexplode(F.arrays_zip(pairs.alias("p"), keys.alias("k"))))
-                    .select("col.p.*", F.col("col.k").alias("sort_key"))
+                    .select("col.p.*", "col.k.whole", "col.k.real")
                     .where(F.col("value").isNotNull()).distinct())
-        codes = stage(running(distinct, ["sort_key", "value"], ["feature"], rank="rn")
+        codes = stage(running(distinct, ["whole", "real", "value"], ["feature"], rank="rn")
                       .select("feature", "value", (F.col("rn") - 1).cast("int").alias("code")),
                       "codes")
         sizes = {r["feature"]: r["n"] for r in

@@ -60,17 +60,17 @@ def threshold_table(df: DataFrame, label: str, score: str, cuts: Sequence[float]
                     all_positives: int | None = None) -> DataFrame:
     """precision, recall, count, recall of an outside total, and F1 per threshold.
 
-    Each row is put under its highest threshold once; the rest works on one row per
-    threshold."""
-    cuts = sorted(cuts)
-    table = F.array(*[F.lit(float(c)) for c in cuts])
-    step = (cuts[-1] - cuts[0]) / max(len(cuts) - 1, 1) or 1.0
-    guess = F.greatest(F.lit(0), F.least(F.lit(len(cuts) - 1), F.floor(
-        (F.col(score) - cuts[0]) / step))).cast("int")
-    # the division may land one step off: settle it on the thresholds themselves
-    at = (F.when(F.col(score) >= F.get(table, guess + 1), guess + 1)
-          .when(F.col(score) < F.get(table, guess), guess - 1).otherwise(guess))
-    counts = df.where(F.col(score).isNotNull()).groupBy(at.alias("_at")).agg(
+    Each row is put under its highest threshold once, by binary search, whatever the
+    thresholds' distances; the rest works on one row per threshold."""
+    cuts = sorted({float(c) for c in cuts})
+    table = F.array(*[F.lit(c) for c in cuts])
+    placed = df.where(F.col(score).isNotNull()).withColumn("_at", F.lit(-1))
+    step = 1 << (len(cuts).bit_length() - 1 if cuts else 0)
+    while step:
+        placed = placed.withColumn("_at", F.when(
+            F.get(table, F.col("_at") + step) <= F.col(score), F.col("_at") + step).otherwise(F.col("_at")))
+        step >>= 1
+    counts = placed.groupBy("_at").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("_p"))
     # position -1 holds the rows below every threshold; they count as positives missed
@@ -142,7 +142,7 @@ def model_areas(df: DataFrame, label: str, raw: str = "rawPrediction") -> dict[s
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
     return {name: BinaryClassificationEvaluator(
-        labelCol=label, rawPredictionCol=raw, metricName=metric).evaluate(df)
+        labelCol=label, rawPredictionCol=raw, metricName=metric, numBins=0).evaluate(df)
         for name, metric in (("roc_auc", "areaUnderROC"), ("pr_auc", "areaUnderPR"))}
 
 

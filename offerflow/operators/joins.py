@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerflow.operators.ranking import dedup_latest
@@ -32,16 +32,24 @@ def keep_items(df: DataFrame, col: str, items: DataFrame) -> DataFrame:
 def assemble_features(base: DataFrame, parts: Sequence[tuple[DataFrame, Sequence[str]]],
                       keys: Sequence[str]) -> DataFrame:
     """Left-join feature groups on the sample key. Each part comes with the order that
-    picks its one row per key (empty: the part is already unique)."""
+    picks its one row per key. Without an order the part must be unique; a key found twice is an
+    error, which the join's own shuffle checks."""
     out = base
     for part, order in parts:
-        one = dedup_latest(part, keys, order) if order else part
+        one = dedup_latest(part, keys, order) if order else _unique(part, keys)
         used = [*keys, *[o.lstrip("-") for o in order]]
         features = [c for c in one.columns if c not in used]
         out = out.join(one.select(*keys, *features), list(keys), "left")
     return out
 
 
+def _unique(part: DataFrame, keys: Sequence[str]) -> DataFrame:
+    known = part.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    once = F.when(F.count(F.lit(1)).over(Window.partitionBy(*keys)) == 1, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"a part without an order has a key {list(keys)} twice")).cast("boolean"))
+    return known.withColumn("_once", once).where("_once").drop("_once")
+
+
 def join_rules_scores(ids: DataFrame, rules: Sequence[DataFrame],
                       scores: Sequence[DataFrame], key: str = "uid") -> DataFrame:
     """ids with the AND of every rule column and the product of every score column.

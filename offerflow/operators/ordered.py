@@ -165,7 +165,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     by :func:`values_at_ranks`. With groups, equal values are counted before they are moved.
     """
     if by:
-        counts = (unpivot(df, cols, by).where(F.col("value").isNotNull())
+        counts = (unpivot(df, cols, by).where(F.col("value").isNotNull() & ~F.isnan("value"))
                   .groupBy(*by, "feature", "value").agg(F.count(F.lit(1)).alias("n")))
         return quantiles_of_counts(counts, probs, [*by, "feature"])
     totals, ranked = values_at_ranks(df, cols, lambda n: {
@@ -177,11 +177,16 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         at = [p * (totals[c] - 1) for p in probs]
         lo = [ranked[c][math.floor(x)] for x in at]
         hi = [ranked[c][math.ceil(x)] for x in at]
-        rows.append((c, totals[c], *[a + (b - a) * (x - math.floor(x)) for a, b, x in zip(lo, hi, at)]))
+        rows.append((c, totals[c], *[_between(a, b, x - math.floor(x)) for a, b, x in zip(lo, hi, at)]))
     schema = "feature string, total long, " + ", ".join(f"q{i} double" for i in range(len(probs)))
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def _between(a: float, b: float, share: float) -> float:
+    """Linear interpolation that carries infinities through."""
+    return a if share == 0 or a == b else a + (b - a) * share
+
+
 def values_at_ranks(df: DataFrame, cols: Sequence[str], ranks: Callable[[int], set[int]],
                     cells: int = 200_000) -> tuple[dict[str, int], dict[str, dict[int, float]]]:
     """Exact order statistics of several columns: counts, and value per wanted 0-based rank.
@@ -194,12 +199,19 @@ def values_at_ranks(df: DataFrame, cols: Sequence[str], ranks: Callable[[int], s
     """
     clean = {c: _finite(F.col(c).cast("double")) for c in cols}
     whole = df.agg(*[f(v).alias(f"{name}{i}") for i, v in enumerate(clean.values())
-                     for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    totals = {c: whole[f"n{i}"] for i, c in enumerate(cols)}
+                     for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))],
+                   *[F.count_if(F.col(c).cast("double") == x).alias(f"{name}{i}") for i, c in enumerate(cols)
+                     for name, x in (("below", -math.inf), ("above", math.inf))]).first()
+    totals = {c: whole[f"below{i}"] + whole[f"n{i}"] + whole[f"above{i}"] for i, c in enumerate(cols)}
     found: dict[str, dict[int, float]] = {c: {} for c in cols}
     # per column: (smallest value, largest value, rows before, wanted ranks)
-    todo = {i: [(whole[f"lo{i}"], whole[f"hi{i}"], 0, sorted(ranks(totals[c])))]
-            for i, c in enumerate(cols) if totals[c]}
+    todo = {}
+    for i, c in enumerate(cols):
+        low, high = whole[f"below{i}"], whole[f"below{i}"] + whole[f"n{i}"]
+        wanted = sorted(ranks(totals[c])) if totals[c] else []
+        found[c].update({r: -math.inf if r < low else math.inf for r in wanted if not low <= r < high})
+        if inner := [r for r in wanted if low <= r < high]:
+            todo[i] = [(whole[f"lo{i}"], whole[f"hi{i}"], low, inner)]
     names = list(cols)
     for turn in itertools.count():
         for i, spans in todo.items():
@@ -216,9 +228,8 @@ def values_at_ranks(df: DataFrame, cols: Sequence[str], ranks: Callable[[int], s
 
 
 def _finite(v: Column) -> Column:
-    """NaN counts as missing, an infinity as the largest finite number."""
-    most = F.lit(sys.float_info.max)
-    return F.when(v.isNotNull() & ~F.isnan(v), F.greatest(-most, F.least(most, v)))
+    """Null for NaN, which counts as missing, and for infinities, which are counted apart."""
+    return F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= sys.float_info.max), v)
 
 
 def _size(x: float) -> float:

@@ -26,8 +26,9 @@ def long_summary(df: DataFrame, cols: Sequence[str], stats: Mapping[str, object]
 
 
 def describe_features(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> DataFrame:
-    """count, mean, std, min, quartiles, max and missing percent per column."""
-    num = [F.col(c).cast("double").alias(c) for c in cols]
+    """count, mean, std, min, quartiles, max and missing percent per column. NaN counts as
+    missing throughout."""
+    num = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols]
     data = df.select(*num)
     stats = {
         "count": lambda c: F.count(c),

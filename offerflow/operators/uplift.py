@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from offerflow.functions.expr import hash_order
 from offerflow.operators.ordered import running
@@ -50,18 +51,37 @@ def qini_value() -> Column:
     return F.col("cum_ytr") - F.try_divide(F.col("cum_yct") * F.col("cum_tr"), F.col("ct"))
 
 
-def cum_lift(df: DataFrame, key: str, by: Sequence[str] = (), y: str = "y",
-             treated: str = "treated", effect: str = "ite") -> DataFrame:
-    """Mean treated outcome minus mean control outcome among the best idx rows."""
+def _from_zero(curve: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The curve with its row 0: position 0, every value 0, no key."""
+    groups = curve.select(*by).distinct() if by else curve.sparkSession.range(1).select()
+    given = {**{b: F.col(b) for b in by}, "idx": F.lit(0).cast("long")}
+    zero = groups.select(*[
+        given.get(f.name, F.lit(0.0) if f.dataType == DoubleType() else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in curve.schema])
+    return curve.unionByName(zero)
+
+
+def _lift(df: DataFrame, key: str, by: Sequence[str], y: str = "y", treated: str = "treated",
+          effect: str = "ite") -> DataFrame:
     curve = _curve(df, [f"-{effect}", key], by, y, treated).withColumn("lift", lift_value())
     return _fill_start(curve, "lift", by).select(*by, key, "idx", "lift")
 
 
+def _gain(df: DataFrame, key: str, by: Sequence[str], normalize: bool, **cols: str) -> DataFrame:
+    gain = _lift(df, key, by, **cols).withColumn("gain", F.col("lift") * F.col("idx"))
+    return _normalize(gain, "gain", by, absolute=True) if normalize else gain
+
+
+def cum_lift(df: DataFrame, key: str, by: Sequence[str] = (), y: str = "y",
+             treated: str = "treated", effect: str = "ite") -> DataFrame:
+    """Mean treated outcome minus mean control outcome among the best idx rows, from row 0."""
+    return _from_zero(_lift(df, key, by, y, treated, effect), by)
+
+
 def cum_gain(df: DataFrame, key: str, by: Sequence[str] = (), normalize: bool = False,
              **cols: str) -> DataFrame:
-    """Lift times population, optionally over the absolute last value."""
-    gain = cum_lift(df, key, by, **cols).withColumn("gain", F.col("lift") * F.col("idx"))
-    return _normalize(gain, "gain", by, absolute=True) if normalize else gain
+    """Lift times population, optionally over the absolute last value, from row 0."""
+    return _from_zero(_gain(df, key, by, normalize, **cols), by)
 
 
 def _normalize(curve: DataFrame, value: str, by: Sequence[str], absolute: bool = False) -> DataFrame:
@@ -78,7 +98,12 @@ def _normalize(curve: DataFrame, value: str, by: Sequence[str], absolute: bool =
 
 def qini_curve(df: DataFrame, key: str, by: Sequence[str] = (), normalize: bool = False,
                y: str = "y", treated: str = "treated", effect: str = "ite") -> DataFrame:
-    """Y_t - Y_c * N_t / N_c in effect order, with the treated share."""
+    """Y_t - Y_c * N_t / N_c in effect order, with the treated share, from row 0."""
+    return _from_zero(_qini(df, key, by, normalize, y, treated, effect), by)
+
+
+def _qini(df: DataFrame, key: str, by: Sequence[str], normalize: bool, y: str, treated: str,
+          effect: str) -> DataFrame:
     curve = _curve(df, [f"-{effect}", key], by, y, treated).withColumns(
         {"qini": qini_value(), "treated_share": F.col("cum_tr") / F.col("idx")})
     curve = _fill_start(curve, "qini", by).select(*by, key, "idx", "qini", "treated_share")
@@ -95,18 +120,18 @@ def random_orders(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
 
 def random_baseline(df: DataFrame, key: str, kind: str = "qini", k: int = 10, seed: int = 42,
                     by: Sequence[str] = (), y: str = "y", treated: str = "treated") -> DataFrame:
-    """The mean of the same curve under k random orders, by position."""
+    """The mean of the same curve under k random orders, by position, from row 0."""
     keys = [*by, "order_no"]
     curve = _curve(random_orders(df, key, k, seed), ["_h", key], keys, y, treated, "_h")
     value = lift_value() if kind == "lift" else qini_value()
     filled = _fill_start(curve.withColumn(kind, value), kind, keys)
-    return filled.groupBy(*by, "idx").agg(F.avg(kind).alias(f"random_{kind}"))
+    return _from_zero(filled.groupBy(*by, "idx").agg(F.avg(kind).alias(f"random_{kind}")), by)
 
 
 def auuc_score(df: DataFrame, key: str, by: Sequence[str] = (), normalize: bool = True,
                **cols: str) -> DataFrame:
     """Mean of the gain curve, its row 0 included."""
-    gain = cum_gain(df, key, by, normalize, **cols)
+    gain = _gain(df, key, by, normalize, **cols)
     return gain.groupBy(*by).agg((F.sum("gain") / (F.count(F.lit(1)) + 1)).alias("auuc"))
 
 
@@ -114,16 +139,18 @@ def qini_score(df: DataFrame, key: str, by: Sequence[str] = (), k: int = 10, see
                y: str = "y", treated: str = "treated", effect: str = "ite") -> DataFrame:
     """Mean distance between the normalised Qini curves of the model and of random order."""
     keys = [*by, "order_no"]
-    model = qini_curve(df, key, by, True, y, treated, effect).groupBy(*by).agg(
-        F.sum("qini").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    # every order ends on the same total, so the curves are summed as they are and divided at the end
+    model = _qini(df, key, by, False, y, treated, effect).groupBy(*by).agg(
+        F.sum("qini").alias("_m"), F.count(F.lit(1)).alias("_n"), F.max_by("qini", "idx").alias("_last"))
     curve = _curve(random_orders(df, key, k, seed), ["_h", key], keys, y, treated, "_h")
-    rand = _normalize(_fill_start(curve.withColumn("qini", qini_value()), "qini", keys), "qini", keys)
+    rand = _fill_start(curve.withColumn("qini", qini_value()), "qini", keys)
     rand = rand.groupBy(*by).agg((F.sum("qini") / k).alias("_r"))
     if by:
         both = model.join(rand, list(by))
     else:
         both = model.withColumn("_r", F.lit(rand.first()[0]))
-    return both.select(*by, ((F.col("_m") - F.col("_r")) / (F.col("_n") + 1)).alias("qini_score"))
+    score = F.try_divide(F.col("_m") - F.col("_r"), F.col("_last")) / (F.col("_n") + 1)
+    return both.select(*by, score.alias("qini_score"))
 
 
 def uplift_deciles(df: DataFrame, key: str, bins: int = 10, by: Sequence[str] = (),
@@ -216,6 +243,14 @@ def evaluate_arms(df: DataFrame, key: str, arm: str, control: str, arms: Sequenc
     return qini.join(area, "versus").join(size, "versus").withColumnRenamed("versus", "arm")
 
 
+def mean_over_arms(result: DataFrame) -> DataFrame:
+    """The rows of :func:`evaluate_arms` and one named ``mean``: each measure's mean over the arms,
+    with the treated of all."""
+    measures = ["qini_score", "aucc", "auuc"]
+    mean = result.agg(*[F.avg(m).alias(m) for m in measures], F.sum("n_treated").alias("n_treated"))
+    return result.unionByName(mean.select(F.lit("mean").alias("arm"), *measures, "n_treated"))
+
+
 def pmg(df: DataFrame, actual: str, predicted: str, label: str) -> DataFrame:
     """Policy mean gain: label mean where the recommended arm was the actual one, weighted
     by how often each arm is recommended, relative to the overall mean."""

@@ -124,6 +124,30 @@ def woe_iv(t):
     return rounded(binning.woe_iv(rows, "bin", "label", "w"), woe=6, iv=6)
 
 
+WIDE = 34
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, '1' || "
+       + " || ".join(f"CAST((l_partkey + {i}) % 10 AS VARCHAR)" for i in range(34))
+       + " AS group_code FROM fx_label", ["fx_label"])
+def group_code_wide(t):
+    """34 columns of 10 buckets: more digits than a long has."""
+    df = t.fx_label.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                           *[((F.col("l_partkey") + i) % 10).alias(f"q{i}") for i in range(WIDE)])
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", binning.group_code(
+        [f"q{i}" for i in range(WIDE)], [10] * WIDE).alias("group_code"))
+
+
+@query("""WITH b AS (SELECT CASE WHEN x1 <= 10 THEN '(0, 10]' WHEN x1 <= 20 THEN '(10, 20]'
+    WHEN x1 <= 40 THEN '(20, 40]' END AS bin_range, w FROM fx_label)
+  SELECT bin_range, sum(w) AS total FROM b GROUP BY bin_range UNION ALL SELECT '(0, 40]', sum(w) FROM b""",
+       ["fx_label"])
+def woe_ranges(t):
+    bands = binning.fixed_bands([0, 10, 20, 40])
+    return binning.woe_iv(bands.apply(t.fx_label, "x1"), "bin", "label", "w",
+                          ranges=binning.range_texts(bands)).select("bin_range", "total")
+
+
 # --- correlations ------------------------------------------------------------------
 
 PAIRS = [("x1", "x2"), ("x1", "x3"), ("x2", "x3")]

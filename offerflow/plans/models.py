@@ -174,8 +174,8 @@ def model_areas(t):
 
 @query()
 def cv_auc(t):
-    folds = split.stratified_kfold(t.fx_label.select(*KEYS, *X, "label"), KEYS, "label", 3, 2021)
-    return evaluate.cv_auc(folds, "label", 3, fit_trees)
+    folds = split.stratified_kfold(t.fx_label.select(*KEYS, *X, "label"), KEYS, "label", 5, 2021)
+    return evaluate.cv_auc(folds, "label", 5, fit_trees)
 
 
 def people(t):

@@ -26,6 +26,18 @@ def label_encode(t):
     return enc.transform(df, unseen=-1).select("uid", "segment", "name")
 
 
+@query("""WITH d AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INT) AS code FROM
+    (SELECT DISTINCT o_orderdate AS v FROM orders)),
+  k AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INT) AS code FROM
+    (SELECT DISTINCT o_custkey + 9007199254740992 AS v FROM orders))
+  SELECT o_orderkey, d.code AS day, k.code AS big FROM orders JOIN d ON d.v = o_orderdate
+  JOIN k ON k.v = o_custkey + 9007199254740992""")
+def label_encode_dates(t):
+    df = t.orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"),
+                         (F.col("o_custkey") + F.lit(2 ** 53)).alias("big"))
+    return encode.LabelEncoder.fit(df, ["day", "big"]).transform(df)
+
+
 SCALE = """WITH s AS (SELECT avg(x1) m1, stddev_pop(x1) s1, avg(x2) m2, stddev_pop(x2) s2,
     min(x1) lo1, max(x1) hi1, min(x2) lo2, max(x2) hi2 FROM fx_label WHERE item = 'F') """
 

@@ -48,6 +48,18 @@ def masked_auc(t):
     return rounded(evaluate.masked_auc(df, [("label_a", "score"), ("label_b", "x1")]), auc=6)
 
 
+@query("""WITH c AS (SELECT unnest([0, 0.01, 0.02, 0.03, 0.3, 0.31, 0.9, 1]::DOUBLE[]) AS threshold),
+  m AS (SELECT threshold, count(score) FILTER (score >= threshold) AS n,
+    count(score) FILTER (score >= threshold AND label = 1) AS hits, count(*) FILTER (label = 1) AS pos
+    FROM c, fx_label GROUP BY threshold)
+  SELECT threshold, n AS count, CASE WHEN n = 0 THEN 0 ELSE hits / n END AS precision, hits / pos AS recall
+  FROM m""", ["fx_label"])
+def threshold_table_uneven(t):
+    cuts = [0.0, 0.01, 0.02, 0.03, 0.3, 0.31, 0.9, 1.0]
+    return evaluate.threshold_table(t.fx_label, "label", "score", cuts).select(
+        "threshold", "count", "precision", "recall")
+
+
 @query(f"""SELECT item, sum(CASE WHEN rn <= floor(n * 0.3::DOUBLE) + 1 AND label = 1 THEN 1 ELSE 0 END)
     / sum(label) AS recall FROM (SELECT item, label, row_number() OVER (PARTITION BY item
     ORDER BY score DESC, {K}) AS rn, count(*) OVER (PARTITION BY item) AS n FROM fx_label)
@@ -142,19 +154,20 @@ def experiment(t):
     return t.fx_experiment.withColumn("treated", (F.col("treatment") != "control").cast("int"))
 
 
-@query(f"WITH {CURVE} SELECT uid, idx, round(lift, 6) AS lift FROM u", ["fx_experiment"])
+@query(f"WITH {CURVE} SELECT uid, idx, round(lift, 6) AS lift FROM u UNION ALL SELECT NULL, 0, 0",
+       ["fx_experiment"])
 def cum_lift(t):
     return rounded(uplift.cum_lift(experiment(t), "uid"), lift=6)
 
 
 @query(f"""WITH {CURVE} SELECT uid, idx, round(lift * idx / abs(max(CASE WHEN idx = n THEN lift * idx END)
-    OVER ()), 6) AS gain FROM u""", ["fx_experiment"])
+    OVER ()), 6) AS gain FROM u UNION ALL SELECT NULL, 0, 0""", ["fx_experiment"])
 def cum_gain(t):
     return rounded(uplift.cum_gain(experiment(t), "uid", normalize=True), gain=6).drop("lift")
 
 
-@query(f"WITH {CURVE} SELECT uid, idx, round(qini, 6) AS qini, round(treated_share, 6) AS treated_share FROM u",
-       ["fx_experiment"])
+@query(f"WITH {CURVE} SELECT uid, idx, round(qini, 6) AS qini, round(treated_share, 6) AS treated_share FROM u "
+       "UNION ALL SELECT NULL, 0, 0, 0", ["fx_experiment"])
 def qini_curve(t):
     return rounded(uplift.qini_curve(experiment(t), "uid"), qini=6, treated_share=6)
 
@@ -172,8 +185,8 @@ def random_sql(seed: int, source: str, by: str = "") -> str:
 
 
 @query(f"""WITH src AS (SELECT *, CAST(treatment <> 'control' AS INT) AS t FROM fx_experiment),
-  {random_sql(42, 'src')} SELECT idx, round(avg(q), 6) AS random_qini FROM rq GROUP BY idx""",
-       ["fx_experiment"])
+  {random_sql(42, 'src')} SELECT idx, round(avg(q), 6) AS random_qini FROM rq GROUP BY idx
+  UNION ALL SELECT 0, 0""", ["fx_experiment"])
 def random_baseline(t):
     return rounded(uplift.random_baseline(experiment(t), "uid"), random_qini=6)
 
@@ -278,7 +291,7 @@ VERSUS = """WITH src AS (SELECT uid, y, cost, ite, CAST(treatment <> 'control' A
     WHERE treatment = 'control')"""
 
 
-@query(f"""{VERSUS}, {decile_sql('src', 'versus')},
+ARMS_SQL = f"""{VERSUS}, {decile_sql('src', 'versus')},
   {AREA.format(k="versus, ", p="PARTITION BY versus", g="GROUP BY versus")},
   {random_sql(42, 'src', 'versus')},
   rs AS (SELECT versus, sum(s) / 10 AS r FROM (SELECT versus, o, sum(q) / arg_max(q, idx) AS s FROM rq
@@ -292,11 +305,25 @@ VERSUS = """WITH src AS (SELECT uid, y, cost, ite, CAST(treatment <> 'control' A
   ms AS (SELECT versus, sum(q) / arg_max(q, idx) AS m, count(*) AS n FROM mq GROUP BY versus)
   SELECT versus AS arm, round((m - r) / (n + 1), 6) AS qini_score, round(aucc, 6) AS aucc,
     round(auuc, 6) AS auuc, (SELECT sum(t)::BIGINT FROM src s WHERE s.versus = ms.versus) AS n_treated
-  FROM ms JOIN rs USING (versus) JOIN ar USING (versus)""", ["fx_experiment"])
+  FROM ms JOIN rs USING (versus) JOIN ar USING (versus)"""
+
+
+def _arms(t):
+    return uplift.evaluate_arms(t.fx_experiment, "uid", "treatment", "control", ARMS,
+                                {a: "ite" for a in ARMS})
+
+
+@query(ARMS_SQL, ["fx_experiment"])
 def evaluate_arms(t):
-    out = uplift.evaluate_arms(t.fx_experiment, "uid", "treatment", "control", ARMS,
-                               {a: "ite" for a in ARMS})
-    return rounded(out, qini_score=6, aucc=6, auuc=6)
+    return rounded(_arms(t), qini_score=6, aucc=6, auuc=6)
+
+
+@query(f"""WITH a AS ({ARMS_SQL.replace(', 6)', ', 16)')}) SELECT arm, round(qini_score, 6) AS qini_score,
+    round(aucc, 6) AS aucc, round(auuc, 6) AS auuc, n_treated FROM a UNION ALL SELECT 'mean',
+    round(avg(qini_score), 6), round(avg(aucc), 6), round(avg(auuc), 6), sum(n_treated)::BIGINT FROM a""",
+       ["fx_experiment"])
+def evaluate_arms_mean(t):
+    return rounded(uplift.mean_over_arms(_arms(t)), qini_score=6, aucc=6, auuc=6)
 
 
 PRED = """CASE WHEN ite > 0.6 THEN 'treatment_1' WHEN ite > 0.3 THEN 'treatment_3'

@@ -48,6 +48,26 @@ def write_partition(t):
     return partitions.read_partition(t.spark, path, "1995-03-03", role="0", exp_mode="O")
 
 
+@query("""SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus AS exp_mode FROM orders
+  WHERE o_orderstatus <> 'O'""")
+def write_partition_empty(t):
+    path = f"{scratch_folder(t.spark)}/emptied_orders"
+    for mode in ("F", "O", "P"):
+        day = t.orders.where(F.col("o_orderstatus") == mode).select("o_orderkey", "o_custkey", "o_totalprice")
+        partitions.write_partition(day, path, "1995-03-03", exp_mode=mode)
+    nothing = t.orders.select("o_orderkey", "o_custkey", "o_totalprice").where("false")
+    partitions.write_partition(nothing, path, "1995-03-03", exp_mode="O")
+    return partitions.read_partition(t.spark, path, "1995-03-03")
+
+
+@query("""SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus AS exp_mode FROM orders
+  WHERE date_trunc('month', o_orderdate) = DATE '1995-03-01'""")
+def carry_forward_all_modes(t):
+    path = dated_orders(t, "carried_modes")
+    partitions.carry_forward(t.spark, path, "1995-03-01", "1999-01-01")
+    return partitions.read_partition(t.spark, path, "1999-01-01")
+
+
 @query(MONTH)
 def carry_forward(t):
     path = dated_orders(t, "carried_orders")
@@ -65,11 +85,11 @@ def tsv_round_trip(t):
 
 @query("""SELECT o_orderkey AS sample_id, o_totalprice AS amount FROM orders
   WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_totalprice FROM orders
-  WHERE o_orderstatus = 'P'""")
+  WHERE o_orderstatus <> 'F'""")
 def read_samples(t):
     root = f"{scratch_folder(t.spark)}/samples"
     paths = []
-    for status in ("F", "P"):
+    for status in ("F", "O", "P"):
         week = t.orders.where(F.col("o_orderstatus") == status)
         cols = [F.col("o_orderkey").alias("sample_id"), F.col("o_totalprice").alias("amount"),
                 F.col("o_custkey").alias("uid")]
@@ -195,6 +215,14 @@ def describe_features(t):
     return out.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
+@query("WITH src AS (SELECT x1, x2, CASE WHEN x1 > 10 THEN x3 END AS x3 FROM fx_label) "
+       + DESCRIBE, ["fx_label"])
+def describe_features_nan(t):
+    src = t.fx_label.select("x1", "x2", F.when(F.col("x1") > 10, F.col("x3")).otherwise(F.lit(float("nan"))).alias("x3"))
+    out = profile.describe_features(src, ["x1", "x2", "x3"])
+    return out.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
 @query("SELECT uid, score_01 FROM fx_score", ["fx_score"])
 def drop_constant(t):
     df = t.fx_score.select("uid", "score_01", F.lit(3.0).alias("flat"))

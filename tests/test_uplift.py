@@ -30,9 +30,9 @@ def test_curves(spark):
     lift, qini = curves(pdf)
     df = spark.createDataFrame(pdf)
     got = [r["lift"] for r in uplift.cum_lift(df, "uid").orderBy("idx").collect()]
-    assert np.allclose(got, lift[1:])
+    assert np.allclose(got, lift)
     got = [r["qini"] for r in uplift.qini_curve(df, "uid").orderBy("idx").collect()]
-    assert np.allclose(got, qini[1:])
+    assert np.allclose(got, qini)
     gain = lift * np.arange(len(lift))
     assert uplift.auuc_score(df, "uid").first()["auuc"] == pytest.approx(np.mean(gain / abs(gain[-1])))
 
@@ -41,7 +41,7 @@ def test_curves_by_group_equal_single_curves(spark):
     a, b = frame(40, 2), frame(50, 3)
     both = spark.createDataFrame(pd.concat([a.assign(g="a"), b.assign(g="b")]))
     for g, pdf in (("a", a), ("b", b)):
-        want = curves(pdf)[1][1:]
+        want = curves(pdf)[1]
         rows = uplift.qini_curve(both, "uid", ["g"]).where(f"g = '{g}'").orderBy("idx").collect()
         assert np.allclose([r["qini"] for r in rows], want)
 
