@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerflow.functions.expr import hash_order
-
-MAX_ITEMS = 10_000
+from offerflow.operators.ordered import running
+from offerflow.session import stage
 
 
 def item_weights(df: DataFrame, item: str) -> DataFrame:
@@ -19,59 +21,78 @@ def item_weights(df: DataFrame, item: str) -> DataFrame:
     return counts.select(item, "n", F.bround(F.col("n") / F.lit(least)).cast("long").alias("weight"))
 
 
-def negative_sample(positives: DataFrame, weights: Mapping[str, int], keys: Sequence[str],
+def _places(prefix: str, seed: int, k: int, starts: np.ndarray, weights: np.ndarray, size: int,
+            copies: int, replacement: bool) -> np.ndarray:
+    """Places in the whole list of item copies that ``k`` hashed draws hit. What the key holds
+    (``starts``, ``weights``, rising) is passed over; without replacement so is each place
+    that was drawn before."""
+    at = np.array([int(hashlib.md5(f"{prefix}{j}|{seed}".encode()).hexdigest()[:8], 16)
+                   for j in range(1, k + 1)], dtype=np.int64)
+    starts, weights = starts * copies, weights * copies
+    before = np.concatenate([[0], np.cumsum(weights)])
+    free = starts - before[:-1]  # how many places not held lie before each held stretch
+    if replacement:
+        at %= size
+    else:
+        taken = np.zeros(0, dtype=np.int64)  # the i-th place drawn so far, less i
+        for j in range(k):
+            left = int(at[j]) % (size - j)
+            i = int(np.searchsorted(taken, left, side="right"))
+            at[j] = left + i
+            taken = np.concatenate([taken[:i], [left], taken[i:] - 1])
+    return (at + before[np.searchsorted(free, at, side="right")]) // copies
+
+
+def negative_sample(positives: DataFrame, weights: Mapping | DataFrame, keys: Sequence[str],
                     item: str, ratio: int, replacement: bool, seed: int) -> DataFrame:
     """Distinct positives (label 1) and, per key, ``positives * ratio`` negatives (label 0).
 
     The negatives come from the items the key does not hold, each repeated by its weight.
     Without replacement the whole list is repeated often enough to supply the draws; a
-    key that holds every item has no pool and gets none. A key is one row with at most
-    one entry per catalogue item, so a busy user is no larger than any other.
+    key that holds every item has no pool and gets none. ``weights`` is a table (item,
+    weight) of any length, or a mapping.
+
+    Items are laid end to end by their running weight. A key draws places of that line, for which it
+    needs no more than the stretches of its own items; places become items by a range
+    join on even bins. Nothing depends on the number of items but that join.
     """
-    if len(weights) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items: draw in item groups")
-    names = sorted(weights)
-    catalogue = F.array(*[F.lit(n) for n in names])
-    all_weights = F.array(*[F.lit(int(weights[n])).cast("long") for n in names])
-    distinct = positives.select(*keys, item).distinct()
-    held = distinct.groupBy(*keys).agg(F.collect_set(item).alias("held"))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    pool = F.transform(catalogue, lambda x, i: F.when(
-        F.array_contains("held", x), F.lit(0).cast("long")).otherwise(F.get(all_weights, i)))
-    rows = held.select(*keys, "held", pool.alias("pool")).withColumn("size", total(F.col("pool")))
-    k = F.when(F.col("size") > 0, F.size("held") * ratio).otherwise(0)
-    rows = rows.withColumn("k", k.cast("long"))
-    if not replacement:
-        copies = F.floor(F.col("k") / F.greatest(F.col("size"), F.lit(1))) + 1
-        rows = rows.withColumn("pool", F.transform("pool", lambda w: w * copies))
-        rows = rows.withColumn("size", F.col("size") * copies)
+    spark = positives.sparkSession
+    if isinstance(weights, Mapping):
+        kind = positives.schema[item].dataType.simpleString()
+        weights = spark.createDataFrame([(k, int(v)) for k, v in weights.items()], f"{item} {kind}, weight long")
+    weighed = weights.select(F.col(item).alias("_item"), F.col("weight").cast("long").alias("_w")).where("_w > 0")
+    line = running(weighed, ["_item"], sums=["_w"], rank="_rn").select(
+        "_item", "_w", (F.col("cum__w") - F.col("_w")).alias("_start"))
+    line = stage(line, "catalogue")
+    total, n = line.agg(F.coalesce(F.sum("_w"), F.lit(0)), F.count(F.lit(1))).first()
+    width = max(1, -(-total // max(n, 1)))
+
+    distinct = positives.select(*keys, F.col(item).alias("_held")).distinct()
+    stretches = distinct.join(line, F.col("_held") == F.col("_item"), "left")
+    prefix = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(""))
+    held = stretches.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sort_array(F.collect_list(F.when(F.col("_item").isNotNull(), F.struct("_start", "_w")))).alias("_own"))
+    rows = held.select(*keys, prefix.alias("_prefix"), "_n", F.col("_own._start").alias("_starts"), F.col("_own._w").alias("_ws"))
 
-    def draw(state, j):
-        """Item whose stretch of the remaining list holds the hashed position."""
-        left, size = state["left"], state["size"]
-        at = F.pmod(hash_order([*keys, j], seed), size)
-        walk = F.aggregate(
-            left,
-            F.struct(F.lit(0).cast("long").alias("cum"), F.lit(0).alias("i"), F.lit(-1).alias("hit")),
-            lambda s, w: F.struct(
-                (s["cum"] + w).alias("cum"), (s["i"] + 1).alias("i"),
-                F.when((s["hit"] < 0) & (at < s["cum"] + w), s["i"]).otherwise(s["hit"]).alias("hit")))
-        hit = walk["hit"]
-        if replacement:
-            after, size_after = left, size
-        else:
-            after = F.transform(left, lambda w, i: F.when(i == hit, w - 1).otherwise(w))
-            size_after = size - 1
-        return F.struct(after.alias("left"), size_after.alias("size"),
-                        F.concat(state["picks"], F.array(hit)).alias("picks"))
+    def draw(batches):
+        for batch in batches:
+            at = len(keys)
+            out = []
+            for prefix, held_n, starts, ws in zip(*[batch.column(at + i).to_pylist() for i in range(4)]):
+                size = total - sum(ws)
+                k = held_n * ratio if size > 0 else 0
+                copies = 1 if replacement else k // max(size, 1) + 1
+                out.append(_places(prefix, seed, k, np.array(starts, dtype=np.int64), np.array(ws, dtype=np.int64),
+                                   size * copies, copies, replacement) if k else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.list_(pa.int64()))],
+                                             names=[*keys, "_places"])
 
-    start = F.struct(F.col("pool").alias("left"), F.col("size").alias("size"),
-                     F.array().cast("array<int>").alias("picks"))
-    steps = F.when(F.col("k") > 0, F.sequence(F.lit(1).cast("long"), F.col("k"))).otherwise(
-        F.array().cast("array<bigint>"))
-    drawn = F.aggregate(steps, start, draw, lambda s: s["picks"])
-    entry = lambda name, label: F.struct(name.alias(item), F.lit(label).alias("label"))
-    out = F.concat(
-        F.transform("held", lambda x: entry(x, 1)),
-        F.transform(drawn, lambda i: entry(F.get(catalogue, i), 0)))
-    return rows.select(*keys, F.inline(out))
+    schema = ", ".join(f"`{k}` {positives.schema[k].dataType.simpleString()}" for k in keys)
+    drawn = rows.mapInArrow(draw, f"{schema}, _places array<long>").select(*keys, F.explode("_places").alias("_at"))
+    bins = line.withColumn("_bin", F.explode(F.sequence(
+        F.floor(F.col("_start") / width), F.floor((F.col("_start") + F.col("_w") - 1) / width))))
+    hits = drawn.withColumn("_bin", F.floor(F.col("_at") / width)).join(bins, "_bin").where(
+        (F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_start") + F.col("_w")))
+    return distinct.select(*keys, F.col("_held").alias(item), F.lit(1).alias("label")).unionByName(
+        hits.select(*keys, F.col("_item").alias(item), F.lit(0).alias("label")))

@@ -155,10 +155,8 @@ def negatives_sql(ratio: int, seed: int, replacement: bool) -> str:
 
 
 def _negatives(t, ratio, seed, replacement):
-    weights = {r["item"]: r["weight"] for r in
-               sample.item_weights(t.fx_positive, "item").collect()}
-    return sample.negative_sample(t.fx_positive, weights, ["uid", "obs_dt"], "item", ratio,
-                                  replacement, seed)
+    return sample.negative_sample(t.fx_positive, sample.item_weights(t.fx_positive, "item"),
+                                  ["uid", "obs_dt"], "item", ratio, replacement, seed)
 
 
 @query(negatives_sql(2, 42, False), ["fx_positive"])
@@ -169,3 +167,23 @@ def negative_sample(t):
 @query(negatives_sql(3, 43, True), ["fx_positive"])
 def negative_sample_replacement(t):
     return _negatives(t, 3, 43, True)
+
+
+@query(f"""WITH pos AS (SELECT DISTINCT o_custkey AS uid, l_partkey AS item FROM orders JOIN lineitem
+    ON l_orderkey = o_orderkey),
+  n AS (SELECT l_partkey AS item, count(*) AS n FROM lineitem GROUP BY l_partkey),
+  w AS (SELECT item, CAST(round_even(n / (SELECT min(n) FROM n), 0) AS BIGINT) AS weight FROM n),
+  held AS (SELECT uid, count(*) AS k FROM pos GROUP BY uid),
+  pool AS (SELECT h.uid, w.item, weight, (sum(weight) OVER (PARTITION BY h.uid ORDER BY w.item) - weight)::BIGINT AS start
+    FROM held h, w WHERE NOT EXISTS (SELECT 1 FROM pos p WHERE p.uid = h.uid AND p.item = w.item)),
+  size AS (SELECT uid, sum(weight)::BIGINT AS size FROM pool GROUP BY uid),
+  draws AS (SELECT uid, {hash_sql("uid || '|' || j || '|44'")} % size AS at FROM
+    (SELECT uid, unnest(range(1, k + 1)) AS j FROM held) JOIN size USING (uid))
+  SELECT d.uid, p.item, 0 AS label FROM draws d ASOF JOIN pool p ON d.uid = p.uid AND d.at >= p.start
+  UNION ALL SELECT uid, item, 1 FROM pos""")
+def negative_sample_parts(t):
+    """A catalogue of all parts."""
+    bought = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("uid"), F.col("l_partkey").alias("item"))
+    weights = sample.item_weights(t.lineitem.select(F.col("l_partkey").alias("item")), "item")
+    return sample.negative_sample(bought, weights, ["uid"], "item", 1, True, 44)

@@ -51,6 +51,16 @@ def test_heavier_items_are_drawn_more(spark):
     assert n["c"] / 2000 == pytest.approx(5 / 8, abs=0.05) and n["a"] / 2000 == pytest.approx(1 / 8, abs=0.05)
 
 
+def test_one_key_with_many_of_many_items(spark):
+    weights = {f"i{k:03d}": 1 + k % 5 for k in range(300)}
+    rows = [(1, "w", f"i{3 * k:03d}") for k in range(100)]
+    pos = spark.createDataFrame(rows, "uid long, obs string, item string")
+    got = sample.negative_sample(pos, weights, ["uid", "obs"], "item", 3, False, 9).where("label = 0").collect()
+    drawn = collections.Counter(r["item"] for r in got)
+    assert sum(drawn.values()) == 300 and not set(drawn) & {r[2] for r in rows}
+    assert all(n <= weights[i] for i, n in drawn.items())
+
+
 def test_item_weights_round_half_to_even(spark):
     df = spark.createDataFrame([("a",)] * 2 + [("b",)] * 5 + [("c",)] * 7, "item string")
     got = {r["item"]: r["weight"] for r in sample.item_weights(df, "item").collect()}

@@ -64,7 +64,22 @@ def test_partition_columns_are_pruned(spark, users, tmp_path):
     path = str(tmp_path / "t")
     partitions.write_partition(users, path, "2024-02-03")
     plan = partitions.read_partition(spark, path, "2024-02-03", ["uid"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(year" in plan and "ReadSchema: struct<uid:bigint>" in plan
+    assert "year=2024/month=02/day=03" in plan and "ReadSchema: struct<uid:bigint>" in plan
+
+
+def test_broken_sibling_is_not_touched(spark, users, tmp_path):
+    path = str(tmp_path / "t")
+    partitions.write_partition(users, path, "2024-02-03", exp_mode="a")
+    partitions.write_partition(users, path, "2024-02-04", exp_mode="a")
+    for broken in (tmp_path / "t/year=2024/month=02/day=04").rglob("*.parquet"):
+        broken.write_bytes(b"no parquet")
+    other = tmp_path / "t/year=2024/month=02/day=05/role=x"
+    other.mkdir(parents=True)
+    (other / "part-0.parquet").write_bytes(b"other levels")
+    for parts in ({"exp_mode": "a"}, {}):
+        assert partitions.read_partition(spark, path, "2024-02-03", ["uid"], **parts).count() == users.count()
+    with pytest.raises(ValueError):
+        partitions.carry_forward(spark, path, "2024-02-03", "2024-03-01", role="x")
 
 
 def test_tsv(spark, tmp_path):
