@@ -1,0 +1,108 @@
+"""One item per group under quotas of users: prices bound the value, a search proves it.
+
+Groups are cells of declared quantiles, so there are no more of them than the product of the
+declared bucket numbers, whatever the number of users. With a price per user of each item,
+``sum(max_j(v_ij - p_j w_i)) + sum(p_j c_j)`` is above every allocation. An allocation falls short of
+it by what its groups give up against their best net value and by the price of unused quota, so the
+search follows small losses first and leaves every branch that can't beat the best one found.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+
+
+@dataclass(frozen=True)
+class Choice:
+    """``items`` per group, their ``value``, and a proven upper ``bound``: the value itself
+    where the search came to its end."""
+
+    items: list[int]
+    value: float
+    bound: float
+
+
+def price_bound(weights: np.ndarray, values: np.ndarray, caps: np.ndarray, turns: int = 400) -> tuple[np.ndarray, float]:
+    """Prices near the least dual bound, by subgradient steps, and that bound."""
+    finite = values[np.isfinite(values)]
+    step = float(np.ptp(finite) / max(weights.mean(), 1e-12)) if len(finite) else 0.0
+    step = step or float(np.abs(finite).max(initial=1.0) / weights.mean())
+    prices = best = np.zeros(len(caps))
+    least = np.inf
+    for turn in range(turns):
+        net = values - prices * weights[:, None]
+        pick = net.argmax(axis=1)
+        bound = float(net.max(axis=1).sum() + prices @ caps)
+        if bound < least:
+            best, least = prices, bound
+        over = np.bincount(pick, weights, len(caps)) - caps
+        norm = float(np.abs(over).max())
+        if norm == 0 or (over <= 0).all() and not (prices * over).any():
+            break
+        prices = np.maximum(prices + step / (1 + turn) ** 0.7 * over / norm, 0.0)
+    return best, least
+
+
+def choose(weights, values, caps, nodes: int = 300_000) -> Choice:
+    """The best allocation. ``values`` hold -inf where a group may not have an item.
+
+    Raises ValueError where none exists; the search is then complete. It is also complete where it
+    visits fewer than ``nodes`` places; beyond, the best one found is returned with the price
+    bound, or, if none was found yet, the search goes on until there is one."""
+    weights = np.asarray(weights, dtype=float)
+    values, caps = np.asarray(values, dtype=float), np.asarray(caps, dtype=float)
+    n, m = values.shape
+    if not n:
+        return Choice([], 0.0, 0.0)
+    if not np.isfinite(values).any(axis=1).all():
+        raise ValueError("a group may not have any item")
+    prices, bound = price_bound(weights, values, caps)
+    net = values - prices * weights[:, None]
+    loss = net.max(axis=1)[:, None] - net
+    order = np.lexsort((-np.sort(loss, axis=1)[:, min(1, m - 1)], -weights))  # heavy groups first
+    ways = [[(float(loss[i, j]), int(j)) for j in np.argsort(loss[i], kind="stable") if np.isfinite(loss[i, j])]
+            for i in order]
+    w = weights[order].tolist()
+    after = np.append(np.cumsum(weights[order][::-1])[::-1], 0.0).tolist()
+    room, lost, picked = caps.tolist(), [0.0], []
+    best: tuple[float, list[int]] | None = None
+    place, visited, slack = [0], 0, 1e-9 * max(1.0, abs(bound))
+    while place:
+        k = len(place) - 1
+        if k == n:
+            total = lost[-1] + sum(p * r for p, r in zip(prices, room))
+            if best is None or total < best[0] - slack:
+                best = (total, list(picked))
+            moved = False
+        else:
+            moved = False
+            enough = sum(room) >= after[k] - 1e-9
+            while enough and place[k] < len(ways[k]):
+                cost, j = ways[k][place[k]]
+                place[k] += 1
+                if best is not None and lost[-1] + cost >= best[0] - slack:
+                    break  # the ways are in order of loss
+                if w[k] <= room[j] + 1e-9:
+                    room[j] -= w[k]
+                    lost.append(lost[-1] + cost)
+                    picked.append(j)
+                    place.append(0)
+                    moved = True
+                    break
+        visited += 1
+        if not moved:
+            place.pop()
+            if picked:
+                room[picked.pop()] += w[len(picked)]
+                lost.pop()
+        if visited >= nodes and best is not None:
+            break
+    if best is None:
+        raise ValueError("the quotas cannot be met under the rules")
+    items = [0] * n
+    for i, j in zip(order.tolist(), best[1]):
+        items[i] = j
+    value = float(sum(values[i, j] for i, j in enumerate(items)))
+    return Choice(items, value, bound if place else value)

@@ -16,11 +16,12 @@ from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerflow.functions.expr import apply_rule_weight, rule_none, salted_bucket
-from offerflow.operators import binning, profile, ranking
+from offerflow.operators import binning, group_choice, profile, ranking
 from offerflow.operators.ordered import running
 from offerflow.session import stage
 
@@ -47,8 +48,8 @@ class _Market:
     """Staged rows (key, bucket, w, s0 .. sm-1; null = may not have the item) and the
     caps of every bucket. The driver holds buckets x items numbers."""
 
-    def __init__(self, rows: DataFrame, key: str, m: int, weighted: bool):
-        self.rows, self.key, self.m, self.weighted = rows, key, m, weighted
+    def __init__(self, rows: DataFrame, key: str, m: int):
+        self.rows, self.key, self.m = rows, key, m
         self.spark = rows.sparkSession
         self.sizes = {r["bucket"]: r["w"] for r in
                       rows.groupBy("bucket").agg(F.sum("w").alias("w")).collect()}
@@ -81,18 +82,11 @@ class _Market:
                          F.coalesce(net - second, F.lit(NO_ALTERNATIVE)).alias("margin"))
 
     def totals(self) -> list:
-        if self.weighted:
-            grid = F.percentile("margin", GRID, F.col("w"))
-        else:
-            grid = F.percentile_approx("margin", GRID, F.lit(10_000))
+        grid = F.percentile_approx("margin", GRID, F.lit(10_000))
         locked = F.sum(F.when(F.col("margin") >= NO_ALTERNATIVE, F.col("w")).otherwise(0))
         return self.priced().groupBy("bucket", "choice").agg(
             F.sum("w").alias("n"), locked.alias("locked"), grid.alias("grid"),
-            F.sum(F.col("net") * self.unit()).alias("net")).collect()
-
-    def unit(self) -> Column:
-        """Worth of a row's score in the objective."""
-        return F.lit(1.0)
+            F.sum("net").alias("net")).collect()
 
     def raise_prices(self, passes: int, tolerance: float) -> None:
         history: list[float] = []
@@ -183,7 +177,6 @@ def _repair(market: _Market, cur: DataFrame) -> DataFrame:
     """Bring every item within its quota. First straight to items with room; where a full
     item's users have none, along a chain of items. No chain means no solution."""
     m = market.m
-    closed: dict[int, set[int]] = {b: set() for b in market.sizes}
     for _ in range(20 * m):
         held = _counts(market, cur)
         over = {b: [max(h - c, 0.0) for h, c in zip(held[b], market.caps[b])] for b in held}
@@ -191,12 +184,10 @@ def _repair(market: _Market, cur: DataFrame) -> DataFrame:
         if not bad:
             return cur
         spare = {b: [c - h for h, c in zip(held[b], market.caps[b])] for b in bad}
-        for b in bad:
-            closed[b] |= {j for j in range(m) if spare[b][j] < 0}
         reach = _reach(market, cur)
         allowed, amount = {}, {}
         for b in bad:
-            room = [spare[b][k] > 0 and (not market.weighted or k not in closed[b]) for k in range(m)]
+            room = [spare[b][k] > 0 for k in range(m)]
             allowed[b] = [[False] * m for _ in range(m)]
             amount[b] = [0.0] * m
             direct = [j for j in range(m) if over[b][j] > 0
@@ -206,7 +197,7 @@ def _repair(market: _Market, cur: DataFrame) -> DataFrame:
             if direct:
                 continue
             start = next(j for j in range(m) if over[b][j] > 0)
-            chain = None if market.weighted else _path(start, reach[b], spare[b])
+            chain = _path(start, reach[b], spare[b])
             if chain is None:
                 raise ValueError(f"bucket {b}: the quotas cannot be met under the rules")
             n = min([over[b][start], spare[b][chain[-1]],
@@ -260,7 +251,7 @@ def allocate_with_quotas(df: DataFrame, key: str, scores: Sequence[str], ratios:
         cols.append(value.alias(f"s{i}"))
     rows = stage(df.select(key, salted_bucket(key, salt, n_buckets).alias("bucket"),
                            F.lit(1).cast("long").alias("w"), *cols), "quota")
-    market = _Market(rows, key, len(scores), weighted=False)
+    market = _Market(rows, key, len(scores))
     market.caps = {b: [math.ceil(n * r * slack) if r > 0 else 0 for r in ratios]
                    for b, n in market.sizes.items()}
     return _solve(market, passes, tolerance)
@@ -268,12 +259,13 @@ def allocate_with_quotas(df: DataFrame, key: str, scores: Sequence[str], ratios:
 
 def allocate_groups(df: DataFrame, key: str, scores: Sequence[str], ratios: Sequence[float], slack: float,
                     quantiles: Sequence[int], rules: Sequence[str] | None = None, eps: float = 1e-10,
-                    count_weighted: bool = True, passes: int = 50) -> tuple[DataFrame, Allocation]:
+                    count_weighted: bool = True) -> tuple[DataFrame, Allocation]:
     """The grouped form: users fall into groups by the quantiles of their (rule-weighted)
     scores, each group gets one item, and the users of an item number at most
     ceil(N * ratio) * slack. Returns (users with their ``item_idx``, group allocation).
 
-    ``count_weighted=False`` adds up group means without regard to the group sizes."""
+    The allocation is the exact optimum unless its gap says otherwise; quotas that cannot be met
+    raise. ``count_weighted=False`` adds up group means without regard to the group sizes."""
     eff = df
     for i, s in enumerate(scores):
         value = F.col(s).cast("double")
@@ -291,10 +283,16 @@ def allocate_groups(df: DataFrame, key: str, scores: Sequence[str], ratios: Sequ
         "group_code", F.lit(0).cast("long").alias("bucket"), F.col("n_users").alias("w"),
         *[(F.when(F.lit(ratios[i] > 0), F.col(f"_s{i}_mean") * size + _jitter("group_code", i, 1e-9)))
           .alias(f"s{i}") for i in range(len(scores))]), "groups")
-    market = _Market(rows, "group_code", len(scores), weighted=True)
-    total = market.sizes.get(0, 0)
-    market.caps = {0: [math.ceil(total * r) * slack if r > 0 else 0.0 for r in ratios]}
-    result = _solve(market, passes, 0.0)
+    # no more rows than the product of the declared quantile numbers
+    groups = rows.orderBy("group_code").collect()
+    total = sum(r["w"] for r in groups)
+    caps = [math.ceil(total * r) * slack if r > 0 else 0.0 for r in ratios]
+    values = [[-math.inf if r[f"s{i}"] is None else r[f"s{i}"] for i in range(len(scores))] for r in groups]
+    best = group_choice.choose([r["w"] for r in groups], np.array(values).reshape(len(groups), len(scores)), caps)
+    frame = df.sparkSession.createDataFrame(
+        [(r["group_code"], 0, i) for r, i in zip(groups, best.items)],
+        f"group_code {dict(rows.dtypes)['group_code']}, bucket long, item_idx int")
+    result = Allocation(frame, best.value, best.bound)
     users = coded.select(key, "group_code").join(
         result.frame.select("group_code", "item_idx"), "group_code")
     return users, result

@@ -29,9 +29,34 @@ def allocate_with_quotas(t):
     return out.frame.select("uid", "bucket", "item_idx")
 
 
+@query(f"""WITH u AS (SELECT {bucket_sql("CAST(uid AS VARCHAR) || '202306'", 4)} AS bucket FROM fx_score
+    LEFT JOIN fx_rule USING (uid) WHERE greatest(rule_02, rule_03, rule_04) IS DISTINCT FROM 0),
+  n AS (SELECT bucket, count(*) AS n FROM u GROUP BY bucket)
+  SELECT bucket, e.i AS item_idx, CAST(ceil(n * e.r * 1.2::DOUBLE) AS BIGINT) AS cap, true AS quota_holds,
+    true AS rules_hold FROM n, (VALUES {", ".join(f"({i}, {r}::DOUBLE)" for i, r in enumerate(OPEN))}) e(i, r)""",
+       ["fx_score", "fx_rule"])
+def quotas_hold(t):
+    """Per bucket and item: the cap, and whether quota and rules hold in the allocation."""
+    users = eligible(ruled_users(t))
+    out = quotas.allocate_with_quotas(users, "uid", SCORES, OPEN, 1.2, "202306", 4, RULES)
+    rules = F.get(F.array(*RULES), F.col("item_idx"))
+    got = users.withColumn("bucket", E.salted_bucket("uid", "202306", 4)).join(
+        out.frame.select("uid", "item_idx"), "uid", "left")
+    per = got.groupBy("bucket", "item_idx").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(rules == 0).alias("bad"))
+    ratio = F.array(*[F.lit(r) for r in OPEN])
+    grid = got.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("item_idx").isNull()).alias("none")
+                                     ).select("*", F.posexplode(ratio).alias("item_idx", "r"))
+    full = grid.join(per, ["bucket", "item_idx"], "left")
+    cap = F.ceil(F.col("size") * F.col("r") * 1.2)
+    return full.select("bucket", "item_idx", cap.alias("cap"),
+                       ((F.coalesce("n", F.lit(0)) <= cap) & (F.col("none") == 0)).alias("quota_holds"),
+                       (F.coalesce("bad", F.lit(0)) == 0).alias("rules_hold"))
+
+
 @query()
 def allocate_groups(t):
-    """Rows-only: iterative; the tests check quotas and the gap."""
+    """Rows-only: iterative; the tests check quotas and the optimum."""
     users, _ = quotas.allocate_groups(t.fx_score, "uid", SCORES, OPEN, 1.1, [5, 5, 5, 5, 2])
     return users.select("uid", "group_code", "item_idx")
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from offerflow.operators import quotas
+from offerflow.operators import group_choice, quotas
 
 
 def users(spark, n, m, seed, ties=False):
@@ -105,6 +105,52 @@ def test_groups_keep_their_quotas(spark, weighted):
     assert result.gap < 0.05
 
 
+def groups_by_force(weights, values, caps):
+    best = None
+    for pick in itertools.product(range(len(caps)), repeat=len(weights)):
+        load = Counter()
+        for w, j in zip(weights, pick):
+            load[j] += w
+        value = sum(values[i][j] for i, j in enumerate(pick))
+        if all(load[j] <= c + 1e-9 for j, c in enumerate(caps)) and value > -math.inf:
+            best = value if best is None else max(best, value)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_group_choice_is_the_optimum(seed):
+    rng = random.Random(seed)
+    n, m = rng.randint(1, 7), rng.randint(1, 3)
+    weights = [rng.randint(1, 6) for _ in range(n)]
+    values = [[-math.inf if rng.random() < 0.15 else rng.choice([rng.random() * w, w / 2]) for _ in range(m)]
+              for w in weights]
+    caps = [rng.choice([0, 1, 1.1]) * math.ceil(sum(weights) * rng.uniform(0.2, 0.9)) for _ in range(m)]
+    want = groups_by_force(weights, values, caps)
+    if want is None:
+        with pytest.raises(ValueError):
+            group_choice.choose(weights, values, caps)
+        return
+    got = group_choice.choose(weights, values, caps)
+    assert got.value == pytest.approx(want) == got.bound
+
+
+def test_groups_that_only_fit_one_way():
+    got = group_choice.choose([5, 4, 3, 2], [[1.0, 2.0]] * 4, [7, 7])
+    loads = Counter()
+    for w, j in zip([5, 4, 3, 2], got.items):
+        loads[j] += w
+    assert loads == {0: 7, 1: 7}
+
+
+def test_two_items_are_sorted_by_score_difference(spark):
+    df = spark.range(400).select(F.col("id").alias("uid"), F.rand(3).alias("s0"), F.rand(4).alias("s1"))
+    out = quotas.allocate_with_quotas(df, "uid", ["s0", "s1"], [0.3, 0.7], 1.0, "x", 1)
+    rows = {r["uid"]: r["s0"] - r["s1"] for r in df.collect()}
+    best = set(sorted(rows, key=rows.get, reverse=True)[:120])
+    assert sum(r["item_idx"] == 0 for r in out.frame.collect()) <= 120
+    assert out.value >= sum(max(0, rows[u]) for u in best) + sum(r["s1"] for r in df.collect()) - 1e-3 * out.value
+
+
 def test_sequence_needs_listed_quotas(spark):
     _, df = users(spark, 20, 2, 1)
     with pytest.raises(ValueError):
