@@ -14,6 +14,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,67 +28,59 @@ from offerflow.llm.common import text_of, worker_cache
 from offerflow.llm.wordhash import pieces
 from offerflow.session import scratch_folder, shuffle_width, stage
 
-#: Bytes of text per file, and how many words and parts a worker remembers.
+#: Bytes of text per file, and how many parts of texts a worker remembers.
 FILE_BYTES = 64 << 20
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 
-_PART = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿœŒ]+| ?[!-&(-/:-@\[-`{-~]+|\n")
+# letters and signs that the pre-tokenizer's classes part in any surroundings
+_LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿœŒ", r"!-&(-/:-@\[-`{-~"
+_PART = re.compile(f" ?(?:[{_LETTER}]++|[{_SIGN}]++)(?=[{_LETTER}{_SIGN}]{{0,200}}(?:[ \n]|\\Z))|\n| ?[^ \n]+| ")
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _WIDE_GAP = re.compile(r"\s\s")
 
 
 class ByteBpe:
-    """A byte-level BPE of the tokenizers library, with memory for words it has met.
+    """A byte-level BPE of the tokenizers library, with memory for parts it has met.
 
     The pre-tokenizer never joins what lies on both sides of a single space between two
-    non-space characters (the space begins the second part), so text may be cut there, and
-    a word is encoded alike wherever it stands. Within a word, a run of Latin letters and a
-    run of ASCII signs other than the apostrophe are parts of their own. Texts with one of the
-    vocabulary's special strings, and all that these rules don't cover, go to the library whole."""
+    non-space characters (the space begins the second part), nor of a single line end
+    there, so text may be cut at them, and a word is encoded alike wherever it stands. A
+    word of Latin letters and ASCII signs other than the apostrophe is cut further, between its runs
+    of letters and of signs. A text with wider gaps is cut at its single spaces only; one with a special
+    string of the vocabulary goes to the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
+        self.type = np.dtype("<u4" if wide else "<u2")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.type).tobytes()
+        kind = "I" if self.type.itemsize == 4 else "H"
+        return [array(kind, e.ids).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        new = words - self.words.keys()
-        split = {}
-        for w in new:
-            found = _PART.findall(w)
-            split[w] = found if "".join(found) == w and not _WIDE_GAP.search(w) else [w]
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        missing = list({p for ps in split.values() for p in ps} - self.parts.keys())
-        self.parts.update(zip(missing, self._encoded(missing)))
-        for w, ps in split.items():
-            self.words[w] = self.parts[ps[0]] if len(ps) == 1 else b"".join([self.parts[p] for p in ps])
+    def _cut(self, text: str) -> list[str]:
+        if any(s in text for s in self.special):
+            return [text]
+        if _WIDE_GAP.search(text):
+            words = _INNER_SPACE.split(text)
+            return [words[0], *[f" {w}" for w in words[1:]]]
+        return _PART.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of :attr:`type`."""
-        plain = [not any(s in t for s in self.special) for t in texts]
-        cut = []
-        for t, p in zip(texts, plain):
-            if p:
-                words = _INNER_SPACE.split(t) if _WIDE_GAP.search(t) else t.split(" ")
-                cut.append([words[0], *[f" {w}" for w in words[1:]]])
-            else:
-                cut.append(None)
-        self._learn({w for ws in cut if ws for w in ws} | {""})
-        whole = iter(self._encoded([t for t, p in zip(texts, plain) if not p]))
-        get = self.words.__getitem__
-        return [b"".join(map(get, ws)) if ws is not None else next(whole) for ws in cut]
+        cut = [self._cut(t) for t in texts]
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        missing = list(set().union(*cut) - self.parts.keys())
+        self.parts.update(zip(missing, self._encoded(missing)))
+        get = self.parts.__getitem__
+        return [b"".join(map(get, parts)) for parts in cut]
 
 
 def _encoder(path: str) -> ByteBpe:
