@@ -4,17 +4,14 @@ part is small enough to be a literal, else a join."""
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerflow.functions.expr import map_values
 from offerflow.operators.ordered import running
 from offerflow.session import stage
 
-LITERAL_VALUES = 64
-
 
 def _sort_keys(df: DataFrame, col: str) -> list[Column]:
     """(whole, real): exact for integers, dates and times in ``whole``, else a double in ``real``;
@@ -31,12 +28,10 @@ def _sort_keys(df: DataFrame, col: str) -> list[Column]:
 class LabelEncoder:
     """Sorted distinct values of each column as 0 .. k-1.
 
-    Columns with few values are kept as literal maps; the codes of the others stay in a
-    staged table and are joined, so no column size is a limit.
+    The codes stay in a staged table and are joined, so no column size is a limit.
     """
 
-    small: Mapping[str, Mapping]
-    large: Mapping[str, DataFrame] = field(default_factory=dict)
+    codes: Mapping[str, DataFrame]
 
     @staticmethod
     def fit(df: DataFrame, cols: Sequence[str]) -> LabelEncoder:
@@ -50,27 +45,17 @@ class LabelEncoder:
         codes = stage(running(distinct, ["whole", "real", "value"], ["feature"], rank="rn")
                       .select("feature", "value", (F.col("rn") - 1).cast("int").alias("code")),
                       "codes")
-        sizes = {r["feature"]: r["n"] for r in
-                 codes.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
-        few = [c for c in cols if sizes.get(c, 0) <= LITERAL_VALUES]
-        small: dict[str, dict] = {c: {} for c in few}
-        for r in codes.where(F.col("feature").isin(few)).collect():
-            small[r["feature"]][r["value"]] = r["code"]
-        large = {c: codes.where(F.col("feature") == c).select("value", "code")
-                 for c in cols if c not in few}
-        return LabelEncoder(small, large)
+        return LabelEncoder({c: codes.where(F.col("feature") == c).select("value", "code") for c in cols})
 
     def transform(self, df: DataFrame, unseen: int = -1, suffix: str = "") -> DataFrame:
         """Null and unseen values get ``unseen`` (0 in online use, -1 offline)."""
         out = df
-        for c, table in self.large.items():
+        for c, table in self.codes.items():
             codes = table.select(F.col("value").alias("_v"), F.col("code").alias("_code"))
             out = (out.join(codes, F.col(c).cast("string") == F.col("_v"), "left")
                    .withColumn(c + suffix, F.coalesce("_code", F.lit(unseen)))
                    .drop("_v", "_code"))
-        return out.withColumns({
-            c + suffix: F.coalesce(map_values(F.col(c).cast("string"), codes), F.lit(unseen))
-            if codes else F.lit(unseen) for c, codes in self.small.items()})
+        return out
 
 
 @dataclass(frozen=True)
@@ -109,32 +94,24 @@ class MinMaxScaler:
                                for c, (lo, hi) in self.stats.items()})
 
 
-def one_hot(df: DataFrame, col: str, limit: int = 2000) -> DataFrame:
-    """0/1 column ``col_value`` per distinct value. Every value becomes a column, so a
-    column with more than ``limit`` values is refused."""
-    rows = df.select(F.col(col).cast("string").alias("v")).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} values")
-    values = sorted(r["v"] for r in rows if r["v"] is not None)
+def one_hot(df: DataFrame, col: str, values: Sequence[str] | None = None) -> DataFrame:
+    """0/1 column ``col_value`` per value: the declared ``values``, else all distinct ones. Every
+    value becomes a column; a column with very many values is better label-encoded."""
     text = F.col(col).cast("string")
+    if values is None:
+        rows = df.select(text.alias("v")).where("v IS NOT NULL").distinct().collect()
+        values = sorted(r["v"] for r in rows)
     return df.withColumns({f"{col}_{v}": F.when(text == v, 1).otherwise(0) for v in values})
 
 
 def split_low_card(df: DataFrame, cols: Sequence[str], k: int = 25) -> tuple[list[str], list[str]]:
-    """(sparse, dense): columns with at most k distinct values, and the others.
-
-    A sketch first sets aside columns with a hundred times more values than that; only the
-    others are counted exactly."""
-    sketch = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    near = [c for c in cols if sketch[c] <= 100 * k]
-    if not near:
-        return [], list(cols)
+    """(sparse, dense): columns with at most k distinct values, and the others."""
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
-                      for c in near])
+                      for c in cols])
     counts = (df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
               .groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect())
     n = {r["feature"]: r["n"] for r in counts}
-    sparse = [c for c in near if n.get(c, 0) <= k]
+    sparse = [c for c in cols if n.get(c, 0) <= k]
     return sparse, [c for c in cols if c not in sparse]
 
 
@@ -142,6 +119,6 @@ def transform_features(df: DataFrame, keys: Sequence[str], encoder: LabelEncoder
                        scaler: StandardScaler, unseen: int = 0) -> DataFrame:
     """Keys, codes and scaled features as one projection with plain types."""
     coded = scaler.transform(encoder.transform(df, unseen))
-    sparse, dense = [*encoder.small, *encoder.large], list(scaler.stats)
+    sparse, dense = list(encoder.codes), list(scaler.stats)
     return coded.select(*keys, *[F.col(c).cast("int").alias(c) for c in sparse],
                         *[F.col(c).cast("double").alias(c) for c in dense])

@@ -20,7 +20,6 @@ from offerflow.operators.joins import assemble_features, expand_items
 from offerflow.sources.partitions import read_partition, write_partition
 
 Model = Callable[[np.ndarray], np.ndarray]
-ITEM_LIMIT = 400
 
 
 def _schema(df: DataFrame, keys: Sequence[str], outputs: Sequence[str]) -> StructType:
@@ -86,13 +85,10 @@ def score_embeddings(users: DataFrame, items: DataFrame, key: str, item: str, em
                      prefix: str = "score_") -> DataFrame:
     """Cosine-sigmoid score of every user with every item, one column per item.
 
-    The items (their number is checked) travel with the task as one matrix, and each Arrow
-    batch of users is one matrix product: the user table is read once and not shuffled.
-    Longer item lists do not fit a row and go through :func:`score_embedding_pairs`."""
-    rows = items.select(item, embedding).orderBy(item).limit(ITEM_LIMIT + 1).collect()
-    if len(rows) > ITEM_LIMIT:
-        raise ValueError(f"one column per item: more than {ITEM_LIMIT} items, score them with "
-                         "score_embedding_pairs")
+    The items travel with the task as one matrix, and each Arrow batch of users is one
+    matrix product: the user table is read once and not shuffled. Every item is a column;
+    for long lists :func:`score_embedding_pairs` gives the same scores as rows."""
+    rows = items.select(item, embedding).orderBy(item).collect()
     matrix = np.array([[float(x) for x in r[embedding]] for r in rows])
     norms = np.sqrt((matrix * matrix).sum(axis=1))
     outputs = [f"{prefix}{r[item]}" for r in rows]
