@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from offerflow.functions import expr as E
 from offerflow.operators import effects, evaluate, profile, scoring, selection, split
 from offerflow.plans.catalog import query
+from offerflow.plans.rows import hash_sql
 from offerflow.plans.scores import ARMS, experiment, rounded
 from offerflow.plans.views import SCORES
 from offerflow.session import scratch_folder
@@ -118,19 +119,34 @@ def scoring_job(t):
 TREES = {"maxIter": 3, "maxDepth": 3, "seed": 1}
 
 
-@query()
+ORDER_X = ["price", "cust", "prio"]
+SHUFFLED = {c: ", ".join(f"r.{x}" if x == c else f"l.{x}" for x in ORDER_X) for c in ORDER_X}
+ORDERS = """SELECT o_orderkey, o_totalprice AS price, CAST(o_custkey % 97 AS DOUBLE) AS cust,
+    CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS prio FROM orders"""
+
+
+@query(f"""WITH o AS ({ORDERS}), d AS (SELECT *, CAST(price + prio * 20000 > 200000 AS INT) AS y FROM o),
+  l AS (SELECT y, {", ".join(ORDER_X)}, row_number() OVER (ORDER BY {hash_sql("o_orderkey || '|1-0a'")}, o_orderkey) AS pos FROM d),
+  r AS (SELECT {", ".join(ORDER_X)}, row_number() OVER (ORDER BY {hash_sql("o_orderkey || '|1-0b'")}, o_orderkey) AS pos FROM d),
+  v AS (SELECT '' AS feature, y, {", ".join(ORDER_X)} FROM d
+    {" ".join(f"UNION ALL SELECT '{c}', y, {cols} FROM l JOIN r USING (pos)" for c, cols in SHUFFLED.items())}),
+  s AS (SELECT feature, y, -1.0::DOUBLE + price * 0.00001::DOUBLE + cust * 0.002::DOUBLE + prio * 0.15::DOUBLE AS score FROM v),
+  g AS (SELECT feature, score, sum(y) AS p, count(*) - sum(y) AS n FROM s GROUP BY feature, score),
+  c AS (SELECT *, sum(n) OVER (PARTITION BY feature ORDER BY score) - n AS below FROM g),
+  a AS (SELECT feature, sum(p * (below + n / 2)) / (sum(p) * sum(n)) AS auc FROM c GROUP BY feature)
+  SELECT feature, round((SELECT auc FROM a WHERE feature = '') - auc, 6) AS importance FROM a WHERE feature <> ''""")
 def permutation_importance(t):
-    """Shuffled-column importance of the closed-form model."""
-    w = {"x1": 0.03, "x2": -0.00002, "x3": 4.0, "x4": -3.0}
-    df = t.fx_label.select(*KEYS, *X, (F.col("x1") + F.col("x3") * 200 > 35).cast("int").alias("y"))
+    """Shuffled-column importance of a closed-form model of the orders."""
+    df = t.spark.sql(ORDERS.replace("FROM orders", "FROM {orders}"), orders=t.orders).withColumn(
+        "y", (F.col("price") + F.col("prio") * 20000 > 200000).cast("int"))
 
     def score(rows):
-        z = F.lit(-0.2)
-        for c, v in w.items():
+        z = F.lit(-1.0)
+        for c, v in zip(ORDER_X, (0.00001, 0.002, 0.15)):
             z = z + F.col(c) * v
-        return rows.withColumn("score", E.sigmoid(z))
+        return rows.withColumn("score", z)
 
-    return selection.permutation_importance(df, KEYS, X, "y", score)
+    return rounded(selection.permutation_importance(df, ["o_orderkey"], ORDER_X, "y", score), importance=6)
 
 
 @query()
@@ -162,14 +178,19 @@ def fit_trees(train, test):
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1])
 
 
-@query()
+@query("""WITH g AS (SELECT score, sum(label) AS p, count(*) - sum(label) AS n FROM fx_label GROUP BY score),
+  c AS (SELECT row_number() OVER w AS i, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS ps,
+    sum(n) OVER () AS ns FROM g WINDOW w AS (ORDER BY score DESC)),
+  r AS (SELECT i, tp / ps AS recall, fp / ns AS fall, tp / (tp + fp) AS precision FROM c),
+  e AS (SELECT *, lag(recall, 1, 0) OVER o AS r0, lag(fall, 1, 0) OVER o AS f0,
+    coalesce(lag(precision) OVER o, precision) AS p0 FROM r WINDOW o AS (ORDER BY i))
+  SELECT 'roc_auc' AS metric, round(sum((fall - f0) * (recall + r0) / 2), 6) AS value FROM e
+  UNION ALL SELECT 'pr_auc', round(sum((recall - r0) * (precision + p0) / 2), 6) FROM e""", ["fx_label"])
 def model_areas(t):
-    """ROC and precision-recall areas on a held-out side."""
-    df = split.random_split(t.fx_label, KEYS, 0.9, 5)
-    model = selection.boosted_trees(df.where("is_train = 1"), X, "label", **TREES)
-    scored = model.transform(df.where("is_train = 0").select("label", *X))
-    areas = evaluate.model_areas(scored, "label")
-    return t.spark.createDataFrame(sorted(areas.items()), "metric string, value double")
+    """ROC and precision-recall areas of the closed-form score, one curve point per distinct score."""
+    areas = evaluate.model_areas(t.fx_label.select("label", "score"), "label", "score")
+    out = t.spark.createDataFrame(sorted(areas.items()), "metric string, value double")
+    return rounded(out, value=6)
 
 
 @query()
