@@ -31,8 +31,8 @@ from offerflow.llm.wordhash import WordHasher, mix, pieces, shingle_sets, string
 from offerflow.session import shuffle_width, stage
 
 #: Bytes of text per chunk, and of corpus per bucket: what a task holds at once.
-CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -56,7 +56,7 @@ def _unpack(blob, width: int) -> tuple[np.ndarray, np.ndarray]:
 def shingle_table(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id",
                   text: str = "text", chunk_bytes: int = CHUNK_BYTES,
                   bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Two tables from one staged job.
+    """Two staged tables.
 
     Documents: row key, doc_id, sig (class of equal sets; null without words), n (set size).
     Sets: sig, n, tokens, one row per class that can have a partner. Tokens are the shingles
@@ -165,7 +165,7 @@ def shingle_table(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str =
     documents = table.select(F.col("doc_id").cast("string").alias(KEY[0]), F.col("key").alias(KEY[1]),
                              "doc_id", "sig", "n")
     sets = table.filter("tokens IS NOT NULL").select("sig", "n", "tokens").dropDuplicates(["sig"])
-    return documents, sets
+    return documents, stage(sets, "sets")
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
