@@ -41,7 +41,7 @@ def scratch_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     app = context.applicationId
     if app not in _local_roots:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         _local_roots[app] = tempfile.mkdtemp(prefix="offerflow-")
     return _local_roots[app]
