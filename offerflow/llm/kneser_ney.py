@@ -1,11 +1,12 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model counts word n-grams of a bounded sample of trusted documents. Its tables come from
-count joins in Spark: each order's discounted counts are joined with the next lower order.
-They are then cut into shards by the hash of the middle word, for a trigram, its context, its
-lower-order bigram and that one's context all share this word. A task that scores documents joins its
-n-grams with one shard at a time, so no task ever holds the whole model. A document is kept
-where its perplexity is at most a high quantile of held-out trusted documents of its language.
+The model counts word n-grams of a bounded sample of trusted documents. The counts are cut
+into shards by the hash of the middle word, for a trigram, its context, its lower-order bigram
+and that one's context all share this word: each shard joins its discounted counts with those of the
+next lower order, and only the single words' table is common to all. A task that scores
+documents joins its n-grams with one shard at a time, so no task ever holds the whole
+model. A document is kept where its perplexity is at most a high quantile of held-out
+trusted documents of its language.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerflow.llm.common import group_key, text_of
@@ -84,87 +85,93 @@ def _discounts(counts: DataFrame, name: str) -> list[float]:
     return [min(max(d, 0.05), i + 1 - 0.05) for i, d in enumerate(raw)]
 
 
-def _discount(count: Column, d: list[float]) -> Column:
-    return F.when(count == 1, d[0]).when(count == 2, d[1]).otherwise(d[2])
+def _cut(counts: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.array(d)[np.minimum(counts, 3) - 1]
 
 
-def train(trusted: DataFrame, text: str = "text") -> DataFrame:
-    """The model as a table (kind, a, b, c, value): probabilities of seen trigrams, bigrams and words,
-    and the weight that each seen context leaves to the next lower order. An unseen word has
-    the value of the row of kind UNI without a word."""
-    c3 = stage(trigram_counts(trusted, text), "trigrams")
-    # a lower order counts in how many contexts an n-gram is seen, not how often
-    c2 = stage(c3.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")), "bigrams")
-    c1 = stage(c2.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "words")
-    d3, d2, d1 = (_discounts(c, "n") for c in (c3, c2, c1))
-
-    def left_over(counts: DataFrame, by: list[str], d: list[float]) -> DataFrame:
-        n = F.col("n")
-        return counts.groupBy(*by).agg(
-            F.sum("n").alias("_all"),
-            (F.sum(F.least(_discount(n, d), n.cast("double"))) / F.sum("n")).alias("_left"))
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows ordered by the columns: the order, where each run of equal rows begins, and each
+    row's run."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    run = np.empty(len(order), dtype=np.int64)
+    run[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), run
 
-    total = c1.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.least(_discount(F.col("n"), d1), F.col("n").cast("double")))).first()
-    everything, words, spare = float(total[0] or 1), int(total[1]), float(total[2] or 0)
-    unseen = (spare / everything if words else 1.0) / (words + 1)
-    p1 = c1.select("c", ((F.col("n") - _discount(F.col("n"), d1)) / everything + unseen).alias("p"))
-    left2 = left_over(c2, ["b"], d2)
-    p2 = stage(c2.join(left2, "b").join(p1, "c").select(
-        "b", "c", ((F.col("n") - _discount(F.col("n"), d2)) / F.col("_all") + F.col("_left") * F.col("p")).alias("p")), "p2")
-    left3 = left_over(c3, ["a", "b"], d3)
-    p3 = c3.join(left3, ["a", "b"]).join(p2, ["b", "c"]).select(
-        "a", "b", "c", ((F.col("n") - _discount(F.col("n"), d3)) / F.col("_all") + F.col("_left") * F.col("p")).alias("p"))
-    none = F.lit(0).cast("long")
-
-    def rows(df: DataFrame, kind: int, a, b, c, value: str) -> DataFrame:
-        return df.select(F.lit(kind).alias("kind"), *[(F.col(x) if x else none).alias(k) for k, x in (("a", a), ("b", b), ("c", c))],
-                         F.col(value).alias("value"))
 
-    spark = trusted.sparkSession
-    unknown = spark.range(1).select(F.lit(0).alias("kind"), none.alias("a"), none.alias("b"), none.alias("c"), F.lit(unseen).alias("value"))
-    model = (rows(p3, TRI, "a", "b", "c", "p").union(rows(left3, CONTEXT2, "a", "b", None, "_left"))
-             .union(rows(p2, BI, None, "b", "c", "p")).union(rows(left2, CONTEXT1, None, "b", None, "_left"))
-             .union(rows(p1, UNI, None, None, "c", "p")).union(unknown))
-    return stage(model, "kneser-ney")
+def _write(folder: str, shard: int, keys: np.ndarray, values: np.ndarray) -> str:
+    """Sorted keys and the logarithms of their values as two flat files; a task that runs again
+    writes files of its own."""
+    fs, root = pa.fs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    name, order = f"{shard + 1:05d}-{uuid.uuid4().hex}", np.argsort(keys)
+    for part, data in (("keys", keys[order]), ("values", np.log(values[order]))):
+        with fs.open_output_stream(f"{root}/{name}.{part}") as f:
+            f.write(np.ascontiguousarray(data).tobytes())
+    return f"{folder}/{name}"
 
 
-def write_shards(model: DataFrame, entries: int = SHARD_ENTRIES) -> list[str]:
-    """Writes the model as sorted key and value files in the shared folder, one pair per shard
-    of the middle word and one for all single words; returns their paths, the words' first."""
-    spark = model.sparkSession
+def train(trusted: DataFrame, text: str = "text", entries: int = SHARD_ENTRIES) -> list[str | None]:
+    """Counts the texts and writes the model to the shared folder, as sorted keys and values: one pair
+    of files for all single words, then one per shard of the middle word with about ``entries``
+    probabilities of seen trigrams and bigrams and weights that seen contexts leave to the next
+    lower order. Returns the paths; None stands for a shard without entries."""
+    spark = trusted.sparkSession
     folder = f"{scratch_folder(spark)}/kneser-ney-{uuid.uuid4().hex}"
     if "://" not in folder:
         folder = folder.replace("file:", "file://", 1)
-    shards = max(1, -(-model.filter(F.col("kind").isin(TRI, CONTEXT2, BI, CONTEXT1)).count() // entries))
+    c3 = stage(trigram_counts(trusted, text), "trigrams")
+    # a lower order counts in how many contexts an n-gram is seen, not how often
+    c2 = stage(c3.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")), "bigrams")
+    c1 = stage(c2.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "words")
+    d3, d2, d1 = (_discounts(c, "n") for c in (c3, c2, c1))
+    sizes = c1.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)),
+                   *[F.coalesce(F.sum(F.when(F.least("n", F.lit(3)) == i, 1)), F.lit(0)) for i in (1, 2, 3)]).first()
+    everything, words = float(sizes[0] or 1), int(sizes[1])
+    spare = sum(d * k for d, k in zip(d1, sizes[2:]))
+    unseen = (spare / everything if words else 1.0) / (words + 1)
+    shards = max(1, -(-5 * c3.count() // (2 * entries)))
+
+    def write_words(table: pa.Table) -> pa.Table:
+        c, n = table.column("c").to_numpy().view(np.uint64), table.column("n").to_numpy()
+        p = (n - _cut(n, d1)) / everything + unseen if len(n) else np.zeros(0)
+        return pa.table({"path": [_write(folder, -1, np.append(_key(UNI, c), np.uint64(0)), np.append(p, unseen))]})
+
+    def write_shard(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        a, b, c = (table.column(k).to_numpy().view(np.uint64) for k in "abc")
+        n = table.column("n").to_numpy()
+        keys, values = _load(single)
+        order, first, pair = _runs(b, c)
+        b2, w2, n2 = b[order[first]], c[order[first]], np.diff(np.append(first, len(order)))
+        p1 = np.exp(_find(keys, values, _key(UNI, w2)))
+        order, first, context = _runs(b2)
+        cut, total = _cut(n2, d2), np.bincount(context, n2)
+        left = np.bincount(context, cut) / total
+        p2 = (n2 - cut) / total[context] + left[context] * p1
+        out = [(_key(BI, b2, w2), p2), (_key(CONTEXT1, b2[order[first]]), left)]
+        order, first, context = _runs(a, b)
+        cut, total = _cut(n, d3), np.bincount(context, n)
+        left = np.bincount(context, cut) / total
+        p3 = (n - cut) / total[context] + left[context] * p2[pair]
+        out += [(_key(TRI, a, b, c), p3), (_key(CONTEXT2, a[order[first]], b[order[first]]), left)]
+        path = _write(folder, shard, np.concatenate([k for k, _ in out]), np.concatenate([v for _, v in out]))
+        return pa.table({"shard": [shard], "path": [path]})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = batch.column(0).to_numpy()
-            a, b, c = (batch.column(i).to_numpy().view(np.uint64) for i in (1, 2, 3))
-            key = np.zeros(len(kind), dtype=np.uint64)
-            for k, words in ((TRI, (a, b, c)), (CONTEXT2, (a, b)), (BI, (b, c)), (CONTEXT1, (b,)), (UNI, (c,))):
-                mine = kind == k
-                key[mine] = _key(k, *[w[mine] for w in words])
-            shard = np.where(kind == UNI, -1, np.where(kind == 0, -1, _shard(b, shards)))
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(key.view(np.int64)), batch.column(4)],
-                                             names=["shard", "key", "value"])
-
-    def write(table: pa.Table) -> pa.Table:
-        keys, values = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
-        order = np.argsort(keys)
-        fs, root = pa.fs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
-        shard = int(table.column("shard")[0].as_py())
-        name = f"{shard + 1:05d}-{uuid.uuid4().hex}"
-        for part, data in (("keys", keys[order]), ("values", np.log(values[order]))):
-            with fs.open_output_stream(f"{root}/{name}.{part}") as f:
-                f.write(np.ascontiguousarray(data).tobytes())
-        return pa.table({"shard": [shard], "path": [f"{folder}/{name}"]})
-
-    keyed = model.mapInArrow(place, "shard long, key long, value double")
-    written = keyed.groupBy("shard").applyInArrow(write, "shard long, path string").collect()  # one row per shard
-    by = {r["shard"]: r["path"] for r in written}
-    return [by.get(s) for s in range(-1, shards)]
+            shard = pa.array(_shard(batch.column(1).to_numpy().view(np.uint64), shards))
+            yield pa.RecordBatch.from_arrays([shard, *batch.columns], names=["shard", *batch.schema.names])
+
+    marked = c1.select(F.lit(0).alias("g"), "c", "n")  # the words of a bounded sample are one table
+    written = marked.groupBy("g").applyInArrow(write_words, "path string").collect()
+    single = written[0]["path"] if written else _write(folder, -1, np.zeros(1, dtype=np.uint64), np.array([unseen]))
+    placed = c3.select("a", "b", "c", "n").mapInArrow(place, "shard long, a long, b long, c long, n long")
+    paths = placed.groupBy("shard").applyInArrow(write_shard, "shard long, path string").collect()  # a row per shard
+    by = {r["shard"]: r["path"] for r in paths}
+    return [single, *[by.get(s) for s in range(shards)]]
 
 
 def _load(path: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -273,7 +280,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shr
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     # the sample is bounded by per_language and the number of languages
     training = texts.join(F.broadcast(sample), "doc_id", "left_semi").select("text").dropDuplicates()
-    shards = write_shards(train(training))
+    shards = train(training)
     scored = stage(score(docs, shards, doc_id, text, lang).withColumn("_lang", group_key("lang")), "scores")
     held = scored.join(drawn.filter("NOT _trains").select("doc_id", "_lang").distinct(), ["doc_id", "_lang"], "left_semi").filter("n_words > 0")
     mean = held.agg(F.sum("log_p") / F.sum("n_words")).first()[0]

@@ -114,8 +114,7 @@ def test_probabilities(spark, odd_docs):
     for train, docs in ((texts, texts + ["the dog sat on a mat", "zzz", "cat cat cat"]),
                         ([r["text"] for r in odd_docs.collect()[5:40]], [r["text"] for r in odd_docs.collect()[:30]])):
         model = Model(train)
-        table = kneser_ney.train(spark.createDataFrame([(t,) for t in train], "text string"))
-        shards = kneser_ney.write_shards(table, entries=20)
+        shards = kneser_ney.train(spark.createDataFrame([(t,) for t in train], "text string"), entries=20)
         assert len(shards) > 2
         rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(docs)], "doc_id long, text string, lang string")
         for r in kneser_ney.score(rows, shards).collect():
