@@ -23,12 +23,36 @@ from offerflow.session import stage
 FIT_WORDS = 65_536
 
 
+def _knapsack(sizes: np.ndarray, spare: np.ndarray, room: int) -> np.ndarray:
+    """Bounded knapsack: how many of each size, at most ``spare``, for the largest sum up to
+    ``room``. Reachable sums are the bits of a long integer; sizes enter in binary pieces."""
+    out = np.zeros(len(sizes), dtype=np.int64)
+    reach, steps, mask = 1, [], (1 << (room + 1)) - 1
+    for i in range(len(sizes)):
+        many = min(int(spare[i]), room // int(sizes[i])) if 0 < sizes[i] <= room else 0
+        piece = 1
+        while many > 0 and not reach >> room & 1:
+            take = min(piece, many)
+            steps.append((reach, i, take))
+            reach |= (reach << (take * int(sizes[i]))) & mask
+            many -= take
+            piece *= 2
+        if reach >> room & 1:
+            break
+    at = reach.bit_length() - 1
+    for before, i, take in reversed(steps):
+        if not before >> at & 1:
+            out[i] += take
+            at -= take * int(sizes[i])
+    return out
+
+
 def fit_lengths(sizes: np.ndarray, counts: np.ndarray, budget: int, fit: int = FIT_WORDS) -> np.ndarray:
     """How many documents of each size to take for a total of at most ``budget``, close to it.
 
     An equal share of every size comes first, then the sizes with the largest remainders until
-    at most ``fit`` words are left, then the bounded knapsack: the reachable sums are the bits
-    of a long integer, and each size enters in binary pieces."""
+    at most ``fit`` words are left, then the bounded knapsack; where it has no exact fit, up to 16
+    copies of the share enter it too."""
     order = np.argsort(sizes, kind="stable")
     n, c = sizes[order].astype(np.int64), counts[order].astype(np.int64)
     total = int((n * c).sum())
@@ -54,23 +78,17 @@ def fit_lengths(sizes: np.ndarray, counts: np.ndarray, budget: int, fit: int = F
             out[i] += more
             left -= more * int(n[i])
         left = min(left, fit)
-        reach, steps, mask = 1, [], (1 << (left + 1)) - 1
-        for i in range(len(n)):
-            spare = min(int(c[i] - out[i]), left // int(n[i])) if 0 < n[i] <= left else 0
-            piece = 1
-            while spare > 0 and not reach >> left & 1:
-                take = min(piece, spare)
-                steps.append((reach, i, take))
-                reach |= (reach << (take * int(n[i]))) & mask
-                spare -= take
-                piece *= 2
-            if reach >> left & 1:
-                break
-        at = reach.bit_length() - 1
-        for before, i, take in reversed(steps):
-            if not before >> at & 1:
-                out[i] += take
-                at -= take * int(n[i])
+        more = _knapsack(n, c - out, left)
+        if int((n * more).sum()) < left:  # no exact fit: a few copies of the share may give way
+            freed, room = out.copy(), left
+            for i in np.repeat(np.arange(len(n)), np.minimum(out, 2))[:16]:
+                if n[i] > 0 and room + n[i] <= fit:
+                    freed[i] -= 1
+                    room += int(n[i])
+            other = _knapsack(n, c - freed, room)
+            if room - int((n * other).sum()) < left - int((n * more).sum()):
+                out, more = freed, other
+        out = out + more
     back = np.empty_like(out)
     back[order] = out
     return back
