@@ -141,3 +141,64 @@ def test_classifier(spark, odd_docs):
     assert all(r["perplexity"] is None and not r["kept"] for r in odd if r["n_words"] == 0)
     assert all(r["kept"] for r in kneser_ney.classify(odd_docs, labels.limit(0)).filter("n_words > 0").collect())
     assert kneser_ney.classify(docs.limit(0), labels).count() == 0
+
+
+def test_whole_licenses_and_notices_inside_texts(spark):
+    """Full texts, texts parted by blank lines, and notices in the middle of a line are found."""
+    full = {n: (licenses.TEXTS / f"{n}.txt").read_text(encoding="utf-8") for n in licenses.TEMPLATES}
+    header = licenses.TEMPLATES["GPL-3.0"][1].replace(" This program is distributed", "\n\nThis program is distributed")
+    noise = " ".join(f"w{i} of the x{i}" for i in range(300))
+    cases = [(n, f"{n} copyright 2020 somebody\n\n{text}") for n, text in full.items()]
+    cases += [(n, f"{noise} {' '.join(text.split())} {noise}") for n, text in full.items()]
+    cases += [("GPL-3.0", header), ("GPL-3.0", f"{noise}\n{header}\n{noise}"),
+              ("BSD-2-Clause", full["BSD-2-Clause"].split("THIS SOFTWARE")[0]),
+              ("BSD-3-Clause", " ".join(full["BSD-3-Clause"].split())),
+              ("MIT", f"{noise} Released under the MIT License. {noise}"), (None, noise)]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["matches"] for r in licenses.license_matches(docs).collect()}
+    assert [(got[i][0]["license"] if got[i] else None) for i in range(len(cases))] == [n for n, _ in cases]
+    inside = got[len(cases) - 2]
+    assert [m["unit"] for m in inside] == ["window"]
+    assert cases[-2][1].encode()[inside[0]["start"]:inside[0]["end"]] == b"Released under the MIT License"
+    both = f"{noise} {header} {noise} Licensed under CC BY 4.0. {noise}"
+    two = licenses.license_matches(spark.createDataFrame([(0, both)], "doc_id long, text string")).collect()[0]
+    assert [m["license"] for m in two["matches"]] == ["GPL-3.0", "CC-BY-4.0"]
+
+
+def test_windows_by_brute_force():
+    """Each template's best window scores as in a plain search over all windows."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from offerflow.llm.wordhash import WordHasher, string_buffers
+
+    rng = random.Random(3)
+    given = {"a": ("p q r s t u v", "p q p q r"), "b": ("q r s p t",)}
+    known, hasher = licenses.Templates(given, 0.8), WordHasher(licenses.BREAKS)
+    texts = [" ".join(rng.choices("pqrstuv", k=rng.randint(1, 60))) for _ in range(200)]
+    texts += [" ".join(rng.choices("xy", k=9)) + " " + given["a"][0] + " z " + given["b"][0] for _ in range(20)]
+    starts, _, owner, hashes = hasher.words(*string_buffers(pa.array(texts)))
+    pairs = licenses._bigrams(hashes)
+    at = np.minimum(np.searchsorted(known.known, pairs), len(known.known) - 1)
+    hits = np.flatnonzero((known.known[at] == pairs) & (owner[1:] == owner[:-1]))
+    cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+    got = defaultdict(list)
+    for i, a, b, score, _ in known.windows(pairs, at, hits, owner, cuts):
+        got[i, int(owner[a])].append((a, b, score))
+    some = 0
+    for i, (_, bigrams_of, m) in enumerate(known.sets):
+        for d in range(len(texts)):
+            want = {}
+            for a in range(cuts[d], cuts[d + 1] - m + 1):
+                own = set(pairs[a:a + m - 1].tolist())
+                shared = len(own & set(bigrams_of.tolist()))
+                if 2 * shared / (len(own) + len(bigrams_of)) >= 0.8:
+                    want[a] = (2 * shared / (len(own) + len(bigrams_of)), 3 * shared - len(own))
+            found = got[i, d]
+            some += len(found)
+            assert all(s == pytest.approx(want[a][0]) and b == a + m for a, b, s in found)
+            assert bool(found) == bool(want)
+            assert all(any(abs(a - x) < m and want[x][1] >= want[a][1] for x, *_ in found) for a in want)
+    assert some > 20
