@@ -151,7 +151,7 @@ def permutation_importance(t):
 
 @query()
 def null_importance(t):
-    return selection.null_importance(t.fx_label, KEYS, X, "label", k=2, **TREES)
+    return selection.null_importance(t.fx_label, KEYS, X, "label", k=10, **TREES)
 
 
 @query("""WITH i AS (SELECT p_brand AS feature, p_partkey AS k, p_retailprice / 1000 AS importance FROM part)
@@ -218,16 +218,14 @@ def uplift_tree_text(t):
 
 @query()
 def propensity(t):
-    return effects.propensity(people(t), "uid", SCORES, "treatment", "control", ARMS[:2], folds=2,
-                              grid=[1e-3, 1e-1])
+    return effects.propensity(people(t), "uid", SCORES, "treatment", "control", ARMS, folds=5)
 
 
 @query()
 def x_learner(t):
     shares = {r["treatment"]: r["propensity"] for r in
               profile.arm_shares(t.fx_experiment, "treatment", "control").collect()}
-    return effects.x_learner(people(t), "uid", SCORES, "treatment", "control", ARMS[:2], "y", shares,
-                             depth=2, rounds=2)
+    return effects.x_learner(people(t), "uid", SCORES, "treatment", "control", ARMS, "y", shares)
 
 
 @query("""SELECT uid, round(p * a + (1 - p) * b, 6) AS ite FROM (SELECT uid, score_01 AS a, score_02 AS b,
@@ -240,4 +238,4 @@ def blend_effects(t):
 
 @query()
 def dml_effect(t):
-    return effects.dml_effect(people(t), "uid", SCORES, "treatment", "control", ARMS[:2], "y")
+    return effects.dml_effect(people(t), "uid", SCORES, "treatment", "control", ARMS, "y", folds=5)

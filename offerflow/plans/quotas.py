@@ -57,7 +57,7 @@ def quotas_hold(t):
 @query()
 def allocate_groups(t):
     """Rows-only: iterative; the tests check quotas and the optimum."""
-    users, _ = quotas.allocate_groups(t.fx_score, "uid", SCORES, OPEN, 1.1, [5, 5, 5, 5, 2])
+    users, _ = quotas.allocate_groups(eligible(ruled_users(t)), "uid", SCORES, OPEN, 1.1, [5, 5, 5, 5, 2], RULES)
     return users.select("uid", "group_code", "item_idx")
 
 
