@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 from offerflow.llm.common import GAP, KEY, WORD, group_key, row_key, text_of, word_list
 from offerflow.session import stage
 
-#: A line stays while at most this many documents of its host have it ...
+#: A line stays while at most this many documents of its host have it, however many the host has.
 MAX_DOCS = 20
-#: ... or at most this share of the host's documents.
-MAX_SHARE = 0.01
 #: A document with less of its words left is depleted.
 MIN_LEFT = 0.3
 
@@ -76,31 +74,24 @@ def document_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         F.monotonically_increasing_id().alias("_row"))
 
 
-def quality_report(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE,
-                   min_left: float = MIN_LEFT, doc_id: str = "doc_id", text: str = "text",
-                   host: str = "source") -> DataFrame:
+def quality_report(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT,
+                   doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """One row per document: the row key, doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, words_removed, lines_removed (places among the lines with a
     word), depleted, kept.
 
-    Distinct documents are counted per host and line; a line above
-    ``max(max_docs, max_share * documents of the host)`` goes from every document but the one
-    with the smallest doc_id that has it (where none has a doc_id, it stays). Null text has no words and fails the base rules; a
+    Distinct documents are counted per host and line; a line above ``max_docs`` goes from every
+    document but the one with the smallest doc_id that has it (where none has a doc_id, it
+    stays), whatever other documents the host has. Null text has no words and fails the base rules; a
     null host is a host of its own; repeated rows count as documents of their own; an empty
     table gives no rows. The narrow features are staged once; a hot host or line spreads, for
     lines are counted by a hash of host and line with partial sums, and the join back to the
     lines can be split by adaptive execution."""
     features = stage(document_features(docs, doc_id, text, host), "line-features")
-    hosts = features.groupBy("_host").agg(F.count(F.lit(1)).alias("_in_host"))
-    counts = (
-        features.select("doc_id", "_host", F.explode(F.array_distinct("_hashes.h")).alias("h"))
-        .groupBy("h").agg(
-            F.count(F.lit(1)).alias("_in_docs"), F.min("_host").alias("_host"),
-            F.min("doc_id").alias("_first"))
-        .filter(F.col("_in_docs") > max_docs))
-    frequent = (counts.join(hosts, "_host")
-                .filter(F.col("_in_docs") > F.greatest(F.lit(float(max_docs)), F.lit(max_share) * F.col("_in_host")))
-                .select("h", "_first"))
+    frequent = (
+        features.select("doc_id", F.explode(F.array_distinct("_hashes.h")).alias("h"))
+        .groupBy("h").agg(F.count(F.lit(1)).alias("_in_docs"), F.min("doc_id").alias("_first"))
+        .filter(F.col("_in_docs") > max_docs).select("h", "_first"))
     lines = features.select("_row", "doc_id", F.posexplode("_hashes").alias("pos", "_l")).select(
         "_row", "doc_id", "pos", F.col("_l.h").alias("h"), F.col("_l.w").alias("w"))
     removed = (lines.join(frequent, "h").filter("NOT (doc_id <=> _first)").groupBy("_row")

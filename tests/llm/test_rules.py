@@ -56,6 +56,18 @@ def test_line_frequency(spark):
     assert out[5] == filler[5] and out[0].startswith(filler[0]) and out[0] != filler[0]
 
 
+def test_line_limit_is_the_same_in_a_large_host(spark):
+    """A line's verdict does not change when the host gets more clean documents."""
+    filler = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, f"{filler} {i}\nthis line stands everywhere", "h") for i in range(30)]
+    few = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clean = spark.range(100, 4100).selectExpr("id AS doc_id", f"concat('{filler} clean ', id) AS text", "'h' AS source")
+    want = {r["doc_id"]: r["words_removed"] for r in line_rules.quality_report(few).collect()}
+    got = {r["doc_id"]: r["words_removed"] for r in line_rules.quality_report(few.union(clean)).collect()}
+    assert want == {i: 4 if i else 0 for i in range(30)}
+    assert {i: got[i] for i in want} == want and not any(n for i, n in got.items() if i >= 100)
+
+
 def test_quality_of_odd_and_empty(odd_docs):
     out = line_rules.apply_quality_rules(odd_docs)
     kept = Counter((r["doc_id"], r["text"]) for r in odd_docs.collect()
