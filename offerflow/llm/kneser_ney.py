@@ -1,9 +1,9 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model counts word n-grams of a bounded sample of trusted documents. The counts are cut
+The model counts word n-grams of all trusted documents but a held-out share. The counts are cut
 into shards by the hash of the middle word, for a trigram, its context, its lower-order bigram
 and that one's context all share this word: each shard joins its discounted counts with those of the
-next lower order, and only the single words' table is common to all. A task that scores
+next lower order. Single words are cut into shards of their own by their hash. A task that scores
 documents joins its n-grams with one shard at a time, so no task ever holds the whole
 model. A document is kept where its perplexity is at most a high quantile of held-out
 trusted documents of its language.
@@ -25,8 +25,8 @@ from offerflow.llm.wordhash import WordHasher, mix, pieces, string_buffers
 from offerflow.operators.ordered import running
 from offerflow.session import scratch_folder, stage
 
-#: Trusted documents per language in the training sample, about (a seeded hash draws them).
-TRUSTED_PER_LANGUAGE = 1500
+#: Share of the trusted documents that is held out of the counts (a seeded hash draws them).
+HELD_OUT = 0.2
 #: Entries of the model in a shard, and bytes of text scored at once.
 SHARD_ENTRIES = 1_000_000
 PIECE_BYTES = 8 << 20
@@ -113,11 +113,12 @@ def _write(folder: str, shard: int, keys: np.ndarray, values: np.ndarray) -> str
     return f"{folder}/{name}"
 
 
-def train(trusted: DataFrame, text: str = "text", entries: int = SHARD_ENTRIES) -> list[str | None]:
-    """Counts the texts and writes the model to the shared folder, as sorted keys and values: one pair
-    of files for all single words, then one per shard of the middle word with about ``entries``
+def train(trusted: DataFrame, text: str = "text", entries: int = SHARD_ENTRIES) -> list:
+    """Counts the texts and writes the model to the shared folder, as sorted keys and values: a pair
+    of files per shard of single words, then one per shard of the middle word with about ``entries``
     probabilities of seen trigrams and bigrams and weights that seen contexts leave to the next
-    lower order. Returns the paths; None stands for a shard without entries."""
+    lower order. Returns (ln p of an unseen word, the paths of the words), then the other
+    paths; None stands for a shard without entries."""
     spark = trusted.sparkSession
     folder = f"{scratch_folder(spark)}/kneser-ney-{uuid.uuid4().hex}"
     if "://" not in folder:
@@ -136,17 +137,16 @@ def train(trusted: DataFrame, text: str = "text", entries: int = SHARD_ENTRIES)
 
     def write_words(table: pa.Table) -> pa.Table:
         c, n = table.column("c").to_numpy().view(np.uint64), table.column("n").to_numpy()
-        p = (n - _cut(n, d1)) / everything + unseen if len(n) else np.zeros(0)
-        return pa.table({"path": [_write(folder, -1, np.append(_key(UNI, c), np.uint64(0)), np.append(p, unseen))]})
+        path = _write(folder, -1, _key(UNI, c), (n - _cut(n, d1)) / everything + unseen)
+        return pa.table({"shard": [table.column("shard")[0].as_py()], "path": [path]})
 
     def write_shard(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         a, b, c = (table.column(k).to_numpy().view(np.uint64) for k in "abc")
         n = table.column("n").to_numpy()
-        keys, values = _load(single)
         order, first, pair = _runs(b, c)
         b2, w2, n2 = b[order[first]], c[order[first]], np.diff(np.append(first, len(order)))
-        p1 = np.exp(_find(keys, values, _key(UNI, w2)))
+        p1 = np.exp(_single(single, w2))
         order, first, context = _runs(b2)
         cut, total = _cut(n2, d2), np.bincount(context, n2)
         left = np.bincount(context, cut) / total
@@ -160,18 +160,20 @@ def train(trusted: DataFrame, text: str = "text", entries: int = SHARD_ENTRIES)
         path = _write(folder, shard, np.concatenate([k for k, _ in out]), np.concatenate([v for _, v in out]))
         return pa.table({"shard": [shard], "path": [path]})
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shard = pa.array(_shard(batch.column(1).to_numpy().view(np.uint64), shards))
-            yield pa.RecordBatch.from_arrays([shard, *batch.columns], names=["shard", *batch.schema.names])
+    def written(counts: DataFrame, word: str, n: int, write) -> list[str | None]:
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.schema.get_field_index(word)
+                shard = pa.array(_shard(batch.column(at).to_numpy().view(np.uint64), n))
+                yield pa.RecordBatch.from_arrays([shard, *batch.columns], names=["shard", *batch.schema.names])
+
+        placed = counts.mapInArrow(place, "shard long, " + ", ".join(f"{c} long" for c in counts.columns))
+        paths = placed.groupBy("shard").applyInArrow(write, "shard long, path string").collect()  # a row per shard
+        by = {r["shard"]: r["path"] for r in paths}
+        return [by.get(s) for s in range(n)]
 
-    marked = c1.select(F.lit(0).alias("g"), "c", "n")  # the words of a bounded sample are one table
-    written = marked.groupBy("g").applyInArrow(write_words, "path string").collect()
-    single = written[0]["path"] if written else _write(folder, -1, np.zeros(1, dtype=np.uint64), np.array([unseen]))
-    placed = c3.select("a", "b", "c", "n").mapInArrow(place, "shard long, a long, b long, c long, n long")
-    paths = placed.groupBy("shard").applyInArrow(write_shard, "shard long, path string").collect()  # a row per shard
-    by = {r["shard"]: r["path"] for r in paths}
-    return [single, *[by.get(s) for s in range(shards)]]
+    single = (float(np.log(unseen)), written(c1.select("c", "n"), "c", max(1, -(-words // entries)), write_words))
+    return [single, *written(c3.select("a", "b", "c", "n"), "b", shards, write_shard)]
 
 
 def _load(path: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -197,17 +199,26 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
     return out
 
 
-def log_probabilities(hashes: np.ndarray, texts: np.ndarray, shards: list[str | None]) -> np.ndarray:
+def _single(table: tuple[float, list[str | None]], words: np.ndarray) -> np.ndarray:
+    """ln p of single words, one shard of them at a time."""
+    unknown, paths = table
+    out, part = np.full(len(words), unknown), _shard(words, len(paths))
+    for s, path in enumerate(paths):
+        mine = np.flatnonzero(part == s)
+        if path is not None and len(mine):
+            p = _find(*_load(path), _key(UNI, words[mine]))
+            out[mine] = np.where(np.isnan(p), unknown, p)
+    return out
+
+
+def log_probabilities(hashes: np.ndarray, texts: np.ndarray, shards: list) -> np.ndarray:
     """ln p(word | two words before) of every word."""
     out = np.zeros(len(hashes))
     if not len(hashes):
         return out
     a, b = _contexts(hashes, texts)
-    keys, values = _load(shards[0])
     distinct, where = np.unique(hashes, return_inverse=True)
-    unknown = values[np.searchsorted(keys, 0)]
-    single = _find(keys, values, _key(UNI, distinct))
-    single = np.where(np.isnan(single), unknown, single)[where]
+    single = _single(shards[0], distinct)[where]
     part = _shard(b, len(shards) - 1)
     order = np.argsort(part.astype(np.uint16), kind="stable")
     cuts = np.searchsorted(part[order], np.arange(len(shards)))
@@ -228,7 +239,7 @@ def log_probabilities(hashes: np.ndarray, texts: np.ndarray, shards: list[str |
     return out
 
 
-def score(docs: DataFrame, shards: list[str | None], doc_id: str = "doc_id", text: str = "text",
+def score(docs: DataFrame, shards: list, doc_id: str = "doc_id", text: str = "text",
           lang: str = "lang") -> DataFrame:
     """One row per document: doc_id, lang, n_words, log_p (sum over the words, natural log)."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"),
@@ -256,12 +267,13 @@ def score(docs: DataFrame, shards: list[str | None], doc_id: str = "doc_id", tex
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shrink: float = SHRINK,
-             per_language: int = TRUSTED_PER_LANGUAGE, seed: int = 11, doc_id: str = "doc_id",
+             per_language: int | None = None, seed: int = 11, doc_id: str = "doc_id",
              text: str = "text", lang: str = "lang", quality: str = "quality") -> DataFrame:
     """One row per document: doc_id, lang, n_words, perplexity, threshold, kept.
 
-    Trusted are the documents labelled with quality 1. About ``per_language`` of each language,
-    drawn by a seeded hash of the doc_id, train the model; all other trusted ones set the limits:
+    Trusted are the documents labelled with quality 1. All but a share of ``HELD_OUT``, drawn by a
+    seeded hash of the doc_id, train the model (about ``per_language`` of each language at most, if
+    given); all other trusted ones set the limits:
     per language the exact ``quantile`` of their perplexity. A language without held-out
     trusted documents takes the highest limit of the others; without any, all are kept. Perplexity
     counts ``shrink`` words of the average trusted rate in.
@@ -272,14 +284,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shr
            .filter("doc_id IS NOT NULL").distinct())
     known = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), group_key(f"`{lang}`").alias("_lang"))
     trusted = stage(known.join(ids, "doc_id").distinct(), "trusted")
-    share = trusted.groupBy("_lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("_share"))
+    most = F.lit(1.0) if per_language is None else F.lit(float(per_language)) / F.count(F.lit(1))
+    share = trusted.groupBy("_lang").agg(most.alias("_share"))
     draw = (F.xxhash64(F.lit(seed), "doc_id") / F.lit(2.0 ** 64)) + 0.5
-    drawn = trusted.join(share, "_lang").select("doc_id", "_lang", (draw < F.least("_share", F.lit(0.8))).alias("_trains"))
+    drawn = trusted.join(share, "_lang").select("doc_id", "_lang", (draw < F.least("_share", F.lit(1 - HELD_OUT))).alias("_trains"))
     drawn = stage(drawn, "drawn")
     sample = drawn.filter("_trains").select("doc_id").distinct()
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    # the sample is bounded by per_language and the number of languages
-    training = texts.join(F.broadcast(sample), "doc_id", "left_semi").select("text").dropDuplicates()
+    training = texts.join(sample, "doc_id", "left_semi").select("text").dropDuplicates()
     shards = train(training)
     scored = stage(score(docs, shards, doc_id, text, lang).withColumn("_lang", group_key("lang")), "scores")
     held = scored.join(drawn.filter("NOT _trains").select("doc_id", "_lang").distinct(), ["doc_id", "_lang"], "left_semi").filter("n_words > 0")

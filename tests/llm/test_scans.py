@@ -126,6 +126,22 @@ def test_probabilities(spark, odd_docs):
         assert sum(model.p("the", "cat", c) for c in words + ["?"]) == pytest.approx(1.0)
 
 
+def test_all_trusted_but_the_held_out_train(spark, monkeypatch):
+    """The counts grow with the trusted text, and single words lie in several shards."""
+    seen, real = [], kneser_ney.train
+
+    def spy(training, *args, **more):
+        seen.append(training.count())
+        return real(training, *args, entries=2000)
+
+    monkeypatch.setattr(kneser_ney, "train", spy)
+    docs = spark.range(8000).selectExpr("id AS doc_id", "concat('word ', id, ' of the text ', id % 7) AS text", "'en' AS lang")
+    assert kneser_ney.classify(docs, docs.selectExpr("doc_id", "1 AS quality")).filter("kept").count() > 7500
+    assert 6000 < seen[0] < 6800
+    shards = real(docs.limit(100), entries=20)
+    assert len([p for p in shards[0][1] if p]) > 2
+
+
 def test_classifier(spark, odd_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
