@@ -12,6 +12,7 @@ from offerflow.llm import (
     kneser_ney,
     licenses,
     line_rules,
+    merkle,
     mixing,
     secret_links,
     token_counts,
@@ -93,8 +94,15 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+    more = (F.col("n_chars").cast("decimal(38,0)") + 1).cast("string")
+    return merkle.manifest_table(docs, tampered, {"n_chars": more})
+
+
 QUERIES = {f.__name__: f for f in (
     op1_kneser_ney, op2_source_mix, op3_license_scan, op4_hash_tree_shards, op5_secret_links, op6_token_files, op7_line_quality,
-    op8_token_counts, op9_ngram_jaccard, op10_fm_decontamination)}
+    op8_token_counts, op9_ngram_jaccard, op10_fm_decontamination, op11_merkle_manifest)}
 
 ORACLES: dict[str, str] = {}
