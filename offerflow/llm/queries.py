@@ -14,10 +14,13 @@ from offerflow.llm import (
     line_rules,
     merkle,
     mixing,
+    personal_data,
+    pivot_clusters,
     secret_links,
     token_counts,
     token_files,
 )
+from offerflow.llm.oracles import ORACLES  # noqa: F401 - the entry takes queries and twins from here
 
 
 def vocabulary(name: str) -> str:
@@ -101,8 +104,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_table(docs, tampered, {"n_chars": more})
 
 
+def op12_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_clusters.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(personal_data.span_text("base"), 256).alias("base_sha256"), personal_data.span_text("spans").alias("spans"),
+        F.transform("spans", lambda s: s["score"]).alias("scores"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_kneser_ney, op2_source_mix, op3_license_scan, op4_hash_tree_shards, op5_secret_links, op6_token_files, op7_line_quality,
-    op8_token_counts, op9_ngram_jaccard, op10_fm_decontamination, op11_merkle_manifest)}
-
-ORACLES: dict[str, str] = {}
+    op8_token_counts, op9_ngram_jaccard, op10_fm_decontamination, op11_merkle_manifest, op12_pivot_clusters, op13_personal_data)}
