@@ -1,95 +1,119 @@
-"""Upper tails of the F and chi-square distributions for result tables of a few rows."""
+"""Upper tails of the F and chi-square distributions as column expressions.
+
+Both are continued fractions or series that converge geometrically; a fold over a fixed number of
+terms evaluates them, and a fold that has converged keeps its value. Nothing leaves the JVM."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
-
-def beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the regularised incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                    -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + num * d
-            c = 1.0 + num / c
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
-
-
-def beta_inc(a: float, b: float, x: float) -> float:
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                     + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * beta_fraction(a, b, x) / a
-    return 1.0 - front * beta_fraction(b, a, 1.0 - x) / b
-
-
-def f_tail(score: float, d1: float, d2: float) -> float:
-    if score is None or math.isnan(score) or d2 <= 0:
-        return float("nan")
-    if math.isinf(score):
-        return 0.0
-    return beta_inc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * score))
-
-
-def chi2_tail(score: float, dof: float) -> float:
-    """Series below dof + 1, continued fraction above."""
-    if score is None or math.isnan(score):
-        return float("nan")
-    a, x = dof / 2.0, score / 2.0
-    if x <= 0:
-        return 1.0
-    front = math.exp(a * math.log(x) - x - math.lgamma(a))
-    if x < a + 1.0:
-        term = total = 1.0 / a
-        n = a
-        while abs(term) > abs(total) * 1e-16:
-            n += 1.0
-            term *= x / n
-            total += term
-        return 1.0 - front * total
-    b = x + 1.0 - a
-    c, d = 1e300, 1.0 / b
-    h = d
-    for i in range(1, 500):
-        num = -i * (i - a)
-        b += 2.0
-        d = 1.0 / (num * d + b)
-        c = b + num / c
-        h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return front * h
-
-
-@F.pandas_udf(DoubleType())
-def _f_tails(score: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return pd.Series([f_tail(*row) for row in zip(score, d1, d2)], dtype="float64")
-
-
-@F.pandas_udf(DoubleType())
-def _chi2_tails(score: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([chi2_tail(*row) for row in zip(score, dof)], dtype="float64")
+
+#: Terms of a fraction; the fold stops changing where a term no longer matters.
+TERMS = 400
+TINY = 1e-300
+CLOSE = 1e-15
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def log_gamma(z: Column) -> Column:
+    """ln of the gamma function for z > 0: the asymptotic series ten steps up, and down again."""
+    def series(y: Column) -> Column:
+        return ((y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y)
+                + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7))))
+
+    def lowered(x: Column) -> Column:
+        steps = F.lit(1.0)
+        for k in range(10):
+            steps = steps * (x + k)
+        return F.when(x >= 10, series(x)).otherwise(series(x + 10) - F.ln(steps))
+
+    return let(z.cast("double"), lowered)
+
+
+def _apart(x: Column) -> Column:
+    """Moved off zero, so that it can divide."""
+    return F.when(F.abs(x) > TINY, x).otherwise(F.lit(TINY))
+
+
+def _folded(first: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """h after the terms: the state is (c, d, h, done), a finished one stays as it is."""
+    def next_(state: Column, m: Column) -> Column:
+        return F.when(state["done"], state).otherwise(step(state, m.cast("double")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), first, next_, lambda s: s["h"])
+
+
+def _state(c: Column, d: Column, h: Column, done: Column) -> Column:
+    return F.struct(c.alias("c"), d.alias("d"), h.alias("h"), done.alias("done"))
+
+
+def _turn(state: Column, num: Column) -> Column:
+    """One partial fraction with numerator ``num`` by the modified Lentz rule."""
+    def with_d(d: Column) -> Column:
+        return let(_apart(1 + num / state["c"]), lambda c: _state(c, d, state["h"] * d * c, F.abs(d * c - 1) < CLOSE))
+
+    return let(1 / _apart(1 + num * state["d"]), with_d)
+
+
+def beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the regularised incomplete beta function."""
+    def step(state: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return let(_turn(state, even), lambda s: _turn(s, odd))
+
+    d = 1 / _apart(1 - (a + b) * x / (a + 1))
+    return let(d, lambda d0: _folded(_state(F.lit(1.0), d0, d0, F.lit(False)), step))
+
+
+def _beta_tail(s: Column) -> Column:
+    """I_x(a, b), with y = 1 - x given apart so that neither end loses digits."""
+    a, b, x, y = s["a"], s["b"], s["x"], s["y"]
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.ln(y))
+    return F.when(x <= 0, 0.0).when(y <= 0, 1.0).when(
+        x < (a + 1) / (a + b + 2), front * beta_fraction(a, b, x) / a).otherwise(1 - front * beta_fraction(b, a, y) / b)
 
 
 def f_pvalue(score: Column, d1: Column, d2: Column) -> Column:
-    return F.nanvl(_f_tails(score, d1.cast("double"), d2.cast("double")), F.lit(None))
+    """P(F(d1, d2) > score): null without a score or degrees of freedom, 0 for infinity."""
+    s, d1, d2 = score.cast("double"), d1.cast("double"), d2.cast("double")
+    known = s.isNotNull() & ~F.isnan(s) & (d1 > 0) & (d2 > 0)
+    place = F.struct((d2 / 2).alias("a"), (d1 / 2).alias("b"), (d2 / (d2 + d1 * s)).alias("x"), (d1 * s / (d2 + d1 * s)).alias("y"))
+    return F.when(known & (s == math.inf), 0.0).when(known & (s <= 0), 1.0).when(known, let(place, _beta_tail))
+
+
+def _gamma_tail(p: Column) -> Column:
+    a, x = p["a"], p["x"]
+    front = F.exp(a * F.ln(x) - x - log_gamma(a))
+
+    def more(state: Column, n: Column) -> Column:  # a series term, kept in d; the sum in h
+        return let(state["d"] * x / (a + n), lambda t: _state(
+            state["c"], t, state["h"] + t, F.abs(t) <= F.abs(state["h"]) * CLOSE))
+
+    def step(state: Column, m: Column) -> Column:
+        num, b = -m * (m - a), x + 1 - a + 2 * m
+
+        def with_d(d: Column) -> Column:
+            return let(_apart(b + num / state["c"]), lambda c: _state(c, d, state["h"] * d * c, F.abs(d * c - 1) < CLOSE))
+
+        return let(1 / _apart(b + num * state["d"]), with_d)
+
+    series = 1 - front * _folded(_state(F.lit(1.0), 1 / a, 1 / a, F.lit(False)), more)
+    d = 1 / (x + 1 - a)
+    return F.when(x < a + 1, series).otherwise(front * _folded(_state(F.lit(1 / TINY), d, d, F.lit(False)), step))
 
 
 def chi2_pvalue(score: Column, dof: Column) -> Column:
-    return F.nanvl(_chi2_tails(score, dof.cast("double")), F.lit(None))
+    """P(chi-square(dof) > score), by a series below dof + 2 and a fraction above; null without a score
+    or degrees of freedom."""
+    s, k = score.cast("double"), dof.cast("double")
+    known = s.isNotNull() & ~F.isnan(s) & (k > 0)
+    return F.when(known & (s == math.inf), 0.0).when(known & (s <= 0), 1.0).when(
+        known, let(F.struct((k / 2).alias("a"), (s / 2).alias("x")), _gamma_tail))

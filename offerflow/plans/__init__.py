@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("rows", "tables", "ranks", "samples", "scores", "bands", "budgets", "quotas", "models")
+MODULES = ("rows", "tables", "ranks", "samples", "scores", "bands", "budgets", "quotas", "models", "jobs")
 
 
 def load_all() -> None:

@@ -213,66 +213,119 @@ def corr_weighted_kendall(t):
 
 # --- feature tests -----------------------------------------------------------------
 
+def f_tail_sql(tests: str, keys: str = "feature") -> str:
+    """CTEs up to ``tails`` (keys, score, p_value): the tail of F by its continued fraction, one term per
+    recursion, over the CTE ``tests`` (keys, score, d1, d2)."""
+    turn = "1 / (1 + {n} * {d}) AS {d2}, 1 + {n} / {c} AS {c2}"
+    even = "((m + 1) * (b - m - 1) * x / ((a + 2 * m + 1) * (a + 2 * m + 2)))"
+    odd = "(-(a + m + 1) * (a + b + m + 1) * x / ((a + 2 * m + 2) * (a + 2 * m + 3)))"
+    return f"""tests AS ({tests}),
+  ends AS (SELECT *, d2 / 2 AS a0, d1 / 2 AS b0, d2 / (d2 + d1 * score) AS x0, d1 * score / (d2 + d1 * score) AS y0 FROM tests),
+  sides AS (SELECT *, x0 >= (a0 + 1) / (a0 + b0 + 2) AS swapped FROM ends),
+  start AS (SELECT *, CASE WHEN swapped THEN b0 ELSE a0 END::DOUBLE AS a, CASE WHEN swapped THEN a0 ELSE b0 END::DOUBLE AS b,
+    CASE WHEN swapped THEN y0 ELSE x0 END::DOUBLE AS x, CASE WHEN swapped THEN x0 ELSE y0 END::DOUBLE AS y FROM sides),
+  lentz AS (SELECT {keys}, a, b, x, 0 AS m, 1.0::DOUBLE AS c, 1 / (1 - (a + b) * x / (a + 1)) AS d,
+      1 / (1 - (a + b) * x / (a + 1)) AS h, 1.0::DOUBLE AS e FROM start
+    UNION ALL
+    SELECT {keys}, a, b, x, m + 1, c2, d2, h1 * c2 * d2, abs(c2 * d2 - 1) FROM (
+      SELECT *, {turn.format(n=odd, d="d1", c="c1", d2="d2", c2="c2")} FROM (
+        SELECT *, h * c1 * d1 AS h1 FROM (SELECT *, {turn.format(n=even, d="d", c="c", d2="d1", c2="c1")}
+          FROM lentz WHERE e >= 1e-15::DOUBLE AND m < 400) q) q) q),
+  sums AS (SELECT {keys}, arg_max(h, m) AS h FROM lentz GROUP BY {keys}),
+  parts AS (SELECT {keys}, score, swapped, x, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(y)) * h / a AS part
+    FROM start JOIN sums USING ({keys})),
+  tails AS (SELECT {keys}, score, CASE WHEN score <= 0 THEN 1 WHEN swapped THEN 1 - part ELSE part END AS p_value FROM parts)"""
+
+
+CHI2_TAIL = """ends AS (SELECT feature, score, dof / 2 AS a, score / 2 AS x FROM tests),
+  series AS (SELECT feature, a, x, 0 AS n, 1 / a AS t, 1 / a AS h FROM ends WHERE x < a + 1
+    UNION ALL SELECT feature, a, x, n + 1, t * x / (a + n + 1), h + t * x / (a + n + 1) FROM series WHERE t > h * 1e-15 AND n < 400),
+  lentz AS (SELECT feature, a, x, 0 AS m, 1e300::DOUBLE AS c, 1 / (x + 1 - a) AS d, 1 / (x + 1 - a) AS h, 1.0::DOUBLE AS e
+      FROM ends WHERE x >= a + 1
+    UNION ALL SELECT feature, a, x, m + 1, c1, d1, h * c1 * d1, abs(c1 * d1 - 1) FROM (
+      SELECT *, 1 / (x + 3 - a + 2 * m - (m + 1) * (m + 1 - a) * d) AS d1, x + 3 - a + 2 * m - (m + 1) * (m + 1 - a) / c AS c1
+      FROM lentz WHERE e >= 1e-15::DOUBLE AND m < 400) q),
+  tails AS (SELECT feature, score, CASE WHEN x < a + 1 THEN 1 - exp(a * ln(x) - x - lgamma(a)) * (SELECT max(h) FROM series s WHERE
+      s.feature = ends.feature) ELSE exp(a * ln(x) - x - lgamma(a)) * (SELECT arg_max(h, m) FROM lentz l WHERE l.feature = ends.feature)
+    END AS p_value FROM ends)"""
+
+FLAGGED = """SELECT feature, round(score, {d}) AS score, round(p_value, 6) AS p_value,
+  CAST(row_number() OVER (ORDER BY score DESC, feature) <= 1 AS INT) AS is_selected_score,
+  CAST(p_value <= 0.05 AS INT) AS is_selected_p FROM tails"""
+
+
 def anova_sql(c: str) -> str:
-    return f"""SELECT '{c}' AS feature, round((sum(n * pow(m - g, 2)) / (count(*) - 1))
-      / (sum(n * v) / (sum(n) - count(*))), 6) AS score FROM (SELECT count({c}) AS n, avg({c}) AS m,
+    return f"""SELECT '{c}' AS feature, (sum(n * pow(m - g, 2)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) AS score,
+      CAST(count(*) - 1 AS DOUBLE) AS d1, CAST(sum(n) - count(*) AS DOUBLE) AS d2 FROM (SELECT count({c}) AS n, avg({c}) AS m,
       var_pop({c}) AS v, (SELECT avg({c}) FROM fx_label) AS g FROM fx_label GROUP BY label)"""
 
 
-@query(" UNION ALL ".join(anova_sql(c) for c in X), ["fx_label"])
+@query(f"WITH RECURSIVE {f_tail_sql(' UNION ALL '.join(anova_sql(c) for c in X))} " + FLAGGED.format(d=6), ["fx_label"])
 def anova_f(t):
-    return rounded(stats.anova_f(t.fx_label, X, "label").select("feature", "score"), score=6)
+    return rounded(stats.anova_f(t.fx_label, X, "label"), score=6, p_value=6)
 
 
-@query(" UNION ALL ".join(
-    f"SELECT '{c}' AS feature, round(pow(corr({c}, x2), 2) / (1 - pow(corr({c}, x2), 2)) * (count(*) - 2), 4)"
-    " AS score FROM fx_label" for c in ["x1", "x3", "x4"]), ["fx_label"])
+def regression_sql(c: str) -> str:
+    return (f"SELECT '{c}' AS feature, pow(corr({c}, x2), 2) / (1 - pow(corr({c}, x2), 2)) * (count(*) - 2) AS score,"
+            " 1::DOUBLE AS d1, CAST(count(*) - 2 AS DOUBLE) AS d2 FROM fx_label")
+
+
+@query(f"WITH RECURSIVE {f_tail_sql(' UNION ALL '.join(regression_sql(c) for c in ['x1', 'x3', 'x4']))} " + FLAGGED.format(d=4),
+       ["fx_label"])
 def f_regression(t):
-    out = stats.f_regression(t.fx_label, ["x1", "x3", "x4"], "x2")
-    return rounded(out.select("feature", "score"), score=4)
+    return rounded(stats.f_regression(t.fx_label, ["x1", "x3", "x4"], "x2"), score=4, p_value=6)
 
 
-@query(" UNION ALL ".join(
-    f"SELECT '{c}' AS feature, round(sum(pow(o - e, 2) / e), 6) AS score FROM (SELECT sum({c}) AS o,"
-    f" count(*) / (SELECT count(*) FROM fx_label) * (SELECT sum({c}) FROM fx_label) AS e FROM fx_label"
-    " GROUP BY label)" for c in X), ["fx_label"])
+CHI2 = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, sum(pow(o - e, 2) / e) AS score, CAST(count(*) - 1 AS DOUBLE) AS dof FROM (SELECT sum({c}) AS o,"
+    f" count(*) / (SELECT count(*) FROM fx_label) * (SELECT sum({c}) FROM fx_label) AS e FROM fx_label GROUP BY label)" for c in X)
+
+
+@query(f"WITH RECURSIVE tests AS ({CHI2}), {CHI2_TAIL} " + FLAGGED.format(d=6), ["fx_label"])
 def chi2(t):
-    return rounded(stats.chi2(t.fx_label, X, "label").select("feature", "score"), score=6)
+    return rounded(stats.chi2(t.fx_label, X, "label"), score=6, p_value=6)
 
 
-def conditional_sql(c: str) -> str:
-    return f"""SELECT '{c}' AS feature, round(e * (n - k - 1) / (syy - e), 6) AS score FROM (SELECT
+def conditional_sql(c: str, rows: str = "fx_label") -> str:
+    return f"""SELECT '{c}' AS feature, e * (n - k - 1) / (syy - e) AS score, 1::DOUBLE AS d1, CAST(n - k - 1 AS DOUBLE) AS d2 FROM (SELECT
       pow(sum(n * cxy), 2) / sum(n * vx) AS e, sum(n * vy) AS syy, sum(n) AS n, count(*) AS k FROM (SELECT
-      count(*) AS n, covar_pop({c}, label) AS cxy, var_pop({c}) AS vx, var_pop(label) AS vy FROM fx_label
+      count(*) AS n, covar_pop({c}, label) AS cxy, var_pop({c}) AS vx, var_pop(label) AS vy FROM {rows}
       GROUP BY item))"""
 
 
-@query(" UNION ALL ".join(conditional_sql(c) for c in X), ["fx_label"])
+@query(f"WITH RECURSIVE {f_tail_sql(' UNION ALL '.join(conditional_sql(c) for c in X))} "
+       "SELECT feature, round(score, 6) AS score, round(p_value, 6) AS p_value FROM tails", ["fx_label"])
 def conditional_f(t):
-    out = stats.conditional_f(t.fx_label, X, "label", "item")
-    return rounded(out.select("feature", "score"), score=6)
+    return rounded(stats.conditional_f(t.fx_label, X, "label", "item"), score=6, p_value=6)
+
+
+EFFECTS = [*SCORES, "ite"]
+ARM_FITS = "s AS (SELECT e.*, " + ", ".join(SCORES) + " FROM fx_experiment e JOIN fx_score USING (uid)), " + ", ".join(
+    f"""m_{c} AS (SELECT treatment, count(*) AS n, covar_pop({c}, y) / var_pop({c}) AS b,
+      count(*) * var_pop({c}) AS sxx, count(*) * (var_pop(y) - pow(covar_pop({c}, y), 2) / var_pop({c})) AS rss
+      FROM s GROUP BY treatment)""" for c in EFFECTS)
 
 
 def uplift_sql(c: str) -> str:
-    return f"""SELECT a.treatment AS arm, '{c}' AS feature, round(pow(a.b - z.b, 2) * (a.n + z.n - 4)
-      / ((a.rss + z.rss) * (1 / a.sxx + 1 / z.sxx)), 5) AS score FROM m_{c} a JOIN m_{c} z
-      ON z.treatment = 'control' AND a.treatment <> 'control'"""
+    return f"""SELECT a.treatment AS arm, '{c}' AS feature, a.n AS n_arm, pow(a.b - z.b, 2) * (a.n + z.n - 4)
+      / ((a.rss + z.rss) * (1 / a.sxx + 1 / z.sxx)) AS score, 1::DOUBLE AS d1, CAST(a.n + z.n - 4 AS DOUBLE) AS d2
+      FROM m_{c} a JOIN m_{c} z ON z.treatment = 'control' AND a.treatment <> 'control'"""
 
 
-@query("WITH s AS (SELECT e.*, score_01, score_02 FROM fx_experiment e JOIN fx_score USING (uid)), "
-       + ", ".join(f"""m_{c} AS (SELECT treatment, count(*) AS n, covar_pop({c}, y) / var_pop({c}) AS b,
-      count(*) * var_pop({c}) AS sxx, count(*) * (var_pop(y) - pow(covar_pop({c}, y), 2) / var_pop({c})) AS rss
-      FROM s GROUP BY treatment)""" for c in ["score_01", "score_02", "ite"])
-       + " " + " UNION ALL ".join(uplift_sql(c) for c in ["score_01", "score_02", "ite"]),
-       ["fx_experiment", "fx_score"])
+UPLIFT = " UNION ALL ".join(uplift_sql(c) for c in EFFECTS)
+
+
+@query(f"WITH {ARM_FITS}, u AS ({UPLIFT}) SELECT arm, feature, round(score, 5) AS score FROM u", ["fx_experiment", "fx_score"])
 def uplift_f_scores(t):
     df = t.fx_experiment.join(t.fx_score, "uid")
-    out = stats.uplift_scores(df, ["score_01", "score_02", "ite"], "treatment", "control", "y")
+    out = stats.uplift_scores(df, EFFECTS, "treatment", "control", "y")
     return rounded(out.select("arm", "feature", "score"), score=5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {ARM_FITS}, {f_tail_sql(UPLIFT, "arm, feature")},
+  means AS (SELECT feature, sum(p_value * n_arm) / sum(n_arm) AS p FROM tails JOIN tests USING (arm, feature) GROUP BY feature)
+  SELECT feature, round(p, 6) AS p_value_mean, CAST(p <= 0.05 AS INT) AS keep FROM means""", ["fx_experiment", "fx_score"])
 def uplift_f(t):
-    """Rows-only: p-values need the F distribution; the tests check them by hand."""
+    """Mean p-value over the arms of all five scores and the effect."""
     df = t.fx_experiment.join(t.fx_score, "uid")
-    return stats.uplift_f(df, [*SCORES, "ite"], "treatment", "control", "y")
+    return rounded(stats.uplift_f(df, EFFECTS, "treatment", "control", "y"), p_value_mean=6)

@@ -10,7 +10,7 @@ from offerflow.operators import effects, evaluate, profile, scoring, selection,
 from offerflow.plans.catalog import query
 from offerflow.plans.rows import hash_sql
 from offerflow.plans.scores import ARMS, experiment, rounded
-from offerflow.plans.views import SCORES
+from offerflow.plans.views import ITEMS, SCORES
 from offerflow.session import scratch_folder
 from offerflow.sources.partitions import read_partition, write_partition
 
@@ -35,30 +35,31 @@ def score_batches(t):
     return rounded(scoring.score_batches(t.fx_label, load_logistic, X, KEYS), score=6)
 
 
+BIAS = dict(zip(ITEMS, (0.4, -0.3, 0.1, -0.8, 0.25)))
+
+
 def load_item_model():
-    """Two item conditions, then two features."""
-    w = np.array([0.4, -0.3, 1.5, -0.7])
+    """One condition per item, then two features."""
+    w = np.array([*BIAS.values(), 1.5, -0.7])
     return lambda x: 1.0 / (1.0 + np.exp(-(x @ w)))
 
 
-def item_score(bias: str) -> str:
-    return f"1 / (1 + exp(-({bias} + score_01 * 1.5 - score_02 * 0.7)))"
+def item_score(item: str) -> str:
+    return f"1 / (1 + exp(-({BIAS[item]} + score_01 * 1.5 - score_02 * 0.7)))"
 
 
-@query(f"SELECT uid, round({item_score('0.4')}, 6) AS score_aaa, round({item_score('-0.3')}, 6) AS score_bbb FROM fx_score",
-       ["fx_score"])
+def item_scores(t):
+    return scoring.score_items(t.fx_score, load_item_model, ["score_01", "score_02"], ["uid"], scoring.one_hot_items(ITEMS))
+
+
+@query("SELECT uid, " + ", ".join(f"round({item_score(i)}, 6) AS score_{i}" for i in ITEMS) + " FROM fx_score", ["fx_score"])
 def score_items(t):
-    out = scoring.score_items(t.fx_score, load_item_model, ["score_01", "score_02"], ["uid"],
-                              scoring.one_hot_items(["aaa", "bbb"]))
-    return rounded(out, score_aaa=6, score_bbb=6)
+    return rounded(item_scores(t), **{f"score_{i}": 6 for i in ITEMS})
 
 
-@query(f"SELECT uid, 'aaa' AS item, round({item_score('0.4')}, 6) AS score FROM fx_score UNION ALL "
-       f"SELECT uid, 'bbb', round({item_score('-0.3')}, 6) FROM fx_score", ["fx_score"])
+@query(" UNION ALL ".join(f"SELECT uid, '{i}' AS item, round({item_score(i)}, 6) AS score FROM fx_score" for i in ITEMS), ["fx_score"])
 def score_items_long(t):
-    wide = scoring.score_items(t.fx_score, load_item_model, ["score_01", "score_02"], ["uid"],
-                               scoring.one_hot_items(["aaa", "bbb"]))
-    return rounded(scoring.scores_long(wide, ["uid"], ["aaa", "bbb"]), score=6)
+    return rounded(scoring.scores_long(item_scores(t), ["uid"], ITEMS), score=6)
 
 
 COSINE = """list_dot_product(u, v) / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v)) + 1e-8::DOUBLE)"""
@@ -92,16 +93,16 @@ def score_multi_output(t):
     return rounded(out, buy=6, click=6)
 
 
-def calibrated(bias: str) -> str:
-    s = item_score(bias).replace("score_01", "f1").replace("score_02", "f2")
+def calibrated(item: str) -> str:
+    s = item_score(item).replace("score_01", "f1").replace("score_02", "f2")
     return f"{s} / ({s} + (1 - {s}) / 0.5)"
 
 
-@query(f"""SELECT c_custkey AS uid, round({calibrated('0.4')}, 6) AS score_aaa, round({calibrated('-0.3')}, 6) AS score_bbb
-  FROM (SELECT c_custkey, coalesce(score_01, 0) AS f1, coalesce(score_02, -1) AS f2 FROM customer
+@query("SELECT c_custkey AS uid, " + ", ".join(f"round({calibrated(i)}, 6) AS score_{i}" for i in ITEMS)
+       + """ FROM (SELECT c_custkey, coalesce(score_01, 0) AS f1, coalesce(score_02, -1) AS f2 FROM customer
   LEFT JOIN fx_score ON uid = c_custkey AND group_index < 8)""", ["fx_score"])
 def scoring_job(t):
-    """Dated people and feature tables in, calibrated dated scores out."""
+    """Dated people and feature tables in, calibrated dated scores of all items out."""
     root = f"{scratch_folder(t.spark)}/job-{uuid.uuid4().hex}"
     write_partition(t.customer.select(F.col("c_custkey").alias("uid")), f"{root}/people", "2024-01-08")
     write_partition(t.fx_score.where("group_index < 8").select("uid", "score_01", "score_02"),
@@ -109,9 +110,9 @@ def scoring_job(t):
     scoring.run_scoring_job(
         t.spark, f"{root}/people", [(f"{root}/features", ["score_01", "score_02"])], f"{root}/scores",
         "2024-01-08", "2024-01-07", "uid", load_item_model, {"score_01": 0.0, "score_02": -1.0},
-        ["aaa", "bbb"], "base", lambda s: E.calibrate_neg_sampling(s, 0.5))
+        ITEMS, "base", lambda s: E.calibrate_neg_sampling(s, 0.5))
     return rounded(read_partition(t.spark, f"{root}/scores", "2024-01-08", exp_mode="base"),
-                   score_aaa=6, score_bbb=6)
+                   **{f"score_{i}": 6 for i in ITEMS})
 
 
 # --- learnt from Spark models (rows only: random or iterative) ---------------------

@@ -25,16 +25,16 @@ RANKED = (f"SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, i
   SELECT e.item, e.code AS item_code, e.ratio AS expected_ratio, count(b.uid) AS n_users,
     round(count(b.uid) / (SELECT count(*) FROM best), 3) AS share
   FROM (VALUES {", ".join(f"('{i}', {c}, {r}::DOUBLE)" for i, c, r in
-        zip([*ITEMS, "none"], [*CODES, 666], [*RATIOS, 0.0]))}) e(item, code, ratio)
+        zip([*ITEMS, "none"], [*CODES, 97], [*RATIOS, 0.0]))}) e(item, code, ratio)
   LEFT JOIN best b ON b.item = e.item GROUP BY e.item, e.code, e.ratio""",
        ["fx_score", "fx_rule"])
 def top_item_traffic(t):
     users = t.fx_score.join(t.fx_rule, "uid").where(
         ~E.rule_none(RULES).eqNullSafe(F.lit(0)))
     item, _ = ranking.top_item(SCORES, ITEMS, CODES, threshold=0.25, flag=F.col("uid") % 2,
-                               fallback=("none", 666))
+                               fallback=("none", 97))
     return profile.traffic_report(users.select("uid", item.alias("item")), "item",
-                                  [*ITEMS, "none"], [*CODES, 666], [*RATIOS, 0.0])
+                                  [*ITEMS, "none"], [*CODES, 97], [*RATIOS, 0.0])
 
 
 @query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (
@@ -72,8 +72,8 @@ def rank_items(t):
         F.array_join(F.transform("r", lambda x: F.format_string("%.6f", x["score"])), "-").alias("scores"))
 
 
-SKUS = {"aaa": ["a1", "a2"], "bbb": ["b1", "b2", "b3", "b4"], "ccc": ["c1"], "ddd": ["d1"],
-        "eee": ["e1", "e2", "e3"]}
+SKUS = {"cashback": ["a1", "a2"], "voucher": ["b1", "b2", "b3", "b4"], "points": ["c1"], "trial": ["d1"],
+        "upgrade": ["e1", "e2", "e3"]}
 SKU_CASE = "CASE item " + " ".join(
     f"WHEN '{i}' THEN list_extract([{', '.join(repr(s) for s in skus)}], 1 + "
     + hash_sql(f"uid || '|{i}|7'") + f" % {len(skus)})" for i, skus in SKUS.items()) + " END"
@@ -99,7 +99,7 @@ def top_item(t):
 @query(f"""SELECT uid, string_agg(item, '-' ORDER BY (item <> ITEM_OF), r) AS item_order,
   string_agg(printf('%.10f', score), '-' ORDER BY (item <> ITEM_OF), r) AS score_order
   FROM ({RANKED}) GROUP BY uid""".replace(
-    "ITEM_OF", "list_extract(['aaa', 'bbb', 'ccc', 'ddd', 'eee'], CAST(uid % 5 AS INT) + 1)"),
+    "ITEM_OF", f"list_extract({ITEMS}, CAST(uid % 5 AS INT) + 1)"),
        ["fx_score"])
 def promote_assigned(t):
     names = ranking.item_names(ITEMS)

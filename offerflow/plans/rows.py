@@ -166,11 +166,11 @@ def cosine_sigmoid(t):
         "uid", "item_id", F.round(E.cosine_sigmoid("embedding", "v"), 6).alias("score"))
 
 
-@query(f"""SELECT c_custkey AS uid, CAST({bucket_sql("CAST(c_custkey AS VARCHAR) || '202306'", 100)}
+@query(f"""SELECT c_custkey AS uid, CAST({bucket_sql("CAST(c_custkey AS VARCHAR) || 'spring'", 100)}
   AS BIGINT) AS bucket FROM customer""")
 def salted_bucket(t):
     return t.customer.select(F.col("c_custkey").alias("uid"),
-                             E.salted_bucket("c_custkey", "202306", 100).alias("bucket"))
+                             E.salted_bucket("c_custkey", "spring", 100).alias("bucket"))
 
 
 @query("""SELECT event_id, item FROM fx_positive WHERE item IN ('click', 'purchase')""",

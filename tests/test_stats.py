@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from offerflow.functions.pvalue import f_tail
 from offerflow.operators import evaluate, profile, stats
+from tails import f_tail
 
 
 def frame(spark, n=150, seed=2):
