@@ -373,7 +373,9 @@ class Market:
                 cur, value = more, now
             if best is None or (excess, -value) < (best[0], -best[1]):
                 best = excess, value, cur
-            exact = not self.state.filter(~F.col("cold") & (F.col("slackness") > 0)).head(1)
+            # how far the prices can still lower the bound; what else is open lies in rows that cannot be split
+            left = self.state.agg(F.sum(F.when(~F.col("cold"), F.col("slackness") * F.abs("bound")).otherwise(0.0))).first()[0]
+            exact = left == 0 or (not self.unit and left <= 0.1 * (bound - best[1]))
             if (best[0] == 0 and bound - best[1] <= target * scale) or exact or aim <= 1e-9:
                 frame = best[2].select(self.key, "bucket", F.col("choice").alias("item_idx"))
                 return Allocation(frame, best[1], bound, best[0])
