@@ -33,7 +33,9 @@ KINDS = ("assign", "access", "hex", "link_id", "link_secret", "link_endpoint")
 _LINK_ID = re.compile(
     r"(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?[ ]*[:=][ ]*[\"']?"
     r"([A-Za-z0-9@+/_.-]{3,})", re.I | re.A)
-_LINK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[^A-Z]*[A-Z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
+# a whole token of 24 characters or more with a digit and a capital, both inside the token
+_LINK_SECRET = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 _LINK_ENDPOINT = re.compile(
     r"(?:(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}"
     r"|(?:host|endpoint|server|url)[\"']?[ ]*[:=][ ]*[\"']?[A-Za-z0-9.:/_-]{4,})", re.I | re.A)
