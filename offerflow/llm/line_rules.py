@@ -1,8 +1,8 @@
 """Quality rules: base rules on a document's own words, and line frequency across documents.
 
 Lines are normalised and hashed with their host; a line found in more documents of the host
-than the limit is taken out of all of them but the first. A document that loses most of its
-words that way is rejected. SQL functions only.
+than the limit is taken out of all of them. A document that loses most of its words that way is
+rejected. SQL functions only.
 """
 
 from __future__ import annotations
@@ -80,22 +80,24 @@ def quality_report(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float =
     n_repeat_words, base_failed, words_removed, lines_removed (places among the lines with a
     word), depleted, kept.
 
-    Distinct documents are counted per host and line; a line above ``max_docs`` goes from every
-    document but the one with the smallest doc_id that has it (where none has a doc_id, it
-    stays), whatever other documents the host has. Null text has no words and fails the base rules; a
-    null host is a host of its own; repeated rows count as documents of their own; an empty
-    table gives no rows. The narrow features are staged once; a hot host or line spreads, for
-    lines are counted by a hash of host and line with partial sums, and the join back to the
-    lines can be split by adaptive execution."""
+    Distinct documents are counted per host and line, rows of one doc_id as one document and rows
+    without doc_id by their content; a line above ``max_docs`` goes from every document, whatever
+    other documents the host has. Null text has no words and fails the base rules; a null host is a
+    host of its own; an empty table gives no rows. The narrow features are staged once; a hot host or line
+    spreads, for lines are counted by a hash of host and line with partial sums, only lines in
+    more rows than ``max_docs`` have their documents told apart (spread by document), and the
+    join back to the lines can be split by adaptive execution."""
     features = stage(document_features(docs, doc_id, text, host), "line-features")
-    frequent = (
-        features.select("doc_id", F.explode(F.array_distinct("_hashes.h")).alias("h"))
-        .groupBy("h").agg(F.count(F.lit(1)).alias("_in_docs"), F.min("doc_id").alias("_first"))
-        .filter(F.col("_in_docs") > max_docs).select("h", "_first"))
-    lines = features.select("_row", "doc_id", F.posexplode("_hashes").alias("pos", "_l")).select(
-        "_row", "doc_id", "pos", F.col("_l.h").alias("h"), F.col("_l.w").alias("w"))
-    removed = (lines.join(frequent, "h").filter("NOT (doc_id <=> _first)").groupBy("_row")
-               .agg(F.sum("w").alias("_removed"), F.collect_list("pos").alias("_places")))
+    lines = features.select("_row", "doc_id", KEY[1], F.posexplode("_hashes").alias("pos", "_l")).select(
+        "_row", "doc_id", F.when(F.col("doc_id").isNull(), F.col(KEY[1])).alias("_content"), "pos",
+        F.col("_l.h").alias("h"), F.col("_l.w").alias("w"))
+    in_rows = features.select(F.explode(F.array_distinct("_hashes.h")).alias("h")).groupBy("h").agg(
+        F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > max_docs).select("h")
+    often = lines.join(in_rows, "h")
+    frequent = (often.select("h", "doc_id", "_content").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("_in_docs"))
+                .filter(F.col("_in_docs") > max_docs).select("h"))
+    removed = often.join(frequent, "h").groupBy("_row").agg(
+        F.sum("w").alias("_removed"), F.collect_list("pos").alias("_places"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = features.drop("_hashes", "_host").join(removed, "_row", "left").select(
         *KEY, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

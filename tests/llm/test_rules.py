@@ -47,13 +47,53 @@ def test_line_frequency(spark):
     rows += [(100 + i, common, "h") for i in range(5)] + [(200, common, "other"), (201, common, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in line_rules.quality_report(docs, max_docs=20).collect()}
-    assert got[0]["words_removed"] == 0  # the first keeps the line
-    assert all(got[i]["words_removed"] == 55 and got[i]["kept"] for i in range(1, 30))
+    assert all(got[i]["words_removed"] == 55 and got[i]["kept"] for i in range(30))
     assert all(got[100 + i]["depleted"] and not got[100 + i]["kept"] for i in range(5))
     assert got[200]["kept"] and got[201]["kept"]
     out = {r["doc_id"]: r["text"] for r in line_rules.apply_quality_rules(docs, max_docs=20).collect()}
     assert sorted(out) == [*range(30), 200, 201]
-    assert out[5] == filler[5] and out[0].startswith(filler[0]) and out[0] != filler[0]
+    assert out[5] == filler[5] and out[0] == filler[0]
+
+
+def test_distinct_documents_are_counted(spark):
+    """Rows of one doc_id are one document; rows without doc_id count by content."""
+    text = "a line of " + " ".join(f"w{k}" for k in range(60))
+    twice = [(i % 12, text, "h") for i in range(24)]
+    lost = [(None, f"{text}\nno {i}", "g") for i in range(21)] + [(None, f"{text}\nno 0", "g")] * 5
+    few = [(None, f"{text}\nno {i % 20}", "f") for i in range(40)]
+    docs = spark.createDataFrame(twice + lost + few, "doc_id long, text string, source string")
+    got = line_rules.quality_report(docs, max_docs=20)
+    per = got.groupBy("n_words", "doc_id").agg({"words_removed": "sum", "*": "count"}).collect()
+    assert {r["sum(words_removed)"] for r in per if r["doc_id"] is not None} == {0}
+    assert sorted(r["words_removed"] for r in got.filter("doc_id IS NULL").collect()) == [0] * 40 + [63] * 26
+
+
+def lines_by_force(rows, max_docs, min_left):
+    """(doc_id, words_removed, kept) per row, from the rule's own words."""
+    docs = defaultdict(set)
+
+    def normal(line):
+        return re.sub(r"[\x20\x09-\x0D]+", " ", line).lower().strip(" ")
+
+    for r in rows:
+        for line in (r["text"] or "").split("\n"):
+            if WORD.search(line):
+                docs[r["source"], normal(line)].add(r["doc_id"] if r["doc_id"] is not None else ("row", str(r)))
+    for r in rows:
+        lines = [l for l in (r["text"] or "").split("\n") if WORD.search(l)]
+        gone = sum(len(WORD.findall(l)) for l in lines if len(docs[r["source"], normal(l)]) > max_docs)
+        n, _, _, _, repeated = base_rules(r["text"])
+        failed = n < 50 or 2 * repeated > n
+        yield r["doc_id"], gone, not failed and not (n - gone) < min_left * n
+
+
+@pytest.mark.parametrize("which", ["odd_docs", "small"])
+@pytest.mark.parametrize("max_docs", [1, 3, 20])
+def test_line_rules_by_force(request, which, max_docs):
+    docs = request.getfixturevalue(which)
+    want = Counter(lines_by_force(docs.collect(), max_docs, line_rules.MIN_LEFT))
+    got = line_rules.quality_report(docs, max_docs=max_docs).collect()
+    assert Counter((r["doc_id"], r["words_removed"], r["kept"]) for r in got) == want
 
 
 def test_line_limit_is_the_same_in_a_large_host(spark):
@@ -64,7 +104,7 @@ def test_line_limit_is_the_same_in_a_large_host(spark):
     clean = spark.range(100, 4100).selectExpr("id AS doc_id", f"concat('{filler} clean ', id) AS text", "'h' AS source")
     want = {r["doc_id"]: r["words_removed"] for r in line_rules.quality_report(few).collect()}
     got = {r["doc_id"]: r["words_removed"] for r in line_rules.quality_report(few.union(clean)).collect()}
-    assert want == {i: 4 if i else 0 for i in range(30)}
+    assert want == {i: 4 for i in range(30)}
     assert {i: got[i] for i in want} == want and not any(n for i, n in got.items() if i >= 100)
 
 
