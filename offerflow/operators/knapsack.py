@@ -10,16 +10,22 @@ classes; only steps exactly at the price are put in order.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from offerflow.operators.ordered import running
 from offerflow.session import stage
 
-CLASS_CHUNK = 256
+#: Choices of one group, at most; slopes that a larger class is split at.
+CLASS_CHUNK = 50_000
+SPLITS = 32
 BUCKETS = 1024
 COLS = ["class_id", "choice", "value", "weight"]
 
@@ -32,65 +38,144 @@ def undominated(df: DataFrame) -> DataFrame:
                         | (F.col("value") > F.col("prev_max_value"))).select(*COLS)
 
 
-def _hull(points: Column) -> Column:
-    """Upper concave hull of points sorted by weight up, value down.
-
-    A new point goes after the hull vertex from which it is seen at the smallest slope;
-    the vertices behind that one lie under the new edge."""
-    empty = F.array().cast("array<struct<weight:double,value:double,choice:int>>")
-
-    def add(hull, p):
-        last = F.element_at(hull, -1)
-        slopes = F.transform(hull, lambda h: (p["value"] - h["value"]) / (p["weight"] - h["weight"]))
-        keep = F.array_position(slopes, F.array_min(slopes)).cast("int")
-        return (F.when(F.size(hull) == 0, F.array(p))
-                .when(p["value"] <= last["value"], hull)
-                .otherwise(F.concat(F.slice(hull, F.lit(1), keep), F.array(p))))
-
-    return F.aggregate(points, empty, add)
-
-
-def hulls(df: DataFrame, chunk: int = CLASS_CHUNK) -> DataFrame:
-    """(class_id, hull): the frontier of every class as a short array, lightest first.
-
-    Classes are folded inside one row. A class with more choices than ``chunk`` is folded in
-    chunks of neighbouring weights first, and only what survives is folded again."""
-    rows = df.select("class_id", F.col("choice").cast("int").alias("choice"),
-                     F.col("value").cast("double").alias("value"),
-                     F.col("weight").cast("double").alias("weight"))
-    point = F.struct("weight", (-F.col("value")).alias("neg"), "choice")
+POINT = ["class_id", "part", "weight", "value", "choice"]
+
+
+def push(hull: list[tuple], point: tuple) -> None:
+    """Adds a point (weight, value, choice) to the upper concave hull of lighter ones, or of one as heavy
+    and worth as much; vertices that fall under the new edge go."""
+    w, v, _ = point
+    if hull and v <= hull[-1][1]:
+        return
+    while len(hull) > 1:
+        (wa, va, _), (wb, vb, _) = hull[-2], hull[-1]
+        if (vb - va) * (w - wb) > (v - vb) * (wb - wa):
+            break
+        hull.pop()
+    hull.append(point)
+
+
+def _hulls_of(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The hull of every group's points, each with the slope of the edge that leaves it.
+
+    Groups lie sorted in their partitions; the points of one pass by its stack of vertices, whatever
+    batch they are in, so small groups cost little and no group is held but for its hull."""
+    shape = StructType([rows.schema[c] for c in POINT]).add("slope", "double")
+    arrow = to_arrow_schema(shape)
+    by = list(by)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, owner, hull, out = None, None, [], []
+
+        def close() -> None:
+            for k, (w, v, c) in enumerate(hull):
+                slope = (hull[k + 1][1] - v) / (hull[k + 1][0] - w) if k + 1 < len(hull) else None
+                out.append((*owner, w, v, c, slope))
+
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in [*by, *POINT]]
+            for row in zip(*columns):
+                group, point = row[:len(by)], row[len(by):]
+                if group != now:
+                    close()
+                    now, owner, hull = group, point[:2], []
+                if not hull or point[2] > hull[-1][0]:  # one point per weight: the first is worth most
+                    push(hull, point[2:])
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                out = []
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    placed = rows.repartition(*by).sortWithinPartitions(*by, "weight", F.col("value").desc(), "choice")
+    return placed.mapInArrow(walk, shape)
+
+
+def frontier_table(df: DataFrame, chunk: int = CLASS_CHUNK) -> DataFrame:
+    """The frontiers as a written table of rows: class_id, step, choice, value, weight, and dw, dv, eff of the move
+    that leads to each (null for step 0).
+
+    Classes of up to ``chunk`` choices are folded in one pass each. A larger one is folded in chunks of
+    neighbouring weights, and if more than ``chunk`` choices are left it is split: for some slopes the best
+    choice is a vertex of the whole hull for certain; between two such vertices, what lies under their
+    edge is dropped, and the rest is a smaller class of its own. So a class of any size spreads over many
+    groups of bounded size, also if all of it is frontier."""
+    points = df.select("class_id", F.lit(0).cast("long").alias("part"), F.col("weight").cast("double").alias("weight"),
+                       F.col("value").cast("double").alias("value"), F.col("choice").cast("int").alias("choice"))
+    done: list[DataFrame] = []
+    left = stage(points, "points")
     while True:
-        biggest = rows.groupBy("class_id").count().agg(F.max("count")).first()[0] or 0
-        if biggest <= chunk:
-            grouped = rows.groupBy("class_id")
-        else:
-            ranked = running(rows, ["weight", "-value", "choice"], ["class_id"])
-            grouped = ranked.withColumn("_part", F.floor((F.col("rn") - 1) / chunk)).groupBy(
-                "class_id", "_part")
-        points = F.transform(F.array_sort("_p"), lambda p: F.struct(
-            p["weight"].alias("weight"), (-p["neg"]).alias("value"), p["choice"].alias("choice")))
-        folded = grouped.agg(F.collect_list(point).alias("_p")).select("class_id", _hull(points).alias("hull"))
-        if biggest <= chunk:
-            return folded
-        rows = stage(folded.select("class_id", F.inline("hull")), "hull").select(
-            "class_id", "choice", "value", "weight")
-        chunk *= 4
+        sizes = stage(left.groupBy("class_id", "part").agg(F.count(F.lit(1)).alias("_n")), "class-sizes")
+        large = sizes.agg(F.max("_n")).first()[0] or 0
+        if large <= chunk:
+            done.append(_hulls_of(left, ["class_id", "part"]))
+            break
+        on = [F.col("class_id").eqNullSafe(F.col("_c")), F.col("part") == F.col("_p")]
+        few = sizes.where(F.col("_n") <= chunk).select(F.col("class_id").alias("_c"), F.col("part").alias("_p"))
+        done.append(_hulls_of(left.join(few, on, "left_semi"), ["class_id", "part"]))
+        ranked = running(left.join(few, on, "left_anti"), ["weight", "-value", "choice"], ["class_id", "part"])
+        pieces = ranked.withColumn("_chunk", F.floor((F.col("rn") - 1) / chunk)).select(*POINT, "_chunk")
+        folded = stage(_hulls_of(pieces, ["class_id", "part", "_chunk"]), "hulls")
+        sure, left = _split(folded, chunk)
+        done.append(sure)
+    rows = reduce(DataFrame.union, [d.select("class_id", "weight", "value", "choice") for d in done])
+    if len(done) > 1:  # vertices that two parts share
+        rows = rows.groupBy("class_id", "weight").agg(F.max("value").alias("value"), F.min("choice").alias("choice"))
+    rows = rows.select("class_id", "weight", "value", "choice")
+    if len(done) == 1:
+        order = Window.partitionBy("class_id").orderBy("weight")  # at most ``chunk`` rows
+        numbered = rows.withColumn("rn", F.row_number().over(order)).withColumns({
+            "_w": F.lag("weight").over(order), "_v": F.lag("value").over(order)})
+        return stage(_moves(numbered), "frontier")
+    before = running(rows, ["weight"], ["class_id"], maxes=["weight", "value"])
+    return stage(_moves(before.withColumnsRenamed({"prev_max_weight": "_w", "prev_max_value": "_v"})), "frontier")
+
+
+def _moves(numbered: DataFrame) -> DataFrame:
+    dw, dv = F.col("weight") - F.col("_w"), F.col("value") - F.col("_v")
+    return numbered.select("class_id", (F.col("rn") - 1).cast("int").alias("step"), "choice", "value", "weight",
+                           dw.alias("dw"), dv.alias("dv"), (dv / dw).alias("eff"))
+
+
+def _split(folded: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(vertices that are certain, points that remain, in smaller parts) of classes in chunk hulls.
+
+    Parts that their chunk hulls have brought down to ``chunk`` points stay whole. The others get their
+    corners: both ends, and the best point at each of some slopes of their edges, among them that from end to end."""
+    on = ["class_id", "part"]
+    point = F.struct("weight", "value", "choice")
+    ends = folded.groupBy(*on).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("slope", [i / SPLITS for i in range(1, SPLITS)]).alias("_s"),
+        F.min_by(point, F.struct("weight", -F.col("value"), "choice")).alias("_a"),
+        F.min_by(point, F.struct(-F.col("value"), "weight", "choice")).alias("_b"))
+    across = F.try_divide(F.col("_b.value") - F.col("_a.value"), F.col("_b.weight") - F.col("_a.weight"))
+    slopes = F.array_distinct(F.filter(F.concat("_s", F.array(across)), lambda x: x.isNotNull()))
+    plan = stage(ends.select(F.col("class_id").alias("_c"), F.col("part").alias("_p"), "_n", slopes.alias("_slopes"), "_a", "_b"), "hull-ends")
+    mine = [F.col("class_id").eqNullSafe(F.col("_c")), F.col("part") == F.col("_p")]
+    rows = folded.join(plan, mine)
+    whole = rows.where(F.col("_n") <= chunk).select(*POINT)
+    large = rows.where(F.col("_n") > chunk)
+    best = large.select(*on, point.alias("v"), F.explode("_slopes").alias("s")).groupBy(*on, "s").agg(
+        F.max_by("v", F.struct(F.col("v.value") - F.col("s") * F.col("v.weight"), -F.col("v.weight"))).alias("v"))
+    found = best.groupBy(*on).agg(F.collect_set("v").alias("_v")).join(plan, mine)
+    corners = stage(found.select("_c", "_p", F.array_sort(F.array_distinct(F.concat("_v", F.array("_a", "_b")))).alias("_v")), "corners")
+    cut = folded.join(corners, mine).withColumn("_i", F.size(F.filter("_v", lambda v: v["weight"] < F.col("weight")))).withColumns({
+        "_l": F.get("_v", F.col("_i") - 1), "_r": F.get("_v", F.col("_i"))})
+    # strictly between two corners and above the edge between them
+    over = ((F.col("value") - F.col("_l.value")) * (F.col("_r.weight") - F.col("_l.weight"))
+            > (F.col("_r.value") - F.col("_l.value")) * (F.col("weight") - F.col("_l.weight")))
+    inside = stage(cut.where((F.col("weight") < F.col("_r.weight")) & over).select(
+        "class_id", (F.col("part") * (SPLITS + 2) + F.col("_i")).alias("part"), "weight", "value", "choice", "_l", "_r"), "inside")
+    edges = inside.groupBy(*on).agg(F.first("_l").alias("_l"), F.first("_r").alias("_r")).select(
+        *on, F.inline(F.array("_l", "_r")))  # a part's two corners are the same for all its points
+    sure = corners.select(F.col("_c").alias("class_id"), F.inline("_v"))
+    return sure, stage(whole.unionByName(inside.select(*POINT)).unionByName(edges.select(*POINT)), "points")
 
 
 def efficient_frontier(df: DataFrame, chunk: int = CLASS_CHUNK) -> DataFrame:
     """Undominated choices that no mix of two others beats, numbered by ``step`` from 0."""
-    return hulls(df, chunk).select("class_id", F.posexplode("hull").alias("step", "h")).select(
-        "class_id", "step", "h.choice", "h.value", "h.weight")
-
-
-def _steps(frontier: DataFrame) -> DataFrame:
-    """The moves along each frontier: extra weight, extra value, value per weight."""
-    moves = F.transform(F.slice("hull", F.lit(2), F.size("hull")), lambda p, i: F.struct(
-        (i + 1).alias("step"),
-        (p["weight"] - F.get(F.col("hull"), i)["weight"]).alias("dw"),
-        (p["value"] - F.get(F.col("hull"), i)["value"]).alias("dv")))
-    out = frontier.select("class_id", F.inline(moves))
-    return out.withColumn("eff", F.col("dv") / F.col("dw"))
+    return frontier_table(df, chunk).select("class_id", "step", "choice", "value", "weight")
 
 
 @dataclass(frozen=True)
@@ -105,11 +190,11 @@ class Price:
 
 def find_price(frontier: DataFrame, budget: float) -> Price:
     """The efficiency at which the moves stop fitting, exactly, by narrowing a histogram."""
-    base = frontier.agg(F.sum(F.get("hull", F.lit(0))["weight"])).first()[0] or 0.0
+    base = frontier.where("step = 0").agg(F.sum("weight")).first()[0] or 0.0
     slack = 1e-9 * max(1.0, abs(budget))
     if base > budget + slack:
         raise ValueError(f"budget {budget} is below the lightest allocation {base}")
-    steps = _steps(frontier)
+    steps = frontier.where("step > 0")
     low, high, total = steps.agg(F.min("eff"), F.max("eff"), F.sum("dw")).first()
     used = base
     if low is None or used + total <= budget + slack:
@@ -131,73 +216,63 @@ def find_price(frontier: DataFrame, budget: float) -> Price:
     return Price(low, used, True)
 
 
-def _taken(alpha: float) -> Column:
-    """Number of moves of the class that beat the price."""
-    slopes = F.transform(F.slice("hull", F.lit(2), F.size("hull")), lambda p, i: (
-        (p["value"] - F.get(F.col("hull"), i)["value"])
-        / (p["weight"] - F.get(F.col("hull"), i)["weight"])))
-    return F.size(F.filter(slopes, lambda s: s > alpha))
+def _last(rows: DataFrame) -> DataFrame:
+    """Per class the row of the highest step."""
+    return rows.groupBy("class_id").agg(F.max_by(F.struct("choice", "value", "weight"), "step").alias("_l")).select("class_id", "_l.*")
 
 
-def _pick(step: Column) -> list[Column]:
-    h = F.get("hull", step)
-    return [h["choice"].alias("choice"), h["value"].alias("value"), h["weight"].alias("weight")]
+def _better(frontier: DataFrame, alpha: float) -> DataFrame:
+    """The lightest choices and all moves that beat the price."""
+    return frontier.where((F.col("step") == 0) | (F.col("eff") > alpha))
 
 
 def knapsack_price(df: DataFrame, budget: float) -> tuple[Price, DataFrame, float]:
     """(price, allocation, upper bound). Every class takes the choice that is best at the
     price, the lighter one on ties, so the allocation stays within the budget."""
-    frontier = stage(hulls(df), "frontier")
+    frontier = frontier_table(df)
     price = find_price(frontier, budget)
-    alpha = price.alpha if price.exhausted else -math.inf
-    chosen = frontier.select("class_id", *_pick(_taken(alpha)))
+    chosen = _last(_better(frontier, price.alpha if price.exhausted else -math.inf))
     gain = chosen.agg(F.sum(F.col("value") - price.alpha * F.col("weight"))).first()[0] or 0.0
     return price, chosen, price.alpha * budget + gain
 
 
 def _filled(df: DataFrame, budget: float) -> tuple[DataFrame, DataFrame | None, float]:
-    """Frontier with the moves above the price (``k``), and the moves exactly at the price
-    with their running weight against what is left."""
-    frontier = stage(hulls(df), "frontier")
+    """The frontier's rows above the price, and the moves exactly at the price with their running
+    weight against what is left."""
+    frontier = frontier_table(df)
     price = find_price(frontier, budget)
-    alpha = price.alpha if price.exhausted else -math.inf
-    base = frontier.withColumn("k", _taken(alpha))
     if not price.exhausted:
-        return base, None, 0.0
-    ties = _steps(frontier).where(F.col("eff") == price.alpha)
-    return base, running(ties, ["class_id", "step"], sums=["dw"]), budget - price.used
+        return frontier, None, 0.0
+    ties = running(frontier.where(F.col("eff") == price.alpha), ["class_id", "step"], sums=["dw"])
+    return _better(frontier, price.alpha), ties, budget - price.used
 
 
 def knapsack_integer(df: DataFrame, budget: float) -> DataFrame:
     """Moves in order of efficiency (ties by class and step) until the first that does not
     fit; one whole choice per class."""
-    base, ties, left = _filled(df, budget)
-    slack = 1e-9 * max(1.0, abs(budget))
+    rows, ties, left = _filled(df, budget)
     if ties is not None:
-        more = (ties.where(F.col("cum_dw") <= left + slack)
-                .groupBy("class_id").agg(F.count(F.lit(1)).cast("int").alias("_more")))
-        base = base.join(more, "class_id", "left").withColumn("k", F.col("k") + F.coalesce("_more", F.lit(0)))
-    return base.select("class_id", *_pick(F.col("k")))
+        slack = 1e-9 * max(1.0, abs(budget))
+        rows = rows.unionByName(ties.where(F.col("cum_dw") <= left + slack).select(*rows.columns))
+    return _last(rows)
 
 
 def knapsack_greedy(df: DataFrame, budget: float) -> DataFrame:
     """The same with the first move that does not fit taken in part: that class appears
     twice, and ``proportion`` tells how much of each choice it takes."""
-    base, ties, left = _filled(df, budget)
+    rows, ties, left = _filled(df, budget)
+    if ties is None:
+        return _last(rows).withColumn("proportion", F.lit(1.0))
     slack = 1e-9 * max(1.0, abs(budget))
-    base = base.withColumn("f", F.lit(0.0))
-    if ties is not None:
-        fits = F.col("cum_dw") <= left + slack
-        part = ~fits & (F.col("cum_dw") - F.col("dw") < left - slack)
-        more = ties.groupBy("class_id").agg(
-            F.sum(F.when(fits, 1).otherwise(0)).cast("int").alias("_more"),
-            F.max(F.when(part, (F.lit(left) - (F.col("cum_dw") - F.col("dw"))) / F.col("dw"))).alias("_f"))
-        base = base.join(more, "class_id", "left").withColumns({
-            "k": F.col("k") + F.coalesce("_more", F.lit(0)), "f": F.coalesce("_f", F.lit(0.0))})
-    kept = F.struct(*_pick(F.col("k")), (F.lit(1.0) - F.col("f")).alias("proportion"))
-    upper = F.struct(*_pick(F.col("k") + 1), F.col("f").alias("proportion"))
-    rows = F.when(F.col("f") > 0, F.array(kept, upper)).otherwise(F.array(kept))
-    return base.select("class_id", F.inline(rows))
+    fits = F.col("cum_dw") <= left + slack
+    kept = _last(rows.unionByName(ties.where(fits).select(*rows.columns)))
+    start = F.col("cum_dw") - F.col("dw")
+    # one move at most begins within what is left and ends beyond it
+    part = ties.where(~fits & (start < left - slack)).select(
+        "class_id", "choice", "value", "weight", ((F.lit(left) - start) / F.col("dw")).alias("proportion"))
+    one = part.select(F.col("class_id").alias("_c"), F.col("proportion").alias("_f"))
+    kept = kept.join(F.broadcast(one), F.col("class_id").eqNullSafe(F.col("_c")), "left")
+    return kept.select("class_id", "choice", "value", "weight", (F.lit(1.0) - F.coalesce("_f", F.lit(0.0))).alias("proportion")).unionByName(part)
 
 
 def coupon_groups(users: DataFrame, keys: Sequence[str], scores: Mapping[float, str]) -> DataFrame:

@@ -5,9 +5,11 @@ of squares."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +44,13 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson",
         return _pairs_frame(df.agg(*aggs), [(a, b, F.col(names[a, b])) for a, b in pairs])
     if method == "pearson":
         return weighted_pearson(df, pairs, weight)
-    if method == "spearman":
-        holes = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).first()
-        if not any(holes):
-            return _rank_correlations(df, cols, pairs, weight)
-    one = {"spearman": weighted_spearman if weight else spearman, "kendall": kendall}.get(method)
+    one = {"spearman": spearman, "kendall": kendall}.get(method)
     if one is None:
         raise ValueError(f"unknown method {method!r}")
-    out = None
-    for a, b in pairs:
-        args = (df, a, b, weight) if method == "kendall" or weight else (df, a, b)
-        row = one(*args).select(F.lit(a).alias("x"), F.lit(b).alias("y"), "corr")
-        out = row if out is None else out.unionByName(row)
-    return out.withColumn("corr", F.coalesce(F.nanvl("corr", F.lit(None)), F.lit(0.0)))
+    order = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "_pair int, x string, y string")
+    out = one(df, pairs, weight).withColumnRenamed("pair", "_pair")
+    return order.join(F.broadcast(out), "_pair", "left").select(
+        "x", "y", F.coalesce(F.nanvl("corr", F.lit(None)), F.lit(0.0)).alias("corr"))
 
 
 def weighted_pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], weight: str) -> DataFrame:
@@ -75,101 +71,109 @@ def weighted_pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], weight: st
     return _pairs_frame(df.agg(*aggs), rows)
 
 
-def _cells(df: DataFrame, a: str, b: str, weight: str | None = None) -> DataFrame:
-    """Distinct (x, y) points with their rows ``n``, weight ``w`` and squared weights."""
+def _rank_features(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> tuple[list[tuple[str, str | None]], list[tuple[int, int]]]:
+    """(features, per pair the two it takes). A feature is a column, or a column among the rows that hold another one:
+    a partner with nulls needs ranks of its own."""
+    cols = sorted({c for p in pairs for c in p})
+    holes = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    features: dict[tuple[str, str | None], int] = {}
+
+    def place(c: str, partner: str) -> int:
+        return features.setdefault((c, partner if holes[partner] else None), len(features))
+
+    taken = [(place(a, b), place(b, a)) for a, b in pairs]
+    return list(features), taken
+
+
+def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], weight: str | None = None) -> DataFrame:
+    """(pair, corr) by number of the pair, over the rows that hold both columns: the Pearson correlation of the average
+    ranks or, with a weight, 1 - 6 sum(w d^2) / (N (N^2 - 1)) with N = sum(w) and unweighted average
+    ranks (not a true weighted rank correlation; kept because results are compared with it).
+
+    One plan for any number of columns, with or without nulls: all features are unpivoted once and ranked by
+    one ordered pass, their ranks come back to the rows, and the sums of all pairs are matrix
+    products of Arrow batches."""
+    features, taken = _rank_features(df, pairs)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    return (df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-            .groupBy(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * w).alias("ww")))
-
-
-def _ranked_cells(cells: DataFrame) -> DataFrame:
-    out = cells
-    for c in ("x", "y"):
-        counts = cells.groupBy(c).agg(F.sum("n").alias("n"))
-        ranks = average_ranks(counts, c).select(c, F.col("avg_rank").alias(f"r{c}"))
-        out = out.join(ranks, c)
-    return out
-
-
-def _rank_correlations(df: DataFrame, cols: Sequence[str], pairs, weight: str | None) -> DataFrame:
-    """Spearman of complete columns: every column is ranked once, whatever the number of
-    pairs, and all pairs come out of one aggregate."""
-    data = stage(df.select(*[F.col(c).cast("double").alias(c) for c in cols],
-                           *([F.col(weight).cast("double").alias("_w")] if weight else [])), "ranks")
-    ranked = data
-    for c in cols:
-        counts = data.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        ranks = average_ranks(counts, c).select(c, F.col("avg_rank").alias(f"_r_{c}"))
-        ranked = ranked.join(ranks, c)
+    cols = sorted({c for p in pairs for c in p})
+    data = stage(df.select(F.monotonically_increasing_id().alias("_id"), w.alias("_w"),
+                           *[F.col(c).cast("double").alias(c) for c in cols]), "ranks")
+    values = F.array(*[F.struct(F.lit(i).alias("f"), (F.col(c) if other is None else F.when(F.col(other).isNotNull(), F.col(c))).alias("v"))
+                       for i, (c, other) in enumerate(features)])
+    long = data.select("_id", "_w", F.inline(values)).where(F.col("v").isNotNull())
+    counts = long.groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranks = average_ranks(counts, "v", by=["f"]).select("f", "v", "avg_rank")
+    every = len(features)
+    wide = long.join(ranks, ["f", "v"]).groupBy("_id").agg(
+        F.first("_w").alias("_w"), *[F.max(F.when(F.col("f") == i, F.col("avg_rank"))).alias(f"r{i}") for i in range(every)])
+    middle = (data.count() + 1) / 2.0
+    names = ["pair", "n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, every, every))
+        for batch in batches:
+            w = batch.column(0).to_numpy(zero_copy_only=False)
+            r = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(every)], axis=1) - middle
+            there = ~np.isnan(r)
+            r, there = np.where(there, r, 0.0), there.astype(float)
+            mine = there * w[:, None]
+            weighted = r * w[:, None]
+            sums += np.stack([mine.T @ there, weighted.T @ there, (weighted * r).T @ there, weighted.T @ r])
+        x, y = np.array([t[0] for t in taken]), np.array([t[1] for t in taken])
+        out = [np.arange(len(taken)), sums[0][x, y], sums[1][x, y], sums[1][y, x], sums[2][x, y], sums[2][y, x], sums[3][x, y]]
+        yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], names=names)
+
+    parts = wide.select("_w", *[f"r{i}" for i in range(every)]).mapInArrow(
+        gram, "pair long, " + ", ".join(f"{c} double" for c in names[1:]))
+    total = parts.groupBy("pair").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    n = F.col("n")
     if weight:
-        total = F.sum("_w")
-        gap = lambda a, b: F.col(f"_r_{a}") - F.col(f"_r_{b}")
-        values = {p: F.lit(1.0) - F.try_divide(6 * F.sum(F.col("_w") * gap(*p) * gap(*p)),
-                                               total * (total * total - 1)) for p in pairs}
+        apart = F.col("sxx") - 2 * F.col("sxy") + F.col("syy")
+        corr = F.lit(1.0) - F.try_divide(6 * apart, n * (n * n - 1))
     else:
-        values = {p: pearson(F.col(f"_r_{p[0]}"), F.col(f"_r_{p[1]}")) for p in pairs}
-    names = {p: f"_{i}" for i, p in enumerate(pairs)}
-    return _pairs_frame(ranked.agg(*[v.alias(names[p]) for p, v in values.items()]),
-                        [(a, b, F.col(names[a, b])) for a, b in pairs])
-
-
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson correlation of the average ranks."""
-    ranked = _ranked_cells(stage(_cells(df, a, b), "cells"))
-    total = ranked.agg(F.sum("n")).first()[0] or 0
-    mid = (total + 1) / 2.0
-    dx, dy = F.col("rx") - mid, F.col("ry") - mid
-    n = F.col("n")
-    return ranked.agg(F.try_divide(
-        F.sum(n * dx * dy), F.sqrt(F.sum(n * dx * dx)) * F.sqrt(F.sum(n * dy * dy))).alias("corr"))
+        def spread(square: str, plain: str) -> Column:
+            return F.col(square) - F.try_divide(F.col(plain) * F.col(plain), n)
 
+        over = F.sqrt(spread("sxx", "sx")) * F.sqrt(spread("syy", "sy"))
+        corr = F.try_divide(F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n), over)
+    return total.select(F.col("pair").cast("int").alias("pair"), corr.alias("corr"))
 
-def weighted_spearman(df: DataFrame, a: str, b: str, weight: str) -> DataFrame:
-    """1 - 6 sum(w d^2) / (N (N^2 - 1)) with N = sum(w) and unweighted average ranks.
 
-    Not a true weighted rank correlation; kept because results are compared with it."""
-    ranked = _ranked_cells(stage(_cells(df, a, b, weight), "cells"))
-    d = F.col("rx") - F.col("ry")
-    n = F.sum("w")
-    return ranked.agg((F.lit(1.0) - F.try_divide(
-        6 * F.sum(F.col("w") * d * d), n * (n * n - 1))).alias("corr"))
-
-
-def kendall(df: DataFrame, a: str, b: str, weight: str | None = None) -> DataFrame:
-    """Tau-b over pairs of rows, a pair weighing w_i * w_j, without forming pairs.
+def kendall(df: DataFrame, pairs: Sequence[tuple[str, str]], weight: str | None = None) -> DataFrame:
+    """(pair, corr): tau-b over pairs of rows, a pair of rows weighing w_i * w_j, without forming them.
 
     Tied pairs come from group totals. Concordant pairs are counted bit by bit over the
     dense rank of y: two points with different y first differ at exactly one bit, so at
     each bit level the points that share the higher bits are walked in x order, every
     point with bit 1 adding its weight times the weight of the earlier points with bit 0.
-    That is n log n rows through running sums.
+    That is n log n rows through running sums. All column pairs go through one plan, keyed by their number.
     """
-    cells = stage(_cells(df, a, b, weight), "cells")
-    dense = running(cells.select("y").distinct(), ["y"], rank="ry")
-    points = stage(cells.join(dense, "y").select("x", (F.col("ry") - 1).alias("ry"), "w"), "points")
-    top = points.agg(F.max("ry")).first()[0] or 0
-    bits = max(int(top).bit_length(), 1)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    both = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+                     for i, (a, b) in enumerate(pairs)])
+    long = df.select(w.alias("w"), F.inline(both)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    cells = stage(long.groupBy("pair", "x", "y").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("ww")), "cells")
+    dense = running(cells.select("pair", "y").distinct(), ["y"], ["pair"], rank="ry")
+    points = stage(cells.join(dense, ["pair", "y"]).select("pair", "x", (F.col("ry") - 1).alias("ry"), "w"), "points")
+    bits = max(int(points.agg(F.max("ry")).first()[0] or 0).bit_length(), 1)
     levels = (points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
               .withColumn("prefix", F.expr("shiftright(ry, level + 1)"))
               .withColumn("bit", F.expr("shiftright(ry, level) & 1")))
-    steps = levels.groupBy("level", "prefix", "x").agg(
+    steps = levels.groupBy("pair", "level", "prefix", "x").agg(
         F.sum(F.when(F.col("bit") == 0, F.col("w")).otherwise(0.0)).alias("w0"),
         F.sum(F.when(F.col("bit") == 1, F.col("w")).otherwise(0.0)).alias("w1"))
-    walked = running(steps, ["x"], ["level", "prefix"], sums=["w0"])
-    concordant = walked.agg(F.coalesce(F.sum(F.col("w1") * (F.col("cum_w0") - F.col("w0"))),
-                                       F.lit(0.0)).alias("p"))
-
-    def tied(*keys):
-        sums = cells.groupBy(*keys).agg(F.sum("w").alias("s"), F.sum("ww").alias("q"))
-        return sums.agg((F.sum(F.col("s") * F.col("s") - F.col("q")) / 2).alias("t")).first()[0] or 0.0
-
-    every, tx, ty, both = tied(), tied("x"), tied("y"), tied("x", "y")
-    ordered = every - tx - ty + both  # concordant + discordant
-    left, right = ordered + (tx - both), ordered + (ty - both)
-    scale = (left * right) ** 0.5
-    return concordant.select(((2 * F.col("p") - F.lit(float(ordered))) / F.lit(float(scale))
-                              if scale else F.lit(None).cast("double")).alias("corr"))
+    walked = running(steps, ["x"], ["pair", "level", "prefix"], sums=["w0"])
+    out = walked.groupBy("pair").agg(F.sum(F.col("w1") * (F.col("cum_w0") - F.col("w0"))).alias("p"))
+
+    def tied(name: str, *keys: str) -> DataFrame:
+        sums = cells.groupBy("pair", *keys).agg(F.sum("w").alias("s"), F.sum("ww").alias("q"))
+        return sums.groupBy("pair").agg((F.sum(F.col("s") * F.col("s") - F.col("q")) / 2).alias(name))
+
+    for part in (tied("every"), tied("tx", "x"), tied("ty", "y"), tied("both", "x", "y")):
+        out = out.join(F.broadcast(part), "pair")  # one row per pair of columns
+    ordered = F.col("every") - F.col("tx") - F.col("ty") + F.col("both")  # concordant + discordant
+    scale = F.sqrt((ordered + F.col("tx") - F.col("both")) * (ordered + F.col("ty") - F.col("both")))
+    return out.select("pair", F.try_divide(2 * F.col("p") - ordered, scale).alias("corr"))
 
 
 def _flag(scores: DataFrame, k: int, p_threshold: float) -> DataFrame:

@@ -1,5 +1,7 @@
 """Banding, weight of evidence, correlations and feature tests."""
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from offerflow.operators import binning, stats
@@ -85,7 +87,7 @@ def bin_feature(t):
     return bands
 
 
-QUANT = {"score_01": 10, "score_02": 5, "score_03": 3}
+QUANT = {"score_01": 10, "score_02": 5, "score_03": 3, "score_04": 7, "score_10": 4}
 QUANT_SQL = ", ".join(
     f"(SELECT list(DISTINCT c ORDER BY c) FROM (SELECT unnest(quantile_cont({s}, "
     f"[{', '.join(str(i / n) for i in range(n + 1))}])) AS c FROM fx_score)) AS c_{s}"
@@ -101,7 +103,8 @@ def quantile_cut(t):
 
 
 @query(f"""WITH q AS (SELECT {QUANT_SQL}), b AS (SELECT uid, {QUANT_AT} FROM fx_score, q)
-  SELECT uid, CAST(1000 + score_01_quant * 100 + score_02_quant * 10 + score_03_quant AS BIGINT) AS group_code
+  SELECT uid, CAST(100000 + score_01_quant * 10000 + score_02_quant * 1000 + score_03_quant * 100 + score_04_quant * 10
+    + score_10_quant AS BIGINT) AS group_code
   FROM b""", ["fx_score"])
 def group_code(t):
     return quantile_cut(t).select("uid", binning.group_code(
@@ -150,65 +153,84 @@ def woe_ranges(t):
 
 # --- correlations ------------------------------------------------------------------
 
-PAIRS = [("x1", "x2"), ("x1", "x3"), ("x2", "x3")]
+PAIRS = list(combinations(X, 2))
 
 
-@query("WITH s AS (SELECT x1, x2, CASE WHEN x1 > 5 THEN x3 END AS x3 FROM fx_label) "
-       + " UNION ALL ".join(
-    f"SELECT '{a}' AS x, '{b}' AS y, round(coalesce(corr({a}, {b}), 0), 6) AS corr FROM s" for a, b in PAIRS),
-       ["fx_label"])
+def each_pair(text: str, source: str) -> str:
+    """The expression for every pair of columns, as rows."""
+    return " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round({text.format(a=a, b=b)}, 6) AS corr FROM {source}" for a, b in PAIRS)
+
+
+def holed(t):
+    """The four columns, one of them with nulls."""
+    return t.fx_label.select("w", "x1", "x2", F.when(F.col("x1") > 5, F.col("x3")).alias("x3"), "x4")
+
+
+HOLED = "s AS (SELECT w, x1, x2, CASE WHEN x1 > 5 THEN x3 END AS x3, x4 FROM fx_label)"
+
+
+@query(f"WITH {HOLED} " + each_pair("coalesce(corr({a}, {b}), 0)", "s"), ["fx_label"])
 def corr_pearson(t):
-    df = t.fx_label.select("x1", "x2", F.when(F.col("x1") > 5, F.col("x3")).alias("x3"))
-    return rounded(stats.corr_matrix(df, ["x1", "x2", "x3"]), corr=6)
+    return rounded(stats.corr_matrix(holed(t), X), corr=6)
 
 
 def rank_sql(c: str) -> str:
     return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2"
 
 
-@query("WITH r AS (SELECT " + ", ".join(f"{rank_sql(c)} AS {c}" for c in ["x1", "x2", "x3"])
-       + " FROM fx_label) " + " UNION ALL ".join(
-    f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS corr FROM r" for a, b in PAIRS),
-       ["fx_label"])
+RANKS = "r AS (SELECT w, " + ", ".join(f"{rank_sql(c)} AS {c}" for c in X) + " FROM fx_label)"
+
+
+@query(f"WITH {RANKS} " + each_pair("corr({a}, {b})", "r"), ["fx_label"])
 def corr_spearman(t):
-    return rounded(stats.corr_matrix(t.fx_label, ["x1", "x2", "x3"], "spearman"), corr=6)
+    return rounded(stats.corr_matrix(t.fx_label, X, "spearman"), corr=6)
+
 
+@query(f"WITH {HOLED} " + " UNION ALL ".join(
+    f"SELECT '{a}' AS x, '{b}' AS y, round(corr(p, q), 6) AS corr FROM (SELECT {rank_sql(a)} AS p, {rank_sql(b)} AS q FROM s"
+    f" WHERE {a} IS NOT NULL AND {b} IS NOT NULL)" for a, b in PAIRS), ["fx_label"])
+def corr_spearman_nulls(t):
+    return rounded(stats.corr_matrix(holed(t), X, "spearman"), corr=6)
 
-@query(" UNION ALL ".join(
-    f"SELECT '{a}' AS x, '{b}' AS y, round((sum(w*{a}*{b})/sum(w) - sum(w*{a})/sum(w)*sum(w*{b})/sum(w))"
-    f" / sqrt((sum(w*{a}*{a})/sum(w) - pow(sum(w*{a})/sum(w), 2)) * (sum(w*{b}*{b})/sum(w)"
-    f" - pow(sum(w*{b})/sum(w), 2))), 6) AS corr FROM fx_label" for a, b in PAIRS), ["fx_label"])
+
+@query(each_pair("(sum(w*{a}*{b})/sum(w) - sum(w*{a})/sum(w)*sum(w*{b})/sum(w)) / sqrt((sum(w*{a}*{a})/sum(w) - pow(sum(w*{a})/sum(w), 2))"
+                 " * (sum(w*{b}*{b})/sum(w) - pow(sum(w*{b})/sum(w), 2)))", "fx_label"), ["fx_label"])
 def corr_weighted_pearson(t):
-    return rounded(stats.corr_matrix(t.fx_label, ["x1", "x2", "x3"], "pearson", "w"), corr=6)
+    return rounded(stats.corr_matrix(t.fx_label, X, "pearson", "w"), corr=6)
 
 
-@query("WITH r AS (SELECT w, " + ", ".join(f"{rank_sql(c)} AS {c}" for c in ["x1", "x2", "x3"])
-       + " FROM fx_label) " + " UNION ALL ".join(
-    f"SELECT '{a}' AS x, '{b}' AS y, round(1 - 6 * sum(w * pow({a} - {b}, 2)) / (sum(w) * (sum(w) * sum(w) - 1)), 6)"
-    f" AS corr FROM r" for a, b in PAIRS), ["fx_label"])
+@query(f"WITH {RANKS} " + each_pair("1 - 6 * sum(w * pow({a} - {b}, 2)) / (sum(w) * (sum(w) * sum(w) - 1))", "r"), ["fx_label"])
 def corr_weighted_spearman(t):
-    return rounded(stats.corr_matrix(t.fx_label, ["x1", "x2", "x3"], "spearman", "w"), corr=6)
+    return rounded(stats.corr_matrix(t.fx_label, X, "spearman", "w"), corr=6)
+
+
+def banded(t):
+    """The prices in bands: SQL compares every distinct point of two columns with every other."""
+    return t.fx_label.withColumn("x2", F.floor(F.col("x2") / 2000))
 
 
 def kendall_sql(weight: str) -> str:
-    return f"""WITH c AS (SELECT x1 AS x, x3 AS y, sum({weight}::DOUBLE) AS w, sum(({weight}::DOUBLE) * ({weight}::DOUBLE))
-      AS ww FROM fx_label GROUP BY x1, x3),
-  p AS (SELECT sum(CASE WHEN (a.x - b.x) * (a.y - b.y) > 0 THEN a.w * b.w END) AS p,
-    sum(CASE WHEN (a.x - b.x) * (a.y - b.y) < 0 THEN a.w * b.w END) AS q,
-    sum(CASE WHEN a.x = b.x AND a.y <> b.y THEN a.w * b.w END) AS t,
-    sum(CASE WHEN a.x <> b.x AND a.y = b.y THEN a.w * b.w END) AS u
-    FROM c a JOIN c b ON (a.x, a.y) < (b.x, b.y))
-  SELECT 'x1' AS x, 'x3' AS y, round((p - q) / sqrt((p + q + t) * (p + q + u)), 6) AS corr FROM p"""
+    def pair(a: str, b: str) -> str:
+        return f"""SELECT '{a}' AS x, '{b}' AS y, round((p - q) / sqrt((p + q + t) * (p + q + u)), 6) AS corr FROM (
+      SELECT sum(CASE WHEN (a.x - b.x) * (a.y - b.y) > 0 THEN a.w * b.w END) AS p,
+        sum(CASE WHEN (a.x - b.x) * (a.y - b.y) < 0 THEN a.w * b.w END) AS q,
+        sum(CASE WHEN a.x = b.x AND a.y <> b.y THEN a.w * b.w END) AS t,
+        sum(CASE WHEN a.x <> b.x AND a.y = b.y THEN a.w * b.w END) AS u
+      FROM c_{a}_{b} a JOIN c_{a}_{b} b ON (a.x, a.y) < (b.x, b.y))"""
+
+    cells = ", ".join(f"c_{a}_{b} AS (SELECT {a} AS x, {b} AS y, sum({weight}::DOUBLE) AS w FROM l GROUP BY {a}, {b})" for a, b in PAIRS)
+    return (f"WITH l AS (SELECT w, x1, floor(x2 / 2000) AS x2, x3, x4 FROM fx_label), {cells} "
+            + " UNION ALL ".join(pair(a, b) for a, b in PAIRS))
 
 
 @query(kendall_sql("1"), ["fx_label"])
 def corr_kendall(t):
-    return rounded(stats.corr_matrix(t.fx_label, ["x1", "x3"], "kendall"), corr=6)
+    return rounded(stats.corr_matrix(banded(t), X, "kendall"), corr=6)
 
 
 @query(kendall_sql("w"), ["fx_label"])
 def corr_weighted_kendall(t):
-    return rounded(stats.corr_matrix(t.fx_label, ["x1", "x3"], "kendall", "w"), corr=6)
+    return rounded(stats.corr_matrix(banded(t), X, "kendall", "w"), corr=6)
 
 
 # --- feature tests -----------------------------------------------------------------

@@ -37,6 +37,23 @@ def test_frontier_equals_triple_test(spark, chunk):
         assert got == triple_hull(items)
 
 
+def test_a_class_that_is_all_frontier(spark):
+    """A large class of which nothing can be dropped, beside small ones and one of equal weights."""
+    n = 20_000
+    big = spark.range(n).selectExpr("CAST(7 AS BIGINT) AS class_id", "CAST(id AS INT) AS choice",
+                                    "sqrt(CAST(id + 1 AS DOUBLE)) AS value", "CAST(id + 1 AS DOUBLE) AS weight")
+    same = spark.range(500).selectExpr("CAST(8 AS BIGINT) AS class_id", "CAST(id AS INT) AS choice",
+                                       "CAST(id % 250 AS DOUBLE) AS value", "2D AS weight")
+    under = spark.range(3000).selectExpr("CAST(9 AS BIGINT) AS class_id", "CAST(id AS INT) AS choice",
+                                         "IF(id = 2999, 5D, -CAST(id AS DOUBLE)) AS value", "CAST(id AS DOUBLE) AS weight")
+    rows = knapsack.frontier_table(big.union(same).union(under), 200)
+    got = {c: sorted((r for r in rows.collect() if r["class_id"] == c), key=lambda r: r["step"]) for c in (7, 8, 9)}
+    assert [r["choice"] for r in got[7]] == list(range(n)) == [r["step"] for r in got[7]]
+    assert [(r["choice"], r["weight"]) for r in got[8]] == [(249, 2.0)]
+    assert [r["choice"] for r in got[9]] == [0, 2999] and got[9][1]["eff"] == 5 / 2999
+    assert all(a["eff"] > b["eff"] for a, b in zip(got[7][1:], got[7][2:]))
+
+
 def test_undominated(spark):
     data = classes(2, 20, [1, 3, 9])
     rows = knapsack.undominated(frame(spark, data)).collect()

@@ -29,7 +29,7 @@ def test_kendall_equals_all_pairs(spark, weight):
         q += m * (dx * dy < 0)
         t += m * (dx == 0 and dy != 0)
         u += m * (dx != 0 and dy == 0)
-    got = stats.kendall(df, "a", "b", weight).first()["corr"]
+    got = stats.kendall(df, [("a", "b")], weight).first()["corr"]
     assert got == pytest.approx((p - q) / np.sqrt((p + q + t) * (p + q + u)))
 
 
@@ -124,3 +124,42 @@ def test_ips_loss_by_hand(spark):
     p1, p2, y1, y2 = (np.array(c, float) for c in zip(*rows))
     want = bce(p1, y1).mean() + bce(p1 * p2, y2).mean() + 0.1 * (bce(p2, y2) * y1 / p1).mean()
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_rank_correlations_of_all_pairs_with_nulls(spark, weight):
+    """Every pair over the rows that hold both, against pandas; one column is constant, one nearly empty."""
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({c: rng.integers(0, 12, 400).astype(float) for c in "abcd"})
+    pdf["b"] += pdf.a
+    pdf.loc[rng.random(400) < 0.3, "b"] = np.nan
+    pdf.loc[rng.random(400) < 0.5, "c"] = np.nan
+    pdf["d"], pdf["e"] = 3.0, np.where(np.arange(400) == 7, 1.0, np.nan)
+    pdf["w"] = rng.integers(1, 4, 400).astype(float)
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c double, d double, e double, w double")
+    got = {(r["x"], r["y"]): r["corr"] for r in stats.corr_matrix(df, list("abcde"), "spearman", weight).collect()}
+    assert len(got) == 10
+    for (x, y), corr in got.items():
+        both = pdf[pdf[x].notna() & pdf[y].notna()]
+        p, q = both[x].rank(), both[y].rank()
+        if weight:
+            n = both.w.sum()
+            want = 1 - 6 * (both.w * (p - q) ** 2).sum() / (n * (n * n - 1)) if n > 1 else 0.0
+        else:
+            want = p.corr(q) if len(both) > 1 and p.std() and q.std() else 0.0
+        assert corr == pytest.approx(want, abs=1e-9), (x, y)
+
+
+def test_all_kendall_pairs_in_one_plan(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({c: rng.integers(0, 6, 120).astype(float) for c in "abc"})
+    pdf.loc[rng.random(120) < 0.2, "c"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c double")
+    for r in stats.corr_matrix(df, ["a", "b", "c"], "kendall").collect():
+        both = pdf[pdf[r["x"]].notna() & pdf[r["y"]].notna()]
+        s = t = u = 0
+        for (x1, y1), (x2, y2) in itertools.combinations(zip(both[r["x"]], both[r["y"]]), 2):
+            s += np.sign((x1 - x2) * (y1 - y2))
+            t += x1 != x2
+            u += y1 != y2
+        assert r["corr"] == pytest.approx(s / np.sqrt(float(t) * u))
