@@ -139,16 +139,19 @@ def arm_shares(df: DataFrame, arm: str, control: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
-    """Equal-width counts with the normal fit (mean and population std) beside them."""
+    """Equal-width counts of all bins, empty ones too, with the normal fit (mean and population std)
+    beside them. A column without values gives no bins."""
     s = df.agg(F.min(col), F.max(col), F.avg(col), F.stddev_pop(col)).first()
-    # a column without values gives no bins
+    known = s[0] is not None
     lo, hi, mu, sigma = (float(x) if x is not None else 0.0 for x in s)
     width = (hi - lo) / bins or 1.0
     at = F.least(F.floor((F.col(col) - lo) / width), F.lit(bins - 1)).cast("int")
     counts = (df.where(F.col(col).isNotNull()).groupBy(at.alias("bin"))
               .agg(F.count(F.lit(1)).alias("n")))
-    return counts.select("bin", (F.lit(lo) + F.col("bin") * width).alias("left_edge"), "n",
-                         F.lit(mu).alias("mu"), F.lit(sigma).alias("sigma"))
+    every = df.sparkSession.range(bins if known else 0).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counts, "bin", "left").select(
+        "bin", (F.lit(lo) + F.col("bin") * width).alias("left_edge"), F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+        F.lit(mu).alias("mu"), F.lit(sigma).alias("sigma"))
 
 
 def box_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:

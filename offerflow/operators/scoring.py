@@ -13,10 +13,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from offerflow.functions.expr import cosine_sigmoid
-from offerflow.operators.joins import assemble_features, expand_items
+from offerflow.operators.joins import assemble_features
 from offerflow.sources.partitions import read_partition, write_partition
 
 Model = Callable[[np.ndarray], np.ndarray]
@@ -81,26 +81,43 @@ def embedding_array(cols: Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in cols])
 
 
+#: Items and users of one block of pairs, about.
+BLOCK_ITEMS, BLOCK_USERS = 1024, 2048
+
+
+def _unit_rows(vectors: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors as a matrix, their lengths)."""
+    rows = np.asarray(vectors.flatten(), dtype="float64").reshape(-1, size)
+    return rows, np.sqrt((rows * rows).sum(axis=1))
+
+
+def _sigmoid_cosine(u: np.ndarray, u_norm: np.ndarray, v: np.ndarray, v_norm: np.ndarray) -> np.ndarray:
+    cosine = (u @ v.T) / (u_norm[:, None] * v_norm + 1e-8)
+    return 1.0 / (1.0 + np.exp(-np.clip(cosine, -1.0, 1.0)))
+
+
 def score_embeddings(users: DataFrame, items: DataFrame, key: str, item: str, embedding: str,
-                     prefix: str = "score_") -> DataFrame:
-    """Cosine-sigmoid score of every user with every item, one column per item.
-
-    The items travel with the task as one matrix, and each Arrow batch of users is one
-    matrix product: the user table is read once and not shuffled. Every item is a column;
-    for long lists :func:`score_embedding_pairs` gives the same scores as rows."""
-    rows = items.select(item, embedding).orderBy(item).collect()
-    matrix = np.array([[float(x) for x in r[embedding]] for r in rows])
+                     names: Sequence, prefix: str = "score_") -> DataFrame:
+    """Cosine-sigmoid score of every user with each of the declared items, one column per item.
+
+    ``names`` declares the items, which bounds what the driver and every task hold: only they are
+    fetched and travel with the task as one matrix. Each Arrow batch of users is one matrix product; the
+    user table is read once and not shuffled. For lists of any length :func:`score_embedding_pairs`
+    gives the same scores as rows."""
+    names = list(names)
+    found = {r[item]: r[embedding] for r in items.where(F.col(item).isin(names)).select(item, embedding).collect()}
+    if set(found) != set(names):
+        raise ValueError(f"items without a vector: {sorted(set(names) - set(found))}")
+    matrix = np.array([[float(x) for x in found[n]] for n in names])
     norms = np.sqrt((matrix * matrix).sum(axis=1))
-    outputs = [f"{prefix}{r[item]}" for r in rows]
+    outputs = [f"{prefix}{n}" for n in names]
 
     def run(batches):
         for batch in batches:
             vectors = batch.column(1)
             there = np.asarray(vectors.is_valid())
-            u = np.asarray(vectors.flatten(), dtype="float64").reshape(-1, matrix.shape[1])
-            cosine = (u @ matrix.T) / (np.sqrt((u * u).sum(axis=1))[:, None] * norms + 1e-8)
             score = np.full((len(batch), len(outputs)), np.nan)
-            score[there] = 1.0 / (1.0 + np.exp(-np.clip(cosine, -1.0, 1.0)))
+            score[there] = _sigmoid_cosine(*_unit_rows(vectors, matrix.shape[1]), matrix, norms)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(score[:, i], mask=~there) for i in range(len(outputs))]],
                 names=[key, *outputs])
@@ -108,12 +125,43 @@ def score_embeddings(users: DataFrame, items: DataFrame, key: str, item: str, em
     return users.select(key, embedding).mapInArrow(run, _schema(users, [key], outputs))
 
 
-def score_embedding_pairs(users: DataFrame, items: DataFrame, key: str, item: str,
-                          embedding: str) -> DataFrame:
-    """The same as (user, item, score) rows, for item lists of any length."""
-    pairs = expand_items(users.select(key, F.col(embedding).alias("_u")),
-                         items.select(item, F.col(embedding).alias("_v")))
-    return pairs.select(key, item, cosine_sigmoid("_u", "_v").alias("score"))
+def score_embedding_pairs(users: DataFrame, items: DataFrame, key: str, item: str, embedding: str,
+                          block_items: int = BLOCK_ITEMS, block_users: int = BLOCK_USERS) -> DataFrame:
+    """The same as (user, item, score) rows, for item lists of any length.
+
+    Items and users are hashed into blocks of about the given numbers, and every block of users meets every
+    block of items in a group of its own, which is one matrix product. Nothing is collected but the two
+    numbers. A missing vector gives null scores."""
+    item_blocks, user_blocks = max(1, -(-items.count() // block_items)), max(1, -(-users.count() // block_users))
+
+    def every(blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+
+    packed = items.select(F.pmod(F.xxhash64(item), F.lit(item_blocks)).alias("_i"), F.col(item).alias("_item"),
+                          F.col(embedding).alias("_v")).withColumn("_u", every(user_blocks))
+    asking = users.select(F.pmod(F.xxhash64(key), F.lit(user_blocks)).alias("_u"), F.col(key).alias("_user"),
+                          F.col(embedding).alias("_x")).withColumn("_i", every(item_blocks))
+    shape = StructType([StructField(key, users.schema[key].dataType), StructField(item, items.schema[item].dataType),
+                        StructField("score", DoubleType())])
+    arrow = to_arrow_schema(shape)
+
+    def product(left, right):
+        out = []
+        v, u = right.column("_v").combine_chunks(), left.column("_x").combine_chunks()
+        names, users_ = right.column("_item").combine_chunks(), left.column("_user").combine_chunks()
+        has_v, has_u = np.asarray(v.is_valid()), np.asarray(u.is_valid())
+        if len(u) and len(v):
+            score = np.full((len(u), len(v)), np.nan)
+            if has_v.any() and has_u.any():
+                v_rows, u_rows = v.drop_null(), u.drop_null()
+                size = len(v_rows.flatten()) // len(v_rows)
+                score[np.ix_(has_u, has_v)] = _sigmoid_cosine(*_unit_rows(u_rows, size), *_unit_rows(v_rows, size))
+            flat = score.ravel()
+            out = [users_.take(pa.array(np.repeat(np.arange(len(u)), len(v)))), names.take(pa.array(np.tile(np.arange(len(v)), len(u)))),
+                   pa.array(flat, mask=np.isnan(flat))]
+        return pa.Table.from_arrays(out, schema=arrow) if out else arrow.empty_table()
+
+    return asking.groupBy("_i", "_u").cogroup(packed.groupBy("_i", "_u")).applyInArrow(product, shape)
 
 
 def run_scoring_job(spark: SparkSession, people_path: str, feature_paths: Sequence[tuple[str, Sequence[str]]],

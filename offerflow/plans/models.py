@@ -72,7 +72,7 @@ PAIRS = f"""p AS (SELECT uid, b.label, item_id, 1 / (1 + exp(-greatest(-1.0::DOU
     f"round(max(CASE WHEN label = {i} THEN s END), 6) AS score_{i}" for i in range(10)) + " FROM p GROUP BY uid",
        ["fx_embed_user", "fx_embed_item"])
 def score_embeddings(t):
-    out = scoring.score_embeddings(t.fx_embed_user, t.fx_embed_item, "uid", "label", "embedding")
+    out = scoring.score_embeddings(t.fx_embed_user, t.fx_embed_item, "uid", "label", "embedding", list(range(10)))
     return rounded(out, **{c: 6 for c in out.columns if c != "uid"})
 
 

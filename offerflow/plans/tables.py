@@ -204,22 +204,22 @@ DESCRIBE = " UNION ALL ".join(
     f" round(stddev_samp({c}), 6) AS std, min({c}) AS min, max({c}) AS max,"
     f" avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0 END) * 100 AS miss_percent,"
     f" quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50,"
-    f" quantile_cont({c}, 0.75) AS p75 FROM src" for c in ["x1", "x2", "x3"])
+    f" quantile_cont({c}, 0.75) AS p75 FROM src" for c in ["x1", "x2", "x3", "x4"])
 
 
-@query("WITH src AS (SELECT x1, x2, CASE WHEN x1 > 10 THEN x3 END AS x3 FROM fx_label) "
+@query("WITH src AS (SELECT x1, x2, CASE WHEN x1 > 10 THEN x3 END AS x3, x4 FROM fx_label) "
        + DESCRIBE, ["fx_label"])
 def describe_features(t):
-    src = t.fx_label.select("x1", "x2", F.when(F.col("x1") > 10, F.col("x3")).alias("x3"))
-    out = profile.describe_features(src, ["x1", "x2", "x3"])
+    src = t.fx_label.select("x1", "x2", F.when(F.col("x1") > 10, F.col("x3")).alias("x3"), "x4")
+    out = profile.describe_features(src, ["x1", "x2", "x3", "x4"])
     return out.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
-@query("WITH src AS (SELECT x1, x2, CASE WHEN x1 > 10 THEN x3 END AS x3 FROM fx_label) "
+@query("WITH src AS (SELECT x1, x2, CASE WHEN x1 > 10 THEN x3 END AS x3, x4 FROM fx_label) "
        + DESCRIBE, ["fx_label"])
 def describe_features_nan(t):
-    src = t.fx_label.select("x1", "x2", F.when(F.col("x1") > 10, F.col("x3")).otherwise(F.lit(float("nan"))).alias("x3"))
-    out = profile.describe_features(src, ["x1", "x2", "x3"])
+    src = t.fx_label.select("x1", "x2", F.when(F.col("x1") > 10, F.col("x3")).otherwise(F.lit(float("nan"))).alias("x3"), "x4")
+    out = profile.describe_features(src, ["x1", "x2", "x3", "x4"])
     return out.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
@@ -310,14 +310,16 @@ def arm_shares(t):
     return profile.arm_shares(t.fx_experiment, "treatment", "control")
 
 
-@query("""WITH s AS (SELECT min(x2) AS lo, max(x2) AS hi, avg(x2) AS mu, stddev_pop(x2) AS sd
-    FROM fx_label)
-  SELECT CAST(least(floor((x2 - lo) / ((hi - lo) / 20)), 19) AS INT) AS bin,
-    round(min(lo) + CAST(least(floor((x2 - lo) / ((hi - lo) / 20)), 19) AS INT)
-      * ((min(hi) - min(lo)) / 20), 6) AS left_edge, count(*) AS n, round(min(mu), 4) AS mu,
-    round(min(sd), 4) AS sigma FROM fx_label, s GROUP BY 1, lo, hi""", ["fx_label"])
+@query("""WITH v AS (SELECT CASE WHEN x2 < 30000 OR x2 > 60000 THEN x2 END AS x FROM fx_label),
+  s AS (SELECT min(x) AS lo, max(x) AS hi, avg(x) AS mu, stddev_pop(x) AS sd FROM v),
+  c AS (SELECT CAST(least(floor((x - lo) / ((hi - lo) / 20)), 19) AS INT) AS bin, count(*) AS n FROM v, s WHERE x IS NOT NULL GROUP BY 1),
+  b AS (SELECT CAST(unnest(range(20)) AS INT) AS bin)
+  SELECT bin, round(lo + bin * ((hi - lo) / 20), 6) AS left_edge, coalesce(n, 0) AS n, round(mu, 4) AS mu, round(sd, 4) AS sigma
+  FROM b LEFT JOIN c USING (bin), s""", ["fx_label"])
 def plot_histogram(t):
-    out = profile.plot_data(t.fx_label, "x2", "hist", bins=20)
+    """Values with a gap, so that some bins are empty."""
+    gap = t.fx_label.select(F.when((F.col("x2") < 30000) | (F.col("x2") > 60000), F.col("x2")).alias("x"))
+    out = profile.plot_data(gap, "x", "hist", bins=20)
     return out.withColumns({"left_edge": F.round("left_edge", 6), "mu": F.round("mu", 4),
                             "sigma": F.round("sigma", 4)})
 

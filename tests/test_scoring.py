@@ -35,10 +35,33 @@ def test_items_get_their_condition(spark, users):
 def test_embeddings_with_a_missing_vector(spark):
     users = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], "uid long, e array<float>")
     items = spark.createDataFrame([(5, [1.0, 0.0]), (6, [-2.0, 0.0])], "item long, e array<float>")
-    got = {r["uid"]: r for r in scoring.score_embeddings(users, items, "uid", "item", "e").collect()}
+    got = {r["uid"]: r for r in scoring.score_embeddings(users, items, "uid", "item", "e", [5, 6]).collect()}
     assert got[1]["score_5"] == pytest.approx(1 / (1 + np.exp(-1))) and got[1]["score_6"] == pytest.approx(
         1 / (1 + np.exp(1)))
     assert got[2]["score_5"] is None and got[3]["score_5"] == 0.5
+    with pytest.raises(ValueError):
+        scoring.score_embeddings(users, items, "uid", "item", "e", [5, 7])
+
+
+def test_embedding_pairs_in_blocks(spark):
+    """Every pair once, whatever the blocks, with the scores of plain numpy."""
+    rng = np.random.default_rng(1)
+    u, v = rng.normal(size=(90, 5)), rng.normal(size=(40, 5))
+    users = spark.createDataFrame([(i, [float(x) for x in r] if i % 10 else None) for i, r in enumerate(u)], "uid long, e array<float>")
+    items = spark.createDataFrame([(f"i{j}", [float(x) for x in r] if j != 3 else None) for j, r in enumerate(v)], "item string, e array<double>")
+    cosine = (u @ v.T) / (np.linalg.norm(u, axis=1)[:, None] * np.linalg.norm(v, axis=1) + 1e-8)
+    for blocks in ((7, 11), (1000, 1000)):
+        got = {(r["uid"], r["item"]): r["score"] for r in scoring.score_embedding_pairs(
+            users, items, "uid", "item", "e", *blocks).collect()}
+        assert len(got) == 90 * 40
+        for (i, j), score in got.items():
+            if i % 10 and j != "i3":
+                assert score == pytest.approx(1 / (1 + np.exp(-cosine[i, int(j[1:])])), abs=1e-6)
+            else:
+                assert score is None
+    plan = scoring.score_embedding_pairs(users, items, "uid", "item", "e")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert scoring.score_embedding_pairs(users, items.limit(0), "uid", "item", "e").collect() == []
 
 
 @pytest.mark.parametrize("chunk", [50, 4])
