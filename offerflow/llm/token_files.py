@@ -30,7 +30,7 @@ from offerflow.session import scratch_folder, shuffle_width, stage
 
 #: Bytes of text per file, and how many parts of texts a worker remembers.
 FILE_BYTES = 64 << 20
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 # letters and signs that the pre-tokenizer's classes part in any surroundings
 _LETTER, _SIGN = "A-Za-zÀ-ÖØ-öø-ÿœŒ", r"!-&(-/:-@\[-`{-~"
