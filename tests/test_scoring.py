@@ -71,6 +71,16 @@ def test_expand_items_in_blocks_gives_every_pair_once(spark, users, chunk):
     assert out.count() == 990 == out.select("uid", "item").distinct().count()
 
 
+def test_expand_items_in_blocks_broadcasts_nothing_and_spreads_the_pairs(spark, users):
+    items = spark.range(40).select((F.col("id") % 20).alias("item"))
+    out = joins.expand_items(users.limit(90).select("uid"), items, 4)
+    spread = out.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert sum(r["count"] for r in spread) == 90 * 40 and len(spread) > 1
+    assert {r["count"] for r in out.groupBy("uid", "item").count().collect()} == {2}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_partition_overwrite_is_idempotent(spark, users, tmp_path):
     path = str(tmp_path / "t")
     partitions.write_partition(users, path, "2024-02-03", exp_mode="a")
