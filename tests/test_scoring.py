@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from offerflow.operators import joins, scoring, selection
@@ -141,3 +143,35 @@ def test_unused_feature_has_no_permutation_importance(spark, users):
     out = selection.permutation_importance(df, ["uid"], ["a", "b"], "y", lambda x: x.withColumn("score", F.col("b")))
     got = {r["feature"]: r["importance"] for r in out.collect()}
     assert got["a"] == pytest.approx(0.0) and got["b"] > 0.3
+
+
+def test_trees_on_weighted_cells_are_the_trees_of_all_rows(spark):
+    rows = spark.range(6000).select(
+        (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"),
+        F.when(F.col("id") % 13 > 0, (F.xxhash64("id") % 5).cast("double")).alias("c"))
+    rows = rows.withColumn("y", (F.col("a") * 2 + F.col("b") + F.coalesce("c", F.lit(0.0)) > 11).cast("int"))
+    params = {"maxIter": 3, "maxDepth": 3, "seed": 1}
+    plain = rows.fillna(0.0)
+    data = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(plain)
+    whole = GBTClassifier(labelCol="y", **params).fit(data)
+    model = selection.boosted_trees(rows, ["a", "b", "c"], "y", **params)
+    assert np.allclose(model.stages[-1].featureImportances.toArray(), whole.featureImportances.toArray(), atol=1e-9)
+    got, want = (m.transform(d).groupBy("a", "b", "c").agg(F.max("probability").alias("p")).collect()
+                 for m, d in ((model, plain), (whole, data)))
+    want = {(r.a, r.b, r.c): r.p[1] for r in want}
+    assert all(abs(want[r.a, r.b, r.c] - r.p[1]) < 1e-9 for r in got)
+
+
+def test_trees_keep_cells_not_rows(spark):
+    rows = spark.range(40_000).select((F.col("id") % 3).cast("double").alias("a"), (F.rand(1) * 1e6).alias("b"),
+                                      (F.col("id") % 2).alias("y"))
+    seen = []
+    keep = selection.GBTClassifier.fit
+    selection.GBTClassifier.fit = lambda self, df: seen.append(df.count()) or keep(self, df)
+    try:
+        model = selection.boosted_trees(rows, ["a", "b"], "y", maxIter=1, maxDepth=2, seed=1)
+    finally:
+        selection.GBTClassifier.fit = keep
+    assert seen[0] <= 3 * 32 * 2
+    sizes = [r["n"] for r in model.stages[0].transform(rows).groupBy("_bin_b").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 32 and max(sizes) < 1.1 * 40_000 / 32
