@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from collections.abc import Callable, Mapping, Sequence
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from offerflow.functions.expr import hash_order
 from offerflow.operators.evaluate import auc
-from offerflow.operators.ordered import quantiles_of_counts, running
+from offerflow.operators.ordered import quantiles_of_counts, running, values_at_ranks
 from offerflow.session import stage
 
 #: Bins per feature where the trees' parameters state none, and cells of one task of a fit.
@@ -129,14 +131,32 @@ def null_score(actual: DataFrame, null: DataFrame) -> DataFrame:
 
 def null_importance(df: DataFrame, keys: Sequence[str], cols: Sequence[str], label: str, k: int = 10,
                     seed: int = 1, **params) -> DataFrame:
-    """Tree importances against those of k fits on truly shuffled labels."""
+    """Tree importances against those of k fits on truly shuffled labels.
+
+    A shuffle puts all rows in a random order, by a hash of their keys, and deals the labels out along
+    it, as many of each as there are. Where one label's stretch ends is an exact order statistic of the
+    hash, so all k shuffles are counted per cell of equal bins in one aggregate: no row is moved for them."""
     spark = df.sparkSession
-    rows = stage(df.select(*keys, label, *cols), "null")
-    actual = model_importance(spark, boosted_trees(rows, cols, label, **params), cols)
-    null = None
+    data = df.select(*cols, label, *[(F.shiftrightunsigned(F.xxhash64(F.lit(f"{seed}-{i}"), *keys), 12)).alias(f"_h{i}")
+                                     for i in range(k)])
+    bins = binner(df, cols, params.get("maxBins", MAX_BINS))
+    rows = stage(bins.transform(_present(data, cols)).select(label, *_bins(cols), *[f"_h{i}" for i in range(k)]), "null")
+    sizes = [(r[0], r["n"]) for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()]
+    ends = list(itertools.accumulate(n for _, n in sizes))
+    _, last = values_at_ranks(rows, [f"_h{i}" for i in range(k)], lambda n: {e - 1 for e in ends})
+    counts = [F.count_if(F.col(label).eqNullSafe(F.lit(v))).alias(f"_a_{j}") for j, (v, _) in enumerate(sizes)]
     for i in range(k):
-        mixed = shuffle_columns(rows, keys, [label], f"{seed}-{i}").drop(label)
-        mixed = stage(mixed.withColumnRenamed(f"{label}_shuffled", label), "null")
-        one = model_importance(spark, boosted_trees(mixed, cols, label, **params), cols)
-        null = one if null is None else null.unionByName(one)
-    return null_score(actual, null)
+        below = F.lit(False)
+        for j, end in enumerate(ends):
+            upto = F.col(f"_h{i}") <= F.lit(int(last[f"_h{i}"][end - 1]))
+            counts.append(F.count_if(upto & ~below).alias(f"_{i}_{j}"))
+            below = upto
+    cells = stage(rows.groupBy(*_bins(cols)).agg(*counts), "cells")
+
+    def fit(run: int | str) -> DataFrame:
+        labelled = F.inline(F.array(*[F.struct(F.lit(v).alias(label), F.col(f"_{run}_{j}").cast("double").alias("_weight"))
+                                      for j, (v, _) in enumerate(sizes)]))
+        model = _fit(cells.select(*_bins(cols), labelled), bins, cols, label, "_weight", **params)
+        return model_importance(spark, model, cols)
+
+    return null_score(fit("a"), functools.reduce(DataFrame.unionByName, [fit(i) for i in range(k)]))

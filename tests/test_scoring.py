@@ -175,3 +175,19 @@ def test_trees_keep_cells_not_rows(spark):
     assert seen[0] <= 3 * 32 * 2
     sizes = [r["n"] for r in model.stages[0].transform(rows).groupBy("_bin_b").agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 32 and max(sizes) < 1.1 * 40_000 / 32
+
+
+def test_null_importance_deals_all_labels_without_moving_rows(spark, monkeypatch):
+    rows = spark.range(3000).select("id", (F.col("id") % 6).cast("double").alias("a"), (F.col("id") % 10 < 3).cast("int").alias("y"))
+    seen, fit = [], selection._fit
+    monkeypatch.setattr(selection, "shuffle_columns", None)
+    monkeypatch.setattr(selection, "_fit", lambda cells, *rest, **params: seen.append(cells.collect()) or fit(cells, *rest, **params))
+    got = selection.null_importance(rows, ["id"], ["a"], "y", k=3, maxIter=1, maxDepth=2, seed=1).collect()
+    assert [r["feature"] for r in got] == ["a"] and len(seen) == 4
+    dealt = [{(r["_bin_a"], r["y"]): r["_weight"] for r in cells} for cells in seen]
+    for cells in dealt:  # every label is dealt once, every row gets one
+        assert [sum(n for (_, y), n in cells.items() if y == label) for label in (0, 1)] == [2100, 900]
+        assert all(cells[b, 0] + cells[b, 1] == 500 for b in range(6))
+    assert dealt[0][0, 1] == rows.where("a = 0 AND y = 1").count()
+    assert len({tuple(sorted(c.items())) for c in dealt}) == 4
+    assert all(abs(cells[b, 1] - 150) < 60 for cells in dealt[1:] for b in range(6))
