@@ -274,7 +274,8 @@ def quantile_cuts(df: DataFrame, ns: dict[str, int]) -> dict[str, Bands]:
 
 def quantile_cut(df: DataFrame, ns: dict[str, int], suffix: str = "_quant") -> DataFrame:
     """At most n quantile buckets per column, fewer where values repeat, a single 0 where
-    all are equal."""
+    all are equal. ``df`` is staged: finding the cuts reads it many times, cutting once more."""
+    df = stage(df, "quantiles")
     bands = quantile_cuts(df, ns)
     return df.withColumns({
         c + suffix: b.index(F.col(c).cast("double")) if len(b.edges) > 1

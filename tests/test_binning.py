@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from offerflow.operators import binning
 
@@ -132,3 +133,10 @@ def test_one_value_is_one_band(spark):
     rows, bands = binning.bin_feature(column(spark, [4, 4, 4]), "x", "equal_freq", n=3)
     assert [r["bin"] for r in rows.collect()] == [0, 0, 0]
     assert [r["n"] for r in bands.collect()] == [3]
+
+
+def test_quantile_cut_computes_its_input_once(spark):
+    source = spark.range(5000).groupBy((F.col("id") % 997).alias("k")).agg(F.sum("id").cast("double").alias("x"))
+    got = binning.quantile_cut(source, {"x": 4})
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["x_quant"] for r in got.collect()} == {0, 1, 2, 3} and got.count() == 997
