@@ -16,7 +16,13 @@ from pyspark.sql import functions as F
 from offerflow.functions.pvalue import chi2_pvalue, f_pvalue
 from offerflow.operators.ordered import average_ranks, running
 from offerflow.operators.profile import long_summary
-from offerflow.session import stage
+from offerflow.session import shuffle_width, stage
+
+
+#: Values of a feature held by more than this part of the rows are few enough to broadcast.
+FREQUENT = 1000
+#: Ranks of one partition that puts them back into rows.
+PART_ROWS = 2_000_000
 
 
 def _pairs_frame(df: DataFrame, rows: Sequence[tuple[str, str, Column]]) -> DataFrame:
@@ -85,6 +91,16 @@ def _rank_features(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> tuple[lis
     return list(features), taken
 
 
+def _ranked(long: DataFrame, ranks: DataFrame, many: int) -> DataFrame:
+    """The long rows with the rank of their value. All rows of one value would meet in one task of a join, so the
+    values of more than ``many`` rows, fewer than ``FREQUENT`` a feature, are broadcast; the others are joined by a shuffle."""
+    frequent = F.broadcast(ranks.where(F.col("n") > many).select("f", "v", F.col("avg_rank").alias("_often")))
+    marked = long.join(frequent, ["f", "v"], "left")
+    rare = marked.where(F.col("_often").isNull()).drop("_often").join(
+        ranks.where(F.col("n") <= many).select("f", "v", "avg_rank").hint("merge"), ["f", "v"])
+    return marked.where(F.col("_often").isNotNull()).withColumnRenamed("_often", "avg_rank").unionByName(rare)
+
+
 def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], weight: str | None = None) -> DataFrame:
     """(pair, corr) by number of the pair, over the rows that hold both columns: the Pearson correlation of the average
     ranks or, with a weight, 1 - 6 sum(w d^2) / (N (N^2 - 1)) with N = sum(w) and unweighted average
@@ -102,11 +118,15 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], weight: str | None
                        for i, (c, other) in enumerate(features)])
     long = data.select("_id", "_w", F.inline(values)).where(F.col("v").isNotNull())
     counts = long.groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"))
-    ranks = average_ranks(counts, "v", by=["f"]).select("f", "v", "avg_rank")
+    ranks = average_ranks(counts, "v", by=["f"])
     every = len(features)
-    wide = long.join(ranks, ["f", "v"]).groupBy("_id").agg(
+    total_rows = data.count()
+    ranked = _ranked(long, stage(ranks, "values"), max(1, total_rows // FREQUENT))
+    # placed by row before they are grouped, so that no task holds more rows than its partition has
+    placed = ranked.repartition(max(shuffle_width(df), -(-total_rows * every // PART_ROWS)), "_id")
+    wide = placed.groupBy("_id").agg(
         F.first("_w").alias("_w"), *[F.max(F.when(F.col("f") == i, F.col("avg_rank"))).alias(f"r{i}") for i in range(every)])
-    middle = (data.count() + 1) / 2.0
+    middle = (total_rows + 1) / 2.0
     names = ["pair", "n", "sx", "sy", "sxx", "syy", "sxy"]
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

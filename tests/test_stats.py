@@ -163,3 +163,21 @@ def test_all_kendall_pairs_in_one_plan(spark):
             t += x1 != x2
             u += y1 != y2
         assert r["corr"] == pytest.approx(s / np.sqrt(float(t) * u))
+
+
+def test_spearman_keeps_frequent_values_out_of_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(stats, "FREQUENT", 10)
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, 5.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(700)).cast("double")).alias("a"),
+        F.when(F.col("id") % 5 > 0, F.pmod(F.xxhash64("id"), F.lit(4)).cast("double")).otherwise(F.col("id").cast("double")).alias("b"))
+    out = stats.spearman(df, [("a", "b")])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
+    ranks = df.toPandas().rank()
+    assert out.first()["corr"] == pytest.approx(ranks["a"].corr(ranks["b"]), abs=1e-9)
+    values = [(0, 5.0), (0, 5.0), (0, 5.0), (0, 1.0), (1, 5.0)]
+    long = spark.createDataFrame(values, "f int, v double")
+    table = spark.createDataFrame([(0, 5.0, 3, 3.0), (0, 1.0, 1, 1.0), (1, 5.0, 1, 1.0)], "f int, v double, n long, avg_rank double")
+    for many in (0, 1, 2, 9):
+        got = sorted(tuple(r) for r in stats._ranked(long, table, many).select("f", "v", "avg_rank").collect())
+        assert got == [(0, 1.0, 1.0), (0, 5.0, 3.0), (0, 5.0, 3.0), (0, 5.0, 3.0), (1, 5.0, 1.0)]
