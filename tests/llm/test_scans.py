@@ -1,12 +1,15 @@
 """License scans and the Kneser-Ney classifier against brute force; held-out accuracy."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
 from offerflow.llm import kneser_ney, licenses
+from offerflow.session import scratch_folder
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -142,6 +145,52 @@ def test_all_trusted_but_the_held_out_train(spark, monkeypatch):
     assert len([p for p in shards[0][1] if p]) > 2
 
 
+def test_model_takes_little_disk(spark):
+    """Counts and keys stay far below the 24 bytes of a trigram's three hashes, and the keys go after scoring."""
+    def disk():
+        root = Path(scratch_folder(spark).removeprefix("file://").removeprefix("file:"))
+        return sum(f.stat().st_size for f in root.rglob("*") if f.is_file())
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=200)), "en") for i in range(1000)],
+                                 "doc_id long, text string, lang string").repartition(4)
+    before = disk()
+    shards = kneser_ney.train(docs, entries=50_000)
+    assert disk() - before < 10 * 200_000
+    assert kneser_ney.score(docs, shards).agg({"n_words": "sum"}).first()[0] == 200_000
+    assert disk() - before < 12 * 200_000
+
+
+def test_classifier_against_brute_force(spark, monkeypatch):
+    """Perplexities, limits and verdicts; texts train once however often they stand there, rows alike stay."""
+    monkeypatch.setattr(kneser_ney, "RUN_WORDS", 500)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(words[:20 + 40 * (i % 2)], k=rng.randint(1, 40))), "en" if i % 3 else None) for i in range(300)]
+    rows += [(300 + i, rows[i][1], "de") for i in range(40)] + rows[:30] + rows[:10] + [(400, None, "en"), (401, "", "en"), (None, "w1 w2 q", "en"), (2, "w3 w4 w5", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    labels = docs.selectExpr("doc_id", "CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END AS quality")
+    trains = {r[0] for r in docs.select("doc_id").where("xxhash64(11, doc_id) / pow(2.0D, 64) + 0.5D < 0.8D AND doc_id % 5 != 0").collect()}
+    model = Model({t for i, t, _ in rows if i in trains and t is not None})
+    sums = []
+    for i, t, lang in rows:
+        w = ["<s>", "<s>", *WORD.findall(t or "")]
+        sums.append((i, lang, len(w) - 2, sum(math.log(model.p(*g)) for g in zip(w, w[1:], w[2:]))))
+    held = [s for s in sums if s[0] is not None and s[0] % 5 and s[0] not in trains and s[2]]
+    rate = sum(s[3] for s in held) / sum(s[2] for s in held)
+    perplexity = lambda s: math.exp(-(s[3] + 20 * rate) / (s[2] + 20)) if s[2] else None
+    limits = {}
+    for lang in {s[1] for s in held}:
+        x = sorted(perplexity(s) for s in held if s[1] == lang)
+        limits[lang] = x[max(1, math.ceil(len(x) * 0.9)) - 1]
+    want = sorted((str(s[0]), str(s[1]), s[2], round(perplexity(s) or 0, 6), round(limits.get(s[1], max(limits.values())), 6)) for s in sums)
+    out = kneser_ney.classify(docs, labels, quantile=0.9).collect()
+    assert sorted((str(r["doc_id"]), str(r["lang"]), r["n_words"], round(r["perplexity"] or 0, 6), round(r["threshold"], 6)) for r in out) == want
+    assert all(r["kept"] == (r["n_words"] > 0 and r["perplexity"] <= r["threshold"]) for r in out)
+    assert {r["kept"] for r in out} == {True, False}
+
+
 def test_classifier(spark, odd_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
