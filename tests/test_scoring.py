@@ -83,6 +83,28 @@ def test_expand_items_in_blocks_broadcasts_nothing_and_spreads_the_pairs(spark,
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_expand_items_in_blocks_writes_little_for_a_pair(spark, tmp_path):
+    """Items in runs, users in short cycles: a pair takes a fraction of a byte, not an item's code or value."""
+    users, items = spark.range(1200).select(F.col("id").alias("uid")), spark.range(12000).select((F.col("id") * 7919).alias("item"))
+    joins.expand_items(users, items, 16).write.parquet(str(tmp_path / "t"))
+    out = spark.read.parquet(str(tmp_path / "t"))
+    got = out.agg(F.count(F.lit(1)), F.sum(F.xxhash64("uid", "item").cast("decimal(38,0)"))).first()
+    want = users.crossJoin(items).agg(F.count(F.lit(1)), F.sum(F.xxhash64("uid", "item").cast("decimal(38,0)"))).first()
+    assert tuple(got) == tuple(want) and got[0] == 1200 * 12000
+    assert sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet")) < 0.8 * got[0]
+
+
+def test_expand_items_in_blocks_spreads_equal_users(spark):
+    """Equal rows stay apart: each is paired with the whole list, and they do not share one task."""
+    users = spark.createDataFrame([(None, "a")] * 90 + [(5, None)], "uid long, c string")
+    items = spark.createDataFrame([(i if i else None,) for i in range(10)] * 2, "item long")
+    out = joins.expand_items(users, items, 4)
+    assert out.columns == ["uid", "c", "item"]
+    got = {tuple(r)[:3]: r["count"] for r in out.groupBy("uid", "c", "item").count().collect()}
+    assert got == {(u, c, i or None): n * 2 for u, c, n in ((None, "a", 90), (5, None, 1)) for i in range(10)}
+    assert out.where("uid is null").select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_partition_overwrite_is_idempotent(spark, users, tmp_path):
     path = str(tmp_path / "t")
     partitions.write_partition(users, path, "2024-02-03", exp_mode="a")
